@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pactlens.functions import clauses as C
 from pactlens.functions import risk as R
 from pactlens.functions.text import let, round_half_up
+from pactlens.operators.rows import item_rows
 
 FLAT = ["clause_no", "type", "content", "start", "end", "confidence", "confidence_level", "requires_review"]
 
@@ -15,18 +16,18 @@ FLAT = ["clause_no", "type", "content", "start", "end", "confidence", "confidenc
 def candidate_rows(documents: DataFrame) -> DataFrame:
     """One row per keyword match."""
     found = C.clause_candidates(F.col("text"))
-    return documents.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    return item_rows(documents, found, "doc_id").select("doc_id", "item.*")
 
 
 def deduped_rows(documents: DataFrame) -> DataFrame:
     """One row per candidate kept by the greedy rule."""
     kept = C.dedupe_clauses(C.clause_candidates(F.col("text")))
-    return documents.select("doc_id", F.explode(kept).alias("c")).select("doc_id", "c.*")
+    return item_rows(documents, kept, "doc_id").select("doc_id", "item.*")
 
 
 def clause_rows(documents: DataFrame) -> DataFrame:
     """The clause table: at most 25 rows per document (E4).  No shuffle."""
-    return documents.select("doc_id", F.inline(C.extract_clauses(F.col("text"))))
+    return item_rows(documents, C.extract_clauses(F.col("text")), "doc_id").select("doc_id", "item.*")
 
 
 def scored_clause(clause: Column) -> Column:

@@ -10,6 +10,7 @@ from pactlens.functions.cleaning import clean_text, filter_document_noise, trunc
 from pactlens.functions.text import message, strip
 from pactlens.functions.validation import batch_size_error, document_violations, file_error
 from pactlens.operators.blocks import running_total
+from pactlens.operators.rows import item_rows
 
 MAX_FILES = 50
 
@@ -104,4 +105,4 @@ def merge_batch(files: DataFrame, cap: int = D.BATCH_TEXT_CHARS, block: int = 10
 def constraint_violations(documents: DataFrame) -> DataFrame:
     """Number of rows per broken rule of the stored document."""
     rules = document_violations({c: F.col(c) for c in documents.columns})
-    return documents.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return item_rows(documents, rules, item="rule").groupBy("rule").agg(F.count("*").alias("n"))

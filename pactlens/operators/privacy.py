@@ -9,6 +9,7 @@ from pactlens.functions.privacy import (
     compliance_level, deduction, find_and_merge, privacy_recommendations, privacy_score,
 )
 from pactlens.functions.spans import redact_spans
+from pactlens.operators.rows import item_rows
 
 
 def redact_documents(documents: DataFrame, patterns=None) -> DataFrame:
@@ -48,7 +49,7 @@ def audit_privacy(documents: DataFrame) -> DataFrame:
 
 def privacy_deductions(spans: DataFrame) -> DataFrame:
     """One row per span: label, deduction, text."""
-    return spans.select("doc_id", F.posexplode("spans").alias("span_no", "s")).select(
+    return item_rows(spans, "spans", "doc_id", position="span_no", item="s").select(
         "doc_id", "span_no", F.col("s.label").alias("label"),
         deduction(F.col("s.label")).alias("deduction"), F.col("s.text").alias("text"),
     )
@@ -76,4 +77,4 @@ def privacy_stats(audit: DataFrame) -> DataFrame:
 
 def entity_distribution(audit: DataFrame) -> DataFrame:
     """Number of spans per label."""
-    return audit.select(F.explode("spans").alias("s")).groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
+    return item_rows(audit, "spans", item="s").groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"))

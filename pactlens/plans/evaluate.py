@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
 from pactlens.fixed import documents as D
 from pactlens.functions.text import strip
 from pactlens.functions.validation import label_from_filename
+from pactlens.operators.rows import item_rows
 
 MIN_LABELLED_CHARS = 20
 MIN_PARENT_CHARS = 50
@@ -23,6 +24,10 @@ def labeled_rows_from_files(rows: DataFrame, labels=C.TRAINING_LABELS) -> DataFr
     ).select(F.substring("text", 1, D.MODEL_INPUT_CHARS).alias("text"), "label")
 
 
+def _labelled(values: Column, label: str) -> Column:
+    return F.transform(values, lambda v: F.struct(strip(v).alias("text"), F.lit(label).alias("label")))
+
+
 def labeled_rows_from_wide(wide: DataFrame, mapping=C.WIDE_COLUMN_LABELS) -> DataFrame:
     """(text, label) from one column per annotation, each a string or an array of strings."""
     parts = []
@@ -32,9 +37,9 @@ def labeled_rows_from_wide(wide: DataFrame, mapping=C.WIDE_COLUMN_LABELS) -> Dat
         values = F.col(f"`{column}`")
         if wide.schema[column].dataType.typeName() != "array":
             values = F.array(values)
-        parts.append(F.transform(values, lambda v, label=label: F.struct(strip(v).alias("text"), F.lit(label).alias("label"))))
+        parts.append(_labelled(values, label))
     entries = F.flatten(F.array_compact(F.array(*parts)))
-    long = wide.filter(F.length("text") > MIN_PARENT_CHARS).select(F.inline(entries))
+    long = item_rows(wide.filter(F.length("text") > MIN_PARENT_CHARS), entries).select("item.*")
     return long.filter(F.length("text") > MIN_LABELLED_CHARS).select(
         F.substring("text", 1, D.MODEL_INPUT_CHARS).alias("text"), "label"
     )
