@@ -374,6 +374,9 @@ def _priority(score: str, kind: str) -> str:
 risk_level, priority = _risk_level, _priority
 STAGES |= clause_stages("c_", "contracts")
 STAGES |= clause_stages("a_", "r_gated")
+STAGES["c_marks"] = (["c_triggers"], """SELECT t.doc_id, t.clause_no, t.trigger_no, b.content, t.start, t."end" AS stop, t.kind,
+        coalesce(lag(t."end") OVER (PARTITION BY t.doc_id, t.clause_no ORDER BY t.trigger_no), 0) AS last
+    FROM c_triggers t JOIN c_based b USING (doc_id, clause_no)""")
 STAGES["r_gated"] = (["r_layout"], "SELECT * FROM r_layout")
 
 
