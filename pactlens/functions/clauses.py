@@ -7,14 +7,12 @@ sentences without any keyword are dropped by one pattern before keywords are loo
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
 from pactlens.functions.confidence import clause_confidence_level, rule_confidence
-from pactlens.functions.text import WORD_END, WORD_START, let, strip
+from pactlens.functions.text import WORD_END, WORD_START, any_word, let, strip
 
 CANDIDATE = (
     "struct<ord:int,at:int,type:string,keyword:string,hit:string,content:string,lowered:string,start:int,end:int>"
@@ -28,10 +26,8 @@ def keyword_table(taxonomy=C.CLAUSE_TYPES) -> list[tuple[int, str, str]]:
 
 
 def any_keyword(taxonomy=C.CLAUSE_TYPES) -> str:
-    """One pattern for all keywords, grouped by first letter so that most positions fail at once."""
-    words = sorted({k for _, _, k in keyword_table(taxonomy)})
-    groups = [f"{c}(?:{'|'.join(w[1:] for w in ws)})" for c, ws in groupby(words, key=lambda w: w[0])]
-    return f"(?i){WORD_START}(?:{'|'.join(groups)}){WORD_END}"
+    """One pattern for all keywords as whole words."""
+    return f"{WORD_START}{any_word(k for _, _, k in keyword_table(taxonomy))}{WORD_END}"
 
 
 def sentences_with_keywords(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:

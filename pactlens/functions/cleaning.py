@@ -11,6 +11,7 @@ from pactlens.functions.text import (
     WORD_END,
     WORD_START,
     any_pattern,
+    any_word,
     count_contained,
     let,
     normalize_whitespace,
@@ -95,15 +96,18 @@ def noise_findings(text: Column) -> Column:
             regex = pattern(source, flags)
             found = let(
                 F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-                lambda m, category=category, source=source: F.struct(
-                    F.lit(category).alias("category"),
-                    F.lit(source).alias("pattern"),
-                    F.size(m).alias("matches"),
-                    F.slice(m, 1, 3).alias("examples"),
-                    F.length(F.array_join(m, "")).alias("chars"),
+                lambda m, category=category, source=source: F.when(
+                    F.size(m) > 0,
+                    F.struct(
+                        F.lit(category).alias("category"),
+                        F.lit(source).alias("pattern"),
+                        F.size(m).alias("matches"),
+                        F.slice(m, 1, 3).alias("examples"),
+                        F.length(F.array_join(m, "")).alias("chars"),
+                    ),
                 ),
             )
-            entries.append(F.when(text.rlike(regex), found))
+            entries.append(found)
     return F.array_compact(F.array(*entries))
 
 
@@ -138,7 +142,7 @@ def truncate_text(text: Column, limit: int, marker: str = "") -> Column:
 def contract_sections(text: Column) -> Column:
     """array<string> of sections: runs of clean lines, each from its first keyword line on."""
     noise = any_pattern([p for group in N.NOISE_PATTERNS.values() for p in group])
-    keyword = "(?i)" + "|".join(N.CONTRACT_KEYWORDS)
+    keyword = any_word(N.CONTRACT_KEYWORDS)
     marked = F.transform(
         F.split(text, "\n", -1),
         lambda line: F.when((strip(line) == "") | line.rlike(noise), F.lit("\x01")).otherwise(line),

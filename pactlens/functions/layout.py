@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlens.fixed import noise as N
-from pactlens.functions.text import any_pattern, count_contained, let, normalize_whitespace, pattern, replace_all, strip
+from pactlens.functions.text import any_pattern, any_word, count_contained, let, normalize_whitespace, pattern, replace_all, strip
 
 LINE_PATTERNS = [p for group in N.LINE_NOISE.values() for p in group]
-INDICATOR = "(?i)" + "|".join(N.LAYOUT_INDICATORS)
+INDICATOR = any_word(N.LAYOUT_INDICATORS)
 STOP = any_pattern(N.BODY_STOP_PATTERNS)
 
 
@@ -36,10 +36,12 @@ def document_structure(text: Column) -> Column:
         def assemble(flags: Column) -> Column:
             start = F.when(flags["header"], head_end).otherwise(0)
             end = F.when(flags["footer"], foot_start).otherwise(n)
-            hits = F.transform(lines, lambda line: line.rlike(INDICATOR))
-            body_hits = F.slice(hits, start + 1, F.greatest(end - start, F.lit(0)))
-            at = F.array_position(body_hits, True).cast("int")
-            first = F.when(at > 0, start + at - 1).otherwise(-1)
+            body = F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n")
+            # text up to the first indicator: its line breaks give the line number
+            first = let(
+                F.regexp_extract(body, f"(?s)^.*?{INDICATOR}", 0),
+                lambda head_part: F.when(head_part != "", start + F.size(F.split(head_part, "\n", -1)) - 1).otherwise(-1),
+            )
             return let(
                 F.struct(start.alias("start"), end.alias("end"), first.alias("first")),
                 lambda s: F.struct(
@@ -75,9 +77,13 @@ def remove_first(text: Column, source: str, flags: str) -> Column:
 
 def filter_body_noise(text: Column) -> Column:
     """Delete noise lines and identity numbers, then short and stamp-like lines."""
-    t = replace_all(text, LINE_PATTERNS, "")
-    for source, flags in N.LAYOUT_REGIONS["metadataRegion"]:
-        t = remove_first(t, source, flags)
+    def without_numbers(cleaned: Column) -> Column:
+        t = cleaned
+        for source, flags in N.LAYOUT_REGIONS["metadataRegion"]:
+            t = remove_first(t, source, flags)
+        return F.when(cleaned.rlike(any_pattern(N.LAYOUT_REGIONS["metadataRegion"])), t).otherwise(cleaned)
+
+    t = let(replace_all(text, LINE_PATTERNS, ""), without_numbers)
 
     def keep(line: Column) -> Column:
         return let(
@@ -133,16 +139,18 @@ def conservative_body(text: Column) -> Column:
     return let(F.split(text, "\n", -1), of_lines)
 
 
-def validate_layout_result(filtered: Column, original: Column) -> Column:
-    """Fall back to C14 when too much was removed, else squeeze blanks and trim."""
+def validate_layout_result(filtered: Column, original: Column, squeezed: bool = False) -> Column:
+    """Fall back to C14 when too much was removed, else squeeze blanks and trim.
+
+    `squeezed` says that the text has single blanks already, as C13 leaves it.
+    """
     indicators = let(F.lower(filtered), lambda low: count_contained(low, N.LAYOUT_INDICATORS))
     removed = (F.length(original) - F.length(filtered)) / F.length(original)
     too_little = (removed > N.MAX_REMOVED_SHARE) | (
         (F.length(filtered) < N.SHORT_RESULT_CHARS) & (indicators < N.MIN_LAYOUT_INDICATORS)
     )
-    return F.when(too_little, conservative_body(original)).otherwise(
-        strip(F.regexp_replace(filtered, pattern(r"\s{3,}"), " "))
-    )
+    kept = filtered if squeezed else strip(F.regexp_replace(filtered, pattern(r"\s{3,}"), " "))
+    return F.when(too_little, conservative_body(original)).otherwise(kept)
 
 
 def body_region(text: Column) -> Column:
@@ -163,7 +171,7 @@ def filter_layout_noise(text: Column) -> Column:
     """C11, body slice, C12 or C14, C13, C15."""
     filtered = filter_region_noise(body_region(text))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(
-        let(filtered, lambda f: validate_layout_result(f, text))
+        let(filtered, lambda f: validate_layout_result(f, text, squeezed=True))
     )
 
 
@@ -190,10 +198,13 @@ def layout_findings(text: Column) -> Column:
             regex = pattern(source, flags)
             found = let(
                 F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-                lambda m, family=family, source=source: F.struct(
-                    F.lit("noise").alias("kind"), F.lit(family).alias("region"), F.lit(source).alias("pattern"),
-                    F.size(m).alias("matches"), F.slice(m, 1, 2).alias("examples"),
+                lambda m, family=family, source=source: F.when(
+                    F.size(m) > 0,
+                    F.struct(
+                        F.lit("noise").alias("kind"), F.lit(family).alias("region"), F.lit(source).alias("pattern"),
+                        F.size(m).alias("matches"), F.slice(m, 1, 2).alias("examples"),
+                    ),
                 ),
             )
-            entries.append(F.when(text.rlike(regex), found))
+            entries.append(found)
     return F.array_compact(F.array(*entries))

@@ -15,32 +15,62 @@ SPAN = "struct<text:string,label:string,start:int,end:int,confidence:double,repl
 SPANS = f"array<{SPAN}>"
 
 
-def pattern_hits(text: Column, regex: str) -> Column:
-    """array<struct<start,end,hit>> of all matches of a pattern that never matches ''.
+HITS = "array<struct<start:int,end:int,hit:string>>"
 
-    Start offsets are the running sum of the lengths of the gaps between matches and of the
-    matches.  The cheap `rlike` keeps texts without a match at a single pass.
-    """
-    kind = "array<struct<start:int,end:int,hit:string>>"
 
-    def fold(hits: Column, gaps: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["pos"] + F.length(pair["gap"])
-            end = start + F.length(pair["hit"])
-            entry = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(entry)).alias("out"))
+def _fold_hits(pairs: Column) -> Column:
+    """Running offsets over array<struct<gap,hit>>; an entry without a hit only moves on."""
 
-        pairs = F.zip_with(
-            hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))
-        )
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["pos"] + F.length(pair["gap"])
+        end = start + F.length(pair["hit"])
+        entry = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    found = let(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda hits: let(F.split(text, regex, -1), lambda gaps: fold(hits, gaps)),
-    )
-    return F.when(text.rlike(regex), found).otherwise(F.array().cast(kind))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(HITS).alias("out"))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
+def pattern_hits(text: Column, regex: str) -> Column:
+    """array<struct<start,end,hit>> of all matches of a pattern that never matches ''.
+
+    One pass of the pattern puts marks around its matches; plain splits at the marks then give
+    the gaps and the matches, and offsets are the running sum of their lengths.  A text that
+    holds the mark characters itself takes the slower way of matching twice.
+    """
+    opening, closing = "\x01", "\x02"
+    none = F.array().cast(HITS)
+
+    def from_marks(marked: Column) -> Column:
+        def cut(pieces: Column) -> Column:
+            # piece i (from 1 on) is "<hit> CLOSING <gap before the next hit>"
+            def gap_before(i: Column) -> Column:
+                before = F.element_at(pieces, i)
+                return F.when(i == 1, before).otherwise(F.substring_index(before, closing, -1))
+
+            pairs = F.transform(
+                F.slice(pieces, F.lit(2), F.size(pieces)),
+                lambda piece, i: F.struct(gap_before(i + 1).alias("gap"), F.substring_index(piece, closing, 1).alias("hit")),
+            )
+            return _fold_hits(pairs)
+
+        return F.when(F.contains(marked, F.lit(opening)), let(F.split(marked, opening, -1), cut)).otherwise(none)
+
+    def twice() -> Column:
+        def cut(gaps: Column) -> Column:
+            hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+            pairs = let(
+                hits,
+                lambda h: F.zip_with(
+                    h, F.slice(gaps, F.lit(1), F.size(h)), lambda x, g: F.struct(g.alias("gap"), x.alias("hit"))
+                ),
+            )
+            return _fold_hits(pairs)
+
+        return let(F.split(text, regex, -1), cut)
+
+    has_marks = F.contains(text, F.lit(opening)) | F.contains(text, F.lit(closing))
+    return F.when(has_marks, twice()).otherwise(let(F.regexp_replace(text, regex, f"{opening}$0{closing}"), from_marks))
 
 
 def labelled(hits: Column, label: str, confidence: float, replacement: str) -> Column:

@@ -11,7 +11,10 @@ Every function maps Columns to Columns and stays inside the JVM.  Two convention
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ WHITESPACE_CHARS = " \t\n\x0b\f\r" + "".join(
 # `\w` is ASCII here; it is far cheaper in Java than the spelled-out ranges.
 WORD_START = r"(?<!\w)"
 WORD_END = r"(?!\w)"
+NOT_PRINTABLE = "(?![!-~])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,15 +59,44 @@ def expand_whitespace(source: str) -> str:
 
 
 def pattern(source: str, flags: str = "") -> str:
-    """Spark (Java) form of a fixed pattern; "i" ignores case, "m" is line-wise."""
-    text = expand_whitespace(source)
+    """Spark (Java) form of a fixed pattern; "i" ignores case, "m" is line-wise.
+
+    A pattern that starts with whitespace first rules out the printable ASCII characters,
+    because the wide whitespace class costs several tests per character.
+    """
+    text = (NOT_PRINTABLE if source.startswith(r"\s") else "") + expand_whitespace(source)
     java = ("i" if "i" in flags else "") + ("md" if "m" in flags else "")
     return f"(?{java}){text}" if java else text
 
 
 def any_pattern(patterns: Iterable[tuple[str, str]]) -> str:
-    """One pattern that matches where any of the given (source, flags) patterns does."""
-    return "|".join(f"(?{f or ''}{'d' if 'm' in f else ''}:{expand_whitespace(s)})" for s, f in patterns)
+    """One pattern that matches somewhere exactly where one of the (source, flags) patterns does.
+
+    Case-insensitive patterns that start with a letter are grouped by that letter, which
+    spares most of the alternatives at most positions.
+    """
+    by_letter, others = defaultdict(list), []
+    for source, flags in patterns:
+        parts = [source] if re.search(r"[(\[]", source) else source.split("|")
+        if flags == "i" and all(part[0].isalpha() for part in parts):
+            for part in parts:
+                by_letter[part[0].lower()].append(expand_whitespace(part[1:]))
+        else:
+            others.append(f"(?{flags}{'d' if 'm' in flags else ''}:{expand_whitespace(source)})")
+    letters = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    return "|".join(([f"(?i:{letters})"] if letters else []) + others)
+
+
+def any_word(words: Iterable[str]) -> str:
+    """One case-insensitive pattern for all the words, as substrings.
+
+    The words are grouped by first letter behind a test of that letter, so most positions fail
+    after one class test.
+    """
+    ordered = sorted(set(words))
+    groups = [f"{c}(?:{'|'.join(w[1:] for w in ws)})" for c, ws in groupby(ordered, key=lambda w: w[0])]
+    letters = "".join(sorted({w[0] for w in ordered}))
+    return f"(?=[{letters}{letters.upper()}])(?i:{'|'.join(groups)})"
 
 
 def replace_all(text: Column, patterns: Iterable[tuple[str, str]], replacement: str) -> Column:
@@ -83,7 +116,9 @@ def normalize_whitespace(text: Column) -> Column:
 
     A run that is a single blank already is not matched, so ordinary text is left alone.
     """
-    return strip(F.regexp_replace(text, rf"[{WHITESPACE_CLASS}]{{2,}}|[{WHITESPACE_CLASS}&&[^ ]]", " "))
+    wide = f"[{WHITESPACE_CLASS}]"
+    runs = f" {NOT_PRINTABLE}{wide}+|(?![ -~]){wide}+"
+    return strip(F.regexp_replace(text, runs, " "))
 
 
 def count_contained(lowered: Column, words: Iterable[str]) -> Column:

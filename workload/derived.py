@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.fixed.clauses import LABELS
+from pactlens.operators.rows import spread
 from workload.bank import BANK
 
 CONTRACT_TYPES = ["service", "rental", "employment", "nda", "sales", "partnership"]
@@ -31,7 +32,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight bank entries, the document text, and a footer line on every fourth document."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     slots = [pick(BANK, (F.col("doc_id") * 31 + k * 17) % len(BANK)) for k in range(8)]
     footer = F.when(F.col("doc_id") % 4 == 0, F.lit("Signature page, PAGE 9"))
     return docs.select("doc_id", F.concat_ws("\n", *slots, F.col("text"), footer).alias("text"))

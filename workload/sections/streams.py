@@ -20,7 +20,7 @@ from pactlens.streaming import streams as ST
 from workload import derived as W
 from workload.sections.cleaning import clean_sql, filtered_sql
 from workload.sections.metrics import ISSUE_NUMBERS, _ISSUE_SQL, audit_sql, rounded
-from workload.sql import lst, q, rnd, statement, strip
+from workload.sql import STAGES, q, rnd, span_stages, statement, strip
 
 QUERIES, ORACLE = {}, {}
 
@@ -144,7 +144,12 @@ def stream_clean_and_redact(spark, sf_dir):
     return spark.read.schema(result.schema).parquet(out)
 
 
+STAGES["h_clean"] = (["contracts_pii"], f"SELECT doc_id, {clean_sql('cleaned')} AS text FROM ({filtered_sql('contracts_pii')})")
+STAGES |= span_stages("h_", "h_clean")
+CLEANED_SQL = statement(
+    "SELECT doc_id, r.text AS redacted_text, s.n AS entities_redacted FROM h_redacted r JOIN h_scores s USING (doc_id)", "h_redacted", "h_scores")
 QUERIES["stream_clean_and_redact"] = stream_clean_and_redact
+ORACLE["stream_clean_and_redact"] = CLEANED_SQL
 
 
 def clean_and_redact(spark, sf_dir):
@@ -152,6 +157,7 @@ def clean_and_redact(spark, sf_dir):
 
 
 QUERIES["clean_and_redact"] = clean_and_redact
+ORACLE["clean_and_redact"] = CLEANED_SQL
 
 
 def _event_stream(spark, sf_dir):

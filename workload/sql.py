@@ -160,37 +160,42 @@ def word_bounded(rows: str, source: str) -> str:
 CONFIGURED = [(i, name.upper(), 1.0, token, "(?i)" + regex) for i, (name, regex, token) in enumerate(P.CONFIGURED_PATTERNS)]
 BASIC = [(i, label, conf, f"[{label}]", regex) for i, (label, regex, conf) in enumerate(P.BASIC_PATTERNS)]
 
-STAGES = {
-    "configured": (["contracts_pii"], word_bounded(pattern_rows("contracts_pii", CONFIGURED), "contracts_pii")),
-    "basic": (["contracts_pii"], word_bounded(pattern_rows("contracts_pii", BASIC), "contracts_pii")),
-    # one row per document: spans folded by start; overlaps keep the more certain, longer, earlier span
-    "merged": (["configured"], """SELECT doc_id, list_reduce(spans, lambda a, x:
-            CASE WHEN x[1].start >= a[len(a)].end THEN list_concat(a, x)
-                 WHEN x[1].confidence > a[len(a)].confidence
-                   OR (x[1].confidence = a[len(a)].confidence AND x[1].end - x[1].start > a[len(a)].end - a[len(a)].start)
-                 THEN list_concat(a[1:len(a) - 1], x) ELSE a END) AS spans
-        FROM (SELECT doc_id, list([{'hit': hit, 'label': label, 'start': start, 'end': "end", 'confidence': confidence,
-                                    'replacement': replacement}] ORDER BY start, ord, i) AS spans
-              FROM configured GROUP BY doc_id)"""),
-    "merged_rows": (["merged"], """SELECT doc_id, i AS span_no, s.hit AS hit, s.label AS label, s.start AS start, s.end AS "end",
-            s.confidence AS confidence, s.replacement AS replacement
-        FROM (SELECT doc_id, unnest(spans) AS s, generate_subscripts(spans, 1) AS i FROM merged)"""),
-    "redacted": (["contracts_pii", "merged_rows"], """SELECT t.doc_id, CASE WHEN p.body IS NULL THEN t.text
-              ELSE p.body || substring(t.text, p.last_end + 1) END AS text
-        FROM contracts_pii t LEFT JOIN (
-            SELECT doc_id, string_agg(piece, '' ORDER BY span_no) AS body, max("end") AS last_end FROM (
-                SELECT m.doc_id, m.span_no, m."end",
-                       substring(t.text, 1 + coalesce(lag(m."end") OVER w, 0), m.start - coalesce(lag(m."end") OVER w, 0)) || m.replacement AS piece
-                FROM merged_rows m JOIN contracts_pii t USING (doc_id) WINDOW w AS (PARTITION BY m.doc_id ORDER BY m.span_no))
-            GROUP BY doc_id) p USING (doc_id)"""),
-    "scores": (["contracts_pii", "merged_rows"], f"""SELECT t.doc_id, count(m.doc_id) AS n,
-            CASE WHEN count(m.doc_id) = 0 THEN 1.0 ELSE floor(greatest(0.0, 1.0 -
-                (coalesce(sum(m."end" - m.start), 0)::DOUBLE / any_value(length(t.text)) * 2
-                 + sum({mapped('m.label', P.SENSITIVITY_TENTHS, '5')})::DOUBLE / (count(m.doc_id) * 10) * 0.5)) * 1000 + 0.5) / 1000.0 END AS privacy_score,
-            list(m.label ORDER BY m.span_no) FILTER (m.label IS NOT NULL) AS labels,
-            coalesce(sum(m."end" - m.start), 0) AS chars, any_value(length(t.text)) AS text_length
-        FROM contracts_pii t LEFT JOIN merged_rows m USING (doc_id) GROUP BY t.doc_id"""),
-}
+def span_stages(prefix: str, source: str) -> dict:
+    """Stages <prefix>configured, merged, merged_rows, redacted, scores over a (doc_id, text) source."""
+    return {
+        f"{prefix}configured": ([source], word_bounded(pattern_rows(source, CONFIGURED), source)),
+        # one row per document: spans folded by start; overlaps keep the more certain, longer, earlier span
+        f"{prefix}merged": ([f"{prefix}configured"], f"""SELECT doc_id, list_reduce(spans, lambda a, x:
+                CASE WHEN x[1].start >= a[len(a)].end THEN list_concat(a, x)
+                     WHEN x[1].confidence > a[len(a)].confidence
+                       OR (x[1].confidence = a[len(a)].confidence AND x[1].end - x[1].start > a[len(a)].end - a[len(a)].start)
+                     THEN list_concat(a[1:len(a) - 1], x) ELSE a END) AS spans
+            FROM (SELECT doc_id, list([{{'hit': hit, 'label': label, 'start': start, 'end': "end", 'confidence': confidence,
+                                        'replacement': replacement}}] ORDER BY start, ord, i) AS spans
+                  FROM {prefix}configured GROUP BY doc_id)"""),
+        f"{prefix}merged_rows": ([f"{prefix}merged"], f"""SELECT doc_id, i AS span_no, s.hit AS hit, s.label AS label, s.start AS start, s.end AS "end",
+                s.confidence AS confidence, s.replacement AS replacement
+            FROM (SELECT doc_id, unnest(spans) AS s, generate_subscripts(spans, 1) AS i FROM {prefix}merged)"""),
+        f"{prefix}redacted": ([source, f"{prefix}merged_rows"], f"""SELECT t.doc_id, CASE WHEN p.body IS NULL THEN t.text
+                  ELSE p.body || substring(t.text, p.last_end + 1) END AS text
+            FROM {source} t LEFT JOIN (
+                SELECT doc_id, string_agg(piece, '' ORDER BY span_no) AS body, max("end") AS last_end FROM (
+                    SELECT m.doc_id, m.span_no, m."end",
+                           substring(t.text, 1 + coalesce(lag(m."end") OVER w, 0), m.start - coalesce(lag(m."end") OVER w, 0)) || m.replacement AS piece
+                    FROM {prefix}merged_rows m JOIN {source} t USING (doc_id) WINDOW w AS (PARTITION BY m.doc_id ORDER BY m.span_no))
+                GROUP BY doc_id) p USING (doc_id)"""),
+        f"{prefix}scores": ([source, f"{prefix}merged_rows"], f"""SELECT t.doc_id, count(m.doc_id) AS n,
+                CASE WHEN count(m.doc_id) = 0 THEN 1.0 ELSE floor(greatest(0.0, 1.0 -
+                    (coalesce(sum(m."end" - m.start), 0)::DOUBLE / any_value(length(t.text)) * 2
+                     + sum({mapped('m.label', P.SENSITIVITY_TENTHS, '5')})::DOUBLE / (count(m.doc_id) * 10) * 0.5)) * 1000 + 0.5) / 1000.0 END AS privacy_score,
+                list(m.label ORDER BY m.span_no) FILTER (m.label IS NOT NULL) AS labels,
+                coalesce(sum(m."end" - m.start), 0) AS chars, any_value(length(t.text)) AS text_length
+            FROM {source} t LEFT JOIN {prefix}merged_rows m USING (doc_id) GROUP BY t.doc_id"""),
+    }
+
+
+STAGES = {"basic": (["contracts_pii"], word_bounded(pattern_rows("contracts_pii", BASIC), "contracts_pii"))}
+STAGES |= span_stages("", "contracts_pii")
 
 # ---- layout filtering, as stages over (doc_id, text) tables
 
