@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
 from pactlens.functions.confidence import clause_confidence_level, rule_confidence
-from pactlens.functions.text import WORD_END, WORD_START, any_word, let, strip
+from pactlens.functions.text import WORD_END, WORD_START, any_word, let, literal_array, literal_table, strip
 
 CANDIDATE = (
     "struct<ord:int,at:int,type:string,keyword:string,hit:string,content:string,lowered:string,start:int,end:int>"
@@ -57,35 +57,31 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     sentence; only the first such keyword position of a sentence counts, as matches may not
     overlap.  Context is 100 characters on both sides.
     """
-    table = keyword_table(taxonomy)
+    table = literal_table(
+        {
+            "ord": order, "type": clause_type, "keyword": keyword,
+            "regex": rf"(?i){WORD_START}{keyword}{WORD_END}[^.]{{0,{C.SENTENCE_TAIL}}}[.]",
+        }
+        for order, clause_type, keyword in keyword_table(taxonomy)
+    )
 
     def in_sentence(sentence: Column) -> Column:
-        def for_keywords(low: Column) -> Column:
-            entries = []
-            for order, clause_type, keyword in table:
-                regex = rf"(?i){WORD_START}{keyword}{WORD_END}[^.]{{0,{C.SENTENCE_TAIL}}}[.]"
-                hit = F.regexp_extract(F.concat(sentence["body"], F.lit(".")), regex, 0)
-                entries.append(
-                    F.when(
-                        F.contains(low, F.lit(keyword)),
-                        let(
-                            hit,
-                            lambda h, o=order, t=clause_type, k=keyword: F.when(
-                                h != "",
-                                F.struct(
-                                    F.lit(o).alias("ord"),
-                                    (sentence["at"] + F.length(sentence["body"]) + 1 - F.length(h)).alias("at"),
-                                    F.lit(t).alias("type"),
-                                    F.lit(k).alias("keyword"),
-                                    h.alias("hit"),
-                                ),
-                            ),
-                        ),
-                    )
-                )
-            return F.array_compact(F.array(*entries))
-
-        return let(F.lower(sentence["body"]), for_keywords)
+        def match(k: Column) -> Column:
+            return let(
+                F.regexp_substr(F.concat(sentence["body"], F.lit(".")), k["regex"]),
+                lambda hit: F.struct(
+                    k["ord"],
+                    (sentence["at"] + F.length(sentence["body"]) + 1 - F.length(hit)).alias("at"),
+                    k["type"],
+                    k["keyword"],
+                    hit.alias("hit"),
+                ),
+            )
+
+        present = let(
+            F.lower(sentence["body"]), lambda low: F.filter(table, lambda k: F.contains(low, k["keyword"]))
+        )
+        return F.filter(F.transform(present, match), lambda m: m["hit"].isNotNull())
 
     def with_context(hit: Column) -> Column:
         start = F.greatest(F.lit(0), hit["at"] - C.CONTEXT_CHARS)
@@ -125,7 +121,7 @@ def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
         return F.when(keep, F.concat(kept, F.array(item))).otherwise(kept)
 
     def per_type(found: Column) -> Column:
-        types = F.array(*[F.lit(t) for t in taxonomy])
+        types = literal_array(taxonomy)
         return F.flatten(
             F.transform(
                 types,

@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from pactlens.fixed import clauses as C
 from pactlens.fixed import risk as R
 from pactlens.functions.text import (
-    WORD_END, WORD_START, clamp, contains_any, drop_nulls, let, lookup, message, round_half_up,
+    WORD_END, WORD_START, clamp, contains_any, drop_nulls, let, literal_array, literal_table, lookup, message,
+    round_half_up,
 )
 
 
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def plain_number(value: Column) -> Column:
     """Number as text without a trailing .0"""
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
@@ -25,8 +22,10 @@ def plain_number(value: Column) -> Column:
 
 def factors_of(clause_type: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     """The risk factors of a clause type, as written."""
-    entries = [x for t, (_, _, factors) in taxonomy.items() for x in (F.lit(t), _array(factors))]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), clause_type), F.array().cast("array<string>"))
+    table = literal_table(
+        {"type": t, "factor": factor} for t, (_, _, factors) in taxonomy.items() for factor in factors
+    )
+    return F.transform(F.filter(table, lambda r: r["type"] == clause_type), lambda r: r["factor"])
 
 
 def base_clause_risk(content: Column, clause_type: Column, confidence: Column) -> Column:
@@ -39,9 +38,11 @@ def base_clause_risk(content: Column, clause_type: Column, confidence: Column) -
             start,
             lambda acc, f: acc + F.when(F.contains(low, F.lower(f)), F.lit(R.RISK_FACTOR_POINTS)).otherwise(F.lit(0.0)),
         )
-        for phrase, points in (R.RISK_PHRASES | R.MITIGATING_PHRASES).items():
-            total = total + F.when(F.contains(low, F.lit(phrase)), F.lit(float(points))).otherwise(F.lit(0.0))
-        return total
+        phrases = literal_table(
+            {"phrase": p, "points": float(v)} for p, v in (R.RISK_PHRASES | R.MITIGATING_PHRASES).items()
+        )
+        present = F.filter(phrases, lambda p: F.contains(low, p["phrase"]))
+        return F.aggregate(present, total, lambda acc, p: acc + p["points"])
 
     raw = let(F.lower(content), score) * (F.lit(0.3) + confidence * 0.7)
     return clamp(round_half_up(raw, 1), 1, 10)
@@ -70,37 +71,46 @@ def risk_triggers(content: Column, clause_type: Column | None = None, type_trigg
     array<struct<word,start,end,reason,weight,category,kind>>; `type_triggers` adds words for
     single clause types (weight 2.0), skipping words that are already in the fixed tables.
     """
-    table = [(w, wt, reason, cat, "risk", None) for w, wt, reason, cat in R.RISK_TRIGGERS]
-    table += [(w, wt, reason, cat, "mitigator", None) for w, wt, reason, cat in R.MITIGATORS]
-    known = {w for w, *_ in table}
+    rows = [(w, wt, reason, cat, "risk", "") for w, wt, reason, cat in R.RISK_TRIGGERS]
+    rows += [(w, wt, reason, cat, "mitigator", "") for w, wt, reason, cat in R.MITIGATORS]
+    known = {w for w, *_ in rows}
     for t, words in (type_triggers or {}).items():
         for w in dict.fromkeys(words):
             if w.lower() not in known:
-                table.append((w, R.TYPE_TRIGGER_WEIGHT, R.MSG_TYPE_TRIGGER % (t, w), t, "clause_specific", t))
-
-    def all_hits(low: Column) -> Column:
-        found = []
-        for order, (word, weight, reason, category, kind, only) in enumerate(table):
-            regex = f"(?i){WORD_START}{word.lower()}{WORD_END}"
-
-            def entries(gaps, order=order, word=word, weight=weight, reason=reason, category=category, kind=kind):
-                def entry(i: Column) -> Column:
-                    start = F.length(F.array_join(F.slice(gaps, F.lit(1), i), "#" * len(word)))
-                    return F.struct(
-                        start.alias("start"), F.lit(order).alias("ord"), F.lit(word).alias("word"),
-                        (start + len(word)).alias("end"), F.lit(reason).alias("reason"),
-                        F.lit(weight).alias("weight"), F.lit(category).alias("category"), F.lit(kind).alias("kind"),
-                    )
-
-                return F.when(F.size(gaps) > 1, F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), entry))
-
-            guard = F.contains(low, F.lit(word.lower()))
-            if only is not None:
-                guard = guard & (clause_type == only)
-            found.append(F.when(guard, let(F.split(content, regex, -1), entries)))
-        return F.flatten(F.array_compact(F.array(*found)))
-
-    ordered = F.sort_array(let(F.lower(content), all_hits))
+                rows.append((w, R.TYPE_TRIGGER_WEIGHT, R.MSG_TYPE_TRIGGER % (t, w), t, "clause_specific", t))
+    table = literal_table(
+        {
+            "ord": i, "word": w, "lowered": w.lower(), "regex": f"(?i){WORD_START}{w.lower()}{WORD_END}",
+            "reason": reason, "weight": float(wt), "category": cat, "kind": kind, "only": only,
+        }
+        for i, (w, wt, reason, cat, kind, only) in enumerate(rows)
+    )
+
+    def hits_of(t: Column) -> Column:
+        def from_gaps(gaps: Column) -> Column:
+            def entry(i: Column) -> Column:
+                before = F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda acc, g: acc + F.length(g))
+                return let(
+                    before + (i - 1) * F.length(t["word"]),
+                    lambda start: F.struct(
+                        start.alias("start"), t["ord"], t["word"], (start + F.length(t["word"])).alias("end"),
+                        t["reason"], t["weight"], t["category"], t["kind"],
+                    ),
+                )
+
+            # `sequence` would count down for a text without a whole-word hit
+            numbers = F.when(F.size(gaps) > 1, F.sequence(F.lit(1), F.size(gaps) - 1)).otherwise(
+                F.array().cast("array<int>")
+            )
+            return F.transform(numbers, entry)
+
+        return let(F.split(content, t["regex"], -1), from_gaps)
+
+    def present(low: Column) -> Column:
+        here = F.filter(table, lambda t: F.contains(low, t["lowered"]))
+        return F.filter(here, lambda t: (t["only"] == "") | (t["only"] == clause_type)) if type_triggers else here
+
+    ordered = F.sort_array(F.flatten(F.transform(let(F.lower(content), present), hits_of)))
     return F.transform(
         ordered,
         lambda t: F.struct(t["word"], t["start"], t["end"], t["reason"], t["weight"], t["category"], t["kind"]),
@@ -241,7 +251,7 @@ def handbook_suggestions(
             F.concat(prefix, advice, suffix).alias("suggestion"),
             message(R.HANDBOOK_JUSTIFICATION, first_blank(clause_type), confidence_level).alias("justification"),
             language.alias("specific_language"),
-            _array(R.HANDBOOK_ACTIONS).alias("action_items"),
+            literal_array(R.HANDBOOK_ACTIONS).alias("action_items"),
             message(R.HANDBOOK_OUTCOME, first_blank(clause_type)).alias("expected_outcome"),
         )
 
@@ -367,7 +377,7 @@ def prompt_text(clause: dict[str, Column], template: str, handbook: Handbook | N
 
 def missing_clauses(clauses: Column) -> Column:
     """The standard types without a clause, in standard order (F8)."""
-    return F.array_except(_array(C.STANDARD_TYPES), F.transform(clauses, lambda c: c["type"]))
+    return F.array_except(literal_array(C.STANDARD_TYPES), F.transform(clauses, lambda c: c["type"]))
 
 
 def _count(clauses: Column, test) -> Column:
@@ -387,7 +397,7 @@ def overall_risk(clauses: Column, text_length: Column) -> Column:
             ),
             lambda a: F.when(a["w"] > 0, a["s"] / a["w"]).otherwise(F.lit(5.0)),
         )
-        absent = F.size(F.array_except(_array(C.CRITICAL_TYPES), F.transform(cs, lambda c: c["type"])))
+        absent = F.size(F.array_except(literal_array(C.CRITICAL_TYPES), F.transform(cs, lambda c: c["type"])))
         high = _count(cs, lambda c: c["risk_score"] >= 7)
         total = (
             mean
@@ -438,7 +448,7 @@ def analysis_summary(clauses: Column, score: Column, missing: Column, is_batch:
         def part(n: Column, template: str) -> Column:
             return F.when(n > 0, message(template, n)).otherwise(F.lit(""))
 
-        missing_rental = F.size(F.array_intersect(missing, _array(C.RENTAL_TYPES)))
+        missing_rental = F.size(F.array_intersect(missing, literal_array(C.RENTAL_TYPES)))
         return F.concat(
             F.when(is_batch, F.lit(R.SUM_BATCH)).otherwise(F.lit(R.SUM_SINGLE)),
             level,

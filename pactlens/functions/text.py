@@ -121,20 +121,34 @@ def normalize_whitespace(text: Column) -> Column:
     return strip(F.regexp_replace(text, runs, " "))
 
 
+def _sql(value: object) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def literal_array(values: Iterable[object]) -> Column:
+    """Constant array of strings or numbers; the optimizer folds it into one literal."""
+    return F.expr(f"array({', '.join(map(_sql, values))})")
+
+
+def literal_table(rows: Iterable[dict[str, object]]) -> Column:
+    """Constant array of structs, one per row of a fixed table."""
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{name}', {_sql(value)}" for name, value in row.items()) + ")" for row in rows
+    ) + ")")
+
+
 def count_contained(lowered: Column, words: Iterable[str]) -> Column:
-    """How many of the words occur as substrings of the lower-cased text."""
-    total = F.lit(0)
-    for word in words:
-        total = total + F.contains(lowered, F.lit(word)).cast("int")
-    return total
+    """How many of the words occur as substrings; `lowered` is a column or a `let` name."""
+    return F.size(F.filter(literal_array(words), lambda w: F.contains(lowered, w)))
 
 
 def contains_any(lowered: Column, words: Iterable[str]) -> Column:
-    """Whether at least one of the words occurs as a substring of the lower-cased text."""
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(lowered, F.lit(word))
-    return found
+    """Whether one of the words occurs as a substring; `lowered` is a column or a `let` name."""
+    return F.exists(literal_array(words), lambda w: F.contains(lowered, w))
 
 
 def round_half_up(value: Column, digits: int) -> Column:
@@ -171,8 +185,8 @@ def drop_nulls(*items: Column) -> Column:
 
 def lookup(table: dict[str, object], key: Column, default: object) -> Column:
     """Value of a small fixed table, or the default."""
-    entries = [part for k, v in table.items() for part in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), key), F.lit(default))
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), key), F.lit(default))
 
 
 def first_rule(text: Column, rules: Iterable[tuple[str, Iterable[str]]], otherwise: str) -> Column:

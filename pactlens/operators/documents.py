@@ -90,11 +90,12 @@ def merge_batch(files: DataFrame, cap: int = D.BATCH_TEXT_CHARS, block: int = 10
     piece = F.when(
         error.isNotNull(), F.concat(message(D.SEPARATOR_FAILED, name), message(D.PLACEHOLDER_FAILED, error))
     ).otherwise(F.concat(message(D.SEPARATOR, name), body))
-    pieces = files.select("batch_id", "ord", piece.alias("piece")).withColumn("step", F.length("piece") + 2)
-    placed = running_total(pieces, ["batch_id"], "ord", "step", "at", block, ties=["piece"])
-    reachable = placed.filter(F.col("at") <= cap + 2).select(
-        "batch_id", F.struct("at", F.substring("piece", 1, cap + 1).alias("piece")).alias("entry")
+    # no piece can show more than the capped text, so longer ones are cut before the shuffle
+    pieces = files.select("batch_id", "ord", piece.alias("piece")).select(
+        "batch_id", "ord", (F.length("piece") + 2).alias("step"), F.substring("piece", 1, cap + 1).alias("piece")
     )
+    placed = running_total(pieces, ["batch_id"], "ord", "step", "at", block, ties=["piece"])
+    reachable = placed.filter(F.col("at") <= cap + 2).select("batch_id", F.struct("at", "piece").alias("entry"))
     merged = reachable.groupBy("batch_id").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     text = F.array_join(F.transform("entries", lambda e: e["piece"]), "\n\n")
     return merged.select("batch_id", text.alias("text")).select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pactlens.fixed import documents as D
 from pactlens.fixed.clauses import LABELS
-from pactlens.functions.text import message
+from pactlens.functions.text import message, round_half_up
 
 
 def pair_counts(predictions: DataFrame, *groups: str) -> DataFrame:
@@ -85,7 +85,7 @@ def overall_metrics(predictions: DataFrame) -> DataFrame:
 
 def low_f1_classes(per_class: DataFrame, threshold: float = D.LOW_F1) -> DataFrame:
     """A warning per class below the threshold, one success row when there is none."""
-    f1 = F.format_string("%.3f", F.col("f1_score"))
+    f1 = F.format_string("%.3f", round_half_up(F.col("f1_score"), 3))
     warnings = per_class.filter(F.col("f1_score") < threshold).select(
         F.lit("warning").alias("type"), F.col("label").alias("class_name"), message(D.MSG_LOW_F1, F.col("label"), f1).alias("message")
     )

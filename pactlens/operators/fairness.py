@@ -64,7 +64,7 @@ def bias_issues(
         "worst_sample_size",
         message(
             "%s disparity of %s between %s and %s contracts",
-            title, F.format_string("%.3f", F.col("disparity")), F.col("best_performing"), F.col("worst_performing"),
+            title, F.format_string("%.3f", F.bround("disparity", 3)), F.col("best_performing"), F.col("worst_performing"),
         ).alias("description"),
     )
 

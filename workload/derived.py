@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.fixed.clauses import LABELS
+from pactlens.functions.text import literal_array
 from pactlens.operators.rows import spread
 from workload.bank import BANK
 
@@ -27,12 +28,17 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 def pick(values: list[str], index: Column) -> Column:
     """values[index], zero-based."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(literal_array(values), (index + 1).cast("int"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text, spread over all cores where the table is a single file."""
+    return spread(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight bank entries, the document text, and a footer line on every fourth document."""
-    docs = spread(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    docs = documents(spark, sf_dir)
     slots = [pick(BANK, (F.col("doc_id") * 31 + k * 17) % len(BANK)) for k in range(8)]
     footer = F.when(F.col("doc_id") % 4 == 0, F.lit("Signature page, PAGE 9"))
     return docs.select("doc_id", F.concat_ws("\n", *slots, F.col("text"), footer).alias("text"))

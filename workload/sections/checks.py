@@ -14,7 +14,7 @@ from workload import derived as W
 from workload.sql import mapped, msg, pick, q, replaced, squeeze, statement, strip
 
 QUERIES, ORACLE = {}, {}
-TEXT = F.col("text")
+
 
 ROUTE_SQL = mapped("mime", D.MIME_ROUTES, "'unsupported'")
 MIME_OK = "mime IN (" + ", ".join(q(m) for m in D.MIME_ROUTES) + ")"
@@ -213,7 +213,7 @@ def analysis_gate(spark, sf_dir):
     text = F.when(i % 10 == 0, F.lit(" \n\t ")).when(i % 10 == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
     status = F.when(i % 10 == 2, "processing").otherwise("uploaded")
     return docs.select("doc_id", text.alias("text"), status.alias("status")).select(
-        "doc_id", V.analysis_gate(TEXT, F.col("status")).alias("error"))
+        "doc_id", V.analysis_gate(F.col("text"), F.col("status")).alias("error"))
 
 
 QUERIES["analysis_gate"] = analysis_gate
@@ -226,8 +226,8 @@ ORACLE["analysis_gate"] = statement(
 def truncate_text(spark, sf_dir):
     docs = W.contracts(spark, sf_dir)
     return docs.select(
-        "doc_id", CL.truncate_text(TEXT, D.MODEL_INPUT_CHARS).alias("model_input"),
-        CL.truncate_text(TEXT, 2000, D.BATCH_MARKER).alias("marked"), CL.truncate_text(TEXT, D.PREVIEW_CHARS).alias("preview"))
+        "doc_id", CL.truncate_text(F.col("text"), D.MODEL_INPUT_CHARS).alias("model_input"),
+        CL.truncate_text(F.col("text"), 2000, D.BATCH_MARKER).alias("marked"), CL.truncate_text(F.col("text"), D.PREVIEW_CHARS).alias("preview"))
 
 
 QUERIES["truncate_text"] = truncate_text
@@ -254,7 +254,7 @@ def detect_batch_content(spark, sf_dir):
     merged = OD.merge_batch(W.batch_files(spark, sf_dir), cap=5000)
     plain = W.read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("batch_id"), "text")
     both = merged.withColumn("kind", F.lit("batch")).unionByName(plain.withColumn("kind", F.lit("single")))
-    return both.select("kind", "batch_id", CL.detect_batch_content(TEXT).alias("is_batch"))
+    return both.select("kind", "batch_id", CL.detect_batch_content(F.col("text")).alias("is_batch"))
 
 
 QUERIES["detect_batch_content"] = detect_batch_content

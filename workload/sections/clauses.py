@@ -11,7 +11,7 @@ from workload import derived as W
 from workload.sql import any_word, count_words, lst, q, rnd, rule_confidence, rules, scale, statement
 
 QUERIES, ORACLE = {}, {}
-TEXT, CONTENT = F.col("text"), F.col("content")
+
 
 
 def clause_candidates(spark, sf_dir):
@@ -63,7 +63,7 @@ LINES = "(SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS no FROM
 
 def _label_query(name, function, sql):
     def run(spark, sf_dir):
-        return clause_lines(spark, sf_dir).select("doc_id", "no", function(TEXT).alias("label"))
+        return clause_lines(spark, sf_dir).select("doc_id", "no", function(F.col("text")).alias("label"))
 
     QUERIES[name] = run
     ORACLE[name] = statement(f"SELECT doc_id, no, {sql} AS label FROM {LINES}", "contracts")
@@ -79,7 +79,7 @@ _label_query("classify_dominant", CF.classify_dominant,
 
 
 def legal_term_density(spark, sf_dir):
-    return clause_lines(spark, sf_dir).select("doc_id", "no", CF.legal_term_density(TEXT).alias("d")).select(
+    return clause_lines(spark, sf_dir).select("doc_id", "no", CF.legal_term_density(F.col("text")).alias("d")).select(
         "doc_id", "no", F.col("d.score").alias("confidence_score"), F.col("d.level").alias("confidence_level"), F.col("d.review").alias("requires_review"))
 
 
@@ -93,7 +93,7 @@ def rule_confidence_query(spark, sf_dir):
     lines = clause_lines(spark, sf_dir)
     label = W.pick(C.LABELS, (F.col("doc_id") + F.col("no")) % 13)
     return lines.select("doc_id", "no", label.alias("label"), "text").select(
-        "doc_id", "no", "label", CF.rule_confidence(TEXT, F.col("label")).alias("confidence"))
+        "doc_id", "no", "label", CF.rule_confidence(F.col("text"), F.col("label")).alias("confidence"))
 
 
 QUERIES["rule_confidence"] = rule_confidence_query
@@ -130,7 +130,7 @@ _level_query("confidence_level_5",
 
 
 def classify_with_confidence(spark, sf_dir):
-    return clause_lines(spark, sf_dir).select("doc_id", "no", CF.score_prediction(TEXT).alias("p")).select("doc_id", "no", "p.*")
+    return clause_lines(spark, sf_dir).select("doc_id", "no", CF.score_prediction(F.col("text")).alias("p")).select("doc_id", "no", "p.*")
 
 
 def _scored(label):
@@ -148,7 +148,7 @@ def score_given_prediction(spark, sf_dir):
     lines = clause_lines(spark, sf_dir)
     given = F.when(F.col("no") % 3 == 0, W.pick(C.LABELS, F.col("doc_id") % 13))
     return lines.select("doc_id", "no", "text", given.alias("given")).select(
-        "doc_id", "no", CF.score_prediction(TEXT, F.col("given")).alias("p")).select("doc_id", "no", "p.*")
+        "doc_id", "no", CF.score_prediction(F.col("text"), F.col("given")).alias("p")).select("doc_id", "no", "p.*")
 
 
 QUERIES["score_given_prediction"] = score_given_prediction

@@ -16,12 +16,12 @@ from workload.sections.checks import MERGED_SQL, _PIECE
 from workload.sql import any_re2, count_words, q, re2, replaced, squeeze, statement, strip
 
 QUERIES, ORACLE = {}, {}
-TEXT = F.col("text")
+
 
 
 def _text_query(name, function, sql):
     def run(spark, sf_dir):
-        return W.contracts(spark, sf_dir).select("doc_id", function(TEXT).alias("cleaned"))
+        return W.contracts(spark, sf_dir).select("doc_id", function(F.col("text")).alias("cleaned"))
 
     QUERIES[name] = run
     ORACLE[name] = statement(f"SELECT doc_id, {sql} AS cleaned FROM contracts", "contracts")
@@ -86,8 +86,8 @@ _text_query("normalize_whitespace", normalize_whitespace, squeeze("text"))
 
 def filter_document_noise(spark, sf_dir):
     both = W.contracts(spark, sf_dir).withColumn("kind", F.lit("contract")).unionByName(
-        W.read(spark, sf_dir, "documents", "doc_id", "text").withColumn("kind", F.lit("document")))
-    return both.select("kind", "doc_id", CL.filter_document_noise(TEXT).alias("cleaned"))
+        W.documents(spark, sf_dir).withColumn("kind", F.lit("document")))
+    return both.select("kind", "doc_id", CL.filter_document_noise(F.col("text")).alias("cleaned"))
 
 
 QUERIES["filter_document_noise"] = filter_document_noise
@@ -97,7 +97,7 @@ ORACLE["filter_document_noise"] = statement(
 
 
 def analyze_noise(spark, sf_dir):
-    docs = W.contracts(spark, sf_dir).select("doc_id", F.length("text").alias("n"), CL.noise_findings(TEXT).alias("found"))
+    docs = W.contracts(spark, sf_dir).select("doc_id", F.length("text").alias("n"), CL.noise_findings(F.col("text")).alias("found"))
     total = F.aggregate("found", F.lit(0), lambda a, x: a + x["chars"])
     share = F.when(F.col("n") > 0, F.floor(total * 100.0 / F.col("n") * 100 + 0.5) / 100.0)
     docs = docs.select("doc_id", total.alias("noise_chars"), share.alias("noise_percentage"), "found")
@@ -119,7 +119,7 @@ ORACLE["analyze_noise"] = statement(
 
 def extract_contract_sections(spark, sf_dir):
     docs = W.contracts(spark, sf_dir)
-    return item_rows(docs, CL.contract_sections(TEXT), "doc_id", position="i", item="section").select(
+    return item_rows(docs, CL.contract_sections(F.col("text")), "doc_id", position="i", item="section").select(
         "doc_id", (F.col("i") + 1).alias("section_no"), "section")
 
 
@@ -137,7 +137,7 @@ ORACLE["extract_contract_sections"] = statement(
 
 
 def document_structure(spark, sf_dir):
-    return W.contracts(spark, sf_dir).select("doc_id", L.document_structure(TEXT).alias("s")).select("doc_id", "s.*")
+    return W.contracts(spark, sf_dir).select("doc_id", L.document_structure(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 QUERIES["document_structure"] = document_structure
@@ -148,7 +148,7 @@ ORACLE["document_structure"] = statement(
 
 def _layout(name, function, sql, *needs):
     def run(spark, sf_dir):
-        return W.contracts(spark, sf_dir).select("doc_id", function(TEXT).alias("cleaned"))
+        return W.contracts(spark, sf_dir).select("doc_id", function(F.col("text")).alias("cleaned"))
 
     QUERIES[name] = run
     ORACLE[name] = statement(sql, *needs)
@@ -167,7 +167,7 @@ def validate_layout_result(spark, sf_dir):
     docs = W.contracts(spark, sf_dir)
     kept = F.substring("text", F.lit(1), (F.length("text") * (F.col("doc_id") % 10) / 10).cast("int"))
     return docs.select("doc_id", "text", kept.alias("f")).select(
-        "doc_id", L.validate_layout_result(F.col("f"), TEXT).alias("cleaned"))
+        "doc_id", L.validate_layout_result(F.col("f"), F.col("text")).alias("cleaned"))
 
 
 QUERIES["validate_layout_result"] = validate_layout_result
@@ -179,7 +179,7 @@ ORACLE["validate_layout_result"] = statement(
 
 
 def analyze_layout(spark, sf_dir):
-    return item_rows(W.contracts(spark, sf_dir), L.layout_findings(TEXT), "doc_id", item="f").select(
+    return item_rows(W.contracts(spark, sf_dir), L.layout_findings(F.col("text")), "doc_id", item="f").select(
         "doc_id", F.col("f.kind").alias("kind"), F.col("f.region").alias("region"), F.col("f.pattern").alias("pattern"),
         F.col("f.matches").alias("matches"), F.array_join("f.examples", " | ").alias("examples"))
 
@@ -201,7 +201,7 @@ _text_query("postprocess_ocr_text", CL.postprocess_ocr_text,
 
 def document_stats(spark, sf_dir):
     return W.contracts(spark, sf_dir).select(
-        "doc_id", CL.character_count(TEXT).alias("characters"), CL.word_count(TEXT).alias("words"))
+        "doc_id", CL.character_count(F.col("text")).alias("characters"), CL.word_count(F.col("text")).alias("words"))
 
 
 QUERIES["document_stats"] = document_stats

@@ -83,7 +83,7 @@ def low_f1_classes(spark, sf_dir):
     return OE.low_f1_classes(OE.per_class_metrics(W.predictions(spark, sf_dir)))
 
 
-_LOW = msg(D.MSG_LOW_F1, "label", "printf('%.3f', coalesce(f, 0))")
+_LOW = msg(D.MSG_LOW_F1, "label", "printf('%.3f', floor(coalesce(f, 0) * 1000 + 0.5) / 1000)")
 QUERIES["low_f1_classes"] = low_f1_classes
 ORACLE["low_f1_classes"] = statement(
     f"""SELECT 'warning' AS type, label AS class_name, {_LOW} AS message FROM {PER_CLASS} WHERE coalesce(f, 0) < 0.85
@@ -280,13 +280,16 @@ ORACLE["dashboard_rollup"] = statement(
 # ---- registry
 
 REGISTRY_COLUMNS = ["id", "batch_name", "original_name", "mime", "status", "risk_level", "file_size"]
-STAMP = F.date_format("uploaded_at", "yyyy-MM-dd").alias("uploaded_at")
+def _stamp():
+    return F.date_format("uploaded_at", "yyyy-MM-dd").alias("uploaded_at")
+
+
 STAMP_SQL = "strftime(uploaded_at, '%Y-%m-%d') AS uploaded_at"
 
 
 def list_documents(spark, sf_dir):
     rows = OG.list_documents(W.registry(spark, sf_dir), page=3, limit=20, status="completed", risk_level="high")
-    return rows.select(*REGISTRY_COLUMNS, STAMP)
+    return rows.select(*REGISTRY_COLUMNS, _stamp())
 
 
 QUERIES["list_documents"] = list_documents
@@ -327,7 +330,7 @@ ORACLE["status_risk_distribution"] = statement(
 
 
 def recent_documents(spark, sf_dir):
-    return OG.recent_documents(W.registry(spark, sf_dir), 10).select(*REGISTRY_COLUMNS, STAMP)
+    return OG.recent_documents(W.registry(spark, sf_dir), 10).select(*REGISTRY_COLUMNS, _stamp())
 
 
 QUERIES["recent_documents"] = recent_documents
@@ -336,7 +339,7 @@ ORACLE["recent_documents"] = statement(
 
 
 def documents_by_risk(spark, sf_dir):
-    return OG.documents_by_risk(W.registry(spark, sf_dir), "high").select(*REGISTRY_COLUMNS, STAMP)
+    return OG.documents_by_risk(W.registry(spark, sf_dir), "high").select(*REGISTRY_COLUMNS, _stamp())
 
 
 QUERIES["documents_by_risk"] = documents_by_risk

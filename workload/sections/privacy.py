@@ -11,7 +11,7 @@ from workload import derived as W
 from workload.sql import lst, mapped, msg, q, scale, statement
 
 QUERIES, ORACLE = {}, {}
-TEXT = F.col("text")
+
 SPAN_COLUMNS = ["hit", "label", "start", "end", "confidence", "replacement"]
 
 
@@ -25,7 +25,7 @@ def span_rows(df, column="spans"):
 def _detect(find):
     def run(spark, sf_dir):
         docs = W.contracts_pii(spark, sf_dir)
-        return span_rows(docs.select("doc_id", find(TEXT).alias("spans")))
+        return span_rows(docs.select("doc_id", find(F.col("text")).alias("spans")))
     return run
 
 
@@ -48,9 +48,9 @@ ORACLE["redact_spans"] = statement(
 
 
 def redact_literal(spark, sf_dir):
-    found = W.contracts_pii(spark, sf_dir).select("doc_id", "text", PF.detect_pii_basic(TEXT).alias("spans"))
+    found = W.contracts_pii(spark, sf_dir).select("doc_id", "text", PF.detect_pii_basic(F.col("text")).alias("spans"))
     return found.select(
-        "doc_id", SF.redact_literal(TEXT, F.col("spans")).alias("redacted_text"), F.size("spans").alias("entities_redacted"))
+        "doc_id", SF.redact_literal(F.col("text"), F.col("spans")).alias("redacted_text"), F.size("spans").alias("entities_redacted"))
 
 
 QUERIES["redact_literal"] = redact_literal
@@ -112,7 +112,7 @@ ORACLE["audit_privacy"] = statement(
 
 
 def basic_privacy_audit(spark, sf_dir):
-    found = W.contracts_pii(spark, sf_dir).select("doc_id", PF.detect_pii_basic(TEXT).alias("spans"))
+    found = W.contracts_pii(spark, sf_dir).select("doc_id", PF.detect_pii_basic(F.col("text")).alias("spans"))
     return found.select("doc_id", PF.basic_privacy_audit(F.col("spans")).alias("a")).select(
         "doc_id", "a.privacy_score", "a.entities_found", "a.compliance_level",
         F.array_join("a.recommendations", " | ").alias("recommendations"))
@@ -127,7 +127,7 @@ ORACLE["basic_privacy_audit"] = statement(
 
 
 def weighted_privacy_score(spark, sf_dir):
-    found = W.contracts_pii(spark, sf_dir).select("doc_id", PF.find_and_merge(TEXT).alias("spans"))
+    found = W.contracts_pii(spark, sf_dir).select("doc_id", PF.find_and_merge(F.col("text")).alias("spans"))
     return found.select("doc_id", PF.weighted_privacy_score(F.col("spans")).alias("w")).select(
         "doc_id", F.col("w.score").alias("score"), F.col("w.total_deduction").alias("total_deduction"), F.col("w.level").alias("level"))
 
@@ -143,7 +143,7 @@ ORACLE["weighted_privacy_score"] = statement(
 
 
 def privacy_deductions(spark, sf_dir):
-    found = W.contracts_pii(spark, sf_dir).select("doc_id", PF.find_and_merge(TEXT).alias("spans"))
+    found = W.contracts_pii(spark, sf_dir).select("doc_id", PF.find_and_merge(F.col("text")).alias("spans"))
     return OP.privacy_deductions(found).select("doc_id", F.col("span_no") + 1, "label", "deduction", "text").toDF(
         "doc_id", "span_no", "label", "deduction", "text")
 

@@ -19,7 +19,7 @@ from workload.sql import (
 )
 
 QUERIES, ORACLE = {}, {}
-TEXT, CONTENT, TYPE = F.col("text"), F.col("content"), F.col("type")
+
 KEY = ["doc_id", "clause_no"]
 
 
@@ -39,14 +39,14 @@ def _clause_query(name, columns, sql, *needs, source=clauses):
     ORACLE[name] = statement(sql, *needs)
 
 
-_clause_query("base_clause_risk", lambda: ["type", RF.base_clause_risk(CONTENT, TYPE, F.col("confidence")).alias("base_risk")],
+_clause_query("base_clause_risk", lambda: ["type", RF.base_clause_risk(F.col("content"), F.col("type"), F.col("confidence")).alias("base_risk")],
               "SELECT doc_id, clause_no, type, base_risk FROM c_based", "c_based")
-_clause_query("risk_factors", lambda: ["type", F.array_join(RF.risk_factors(CONTENT, TYPE), " | ").alias("factors")],
+_clause_query("risk_factors", lambda: ["type", F.array_join(RF.risk_factors(F.col("content"), F.col("type")), " | ").alias("factors")],
               f"SELECT doc_id, clause_no, type, array_to_string({factor_list()}, ' | ') AS factors FROM c_based", "c_based")
 
 
 def risk_triggers(spark, sf_dir):
-    found = clauses(spark, sf_dir).select(*KEY, RF.risk_triggers(CONTENT).alias("t"))
+    found = clauses(spark, sf_dir).select(*KEY, RF.risk_triggers(F.col("content")).alias("t"))
     return item_rows(found, "t", *KEY, position="no").select(*KEY, (F.col("no") + 1).alias("trigger_no"), "item.*")
 
 
@@ -62,7 +62,7 @@ _clause_query("clause_priority", lambda: ["type", "risk_score", "priority"], "SE
 
 def with_clauses(spark, sf_dir):
     """doc_id, text length and the scored clause array of each contract."""
-    docs = W.contracts(spark, sf_dir).select("doc_id", "text", extract_clauses(TEXT).alias("clauses"))
+    docs = W.contracts(spark, sf_dir).select("doc_id", "text", extract_clauses(F.col("text")).alias("clauses"))
     return docs.select("doc_id", F.length("text").alias("text_length"), F.transform("clauses", OC.scored_clause).alias("clauses"),
                        F.lit(False).alias("is_batch"))
 
@@ -134,7 +134,7 @@ _SUFFIX = f"CASE WHEN requires_review THEN {q(R.ADVICE_REVIEW_SUFFIX)} ELSE '' E
 
 def handbook_suggestions(spark, sf_dir):
     s = scored(spark, sf_dir)
-    advice = RF.handbook_suggestions(CONTENT, TYPE, F.col("risk_level"), F.col("confidence_level"), F.col("requires_review"))
+    advice = RF.handbook_suggestions(F.col("content"), F.col("type"), F.col("risk_level"), F.col("confidence_level"), F.col("requires_review"))
     return s.select(*KEY, advice.alias("a")).select(
         *KEY, "a.suggestion", "a.justification", "a.specific_language", "a.expected_outcome", F.array_join("a.action_items", " | ").alias("action_items"))
 
@@ -151,7 +151,7 @@ ORACLE["handbook_suggestions"] = statement(
 
 def tiered_suggestions(spark, sf_dir):
     s = scored(spark, sf_dir)
-    advice = RF.tiered_suggestions(CONTENT, TYPE, F.col("risk_score"), F.col("confidence_level"), F.col("requires_review"))
+    advice = RF.tiered_suggestions(F.col("content"), F.col("type"), F.col("risk_score"), F.col("confidence_level"), F.col("requires_review"))
     return s.select(*KEY, advice.alias("a")).select(*KEY, "a.suggestion", "a.justification")
 
 
@@ -279,8 +279,8 @@ ORACLE["risk_histogram"] = statement(
 
 
 def highlight_segments(spark, sf_dir):
-    found = clauses(spark, sf_dir).select(*KEY, "content", RF.risk_triggers(CONTENT).alias("t"))
-    cut = found.select(*KEY, RF.highlight_segments(CONTENT, F.col("t")).alias("segments"))
+    found = clauses(spark, sf_dir).select(*KEY, "content", RF.risk_triggers(F.col("content")).alias("t"))
+    cut = found.select(*KEY, RF.highlight_segments(F.col("content"), F.col("t")).alias("segments"))
     return item_rows(cut, "segments", *KEY, position="no").select(*KEY, (F.col("no") + 1).alias("seq"), "item.text", "item.kind")
 
 
