@@ -33,6 +33,7 @@ ERR_BATCH_NAME_LENGTH = "Batch name must be less than 255 characters"
 ERR_BATCH_NAME_CHARS = "Batch name contains invalid characters"
 ERR_NO_TEXT = "No text provided for analysis"
 ERR_SHORT_TEXT = "Document text is too short for meaningful analysis"
+ERR_NOT_EXTRACTED = "Document text not yet extracted. Please wait for text extraction to complete."
 ERR_PROCESSING = "Document is already being processed"
 ERR_UNSUPPORTED = "Unsupported file type"
 ERR_EMPTY_FILE = "TXT file appears to be empty"
@@ -57,6 +58,12 @@ STORED_CLAUSE_TYPES = [
     "additions_alterations", "other",
 ]
 
+STORED_MISSING_TYPES = [
+    "termination", "payment", "liability", "confidentiality", "intellectual_property",
+    "dispute_resolution", "force_majeure", "governing_law", "duration", "internal_maintenance",
+    "additions_alterations",
+]
+
 # ---- fixed values: analysis version and display names
 ANALYSIS_VERSION = "4.0-trust-safety"
 SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]

@@ -68,7 +68,7 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     def in_sentence(sentence: Column) -> Column:
         def match(k: Column) -> Column:
             return let(
-                F.regexp_substr(F.concat(sentence["body"], F.lit(".")), k["regex"]),
+                F.call_function("regexp_extract", F.concat(sentence["body"], F.lit(".")), k["regex"], F.lit(0)),
                 lambda hit: F.struct(
                     k["ord"],
                     (sentence["at"] + F.length(sentence["body"]) + 1 - F.length(hit)).alias("at"),
@@ -81,11 +81,11 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
         present = let(
             F.lower(sentence["body"]), lambda low: F.filter(table, lambda k: F.contains(low, k["keyword"]))
         )
-        return F.filter(F.transform(present, match), lambda m: m["hit"].isNotNull())
+        return F.filter(F.transform(present, match), lambda m: m["hit"] != "")
 
-    def with_context(hit: Column) -> Column:
+    def with_context(hit: Column, length: Column) -> Column:
         start = F.greatest(F.lit(0), hit["at"] - C.CONTEXT_CHARS)
-        end = F.least(F.length(text), hit["at"] + F.length(hit["hit"]) + C.CONTEXT_CHARS)
+        end = F.least(length, hit["at"] + F.length(hit["hit"]) + C.CONTEXT_CHARS)
         return let(
             F.struct(start.alias("start"), end.alias("end")),
             lambda r: let(
@@ -98,7 +98,7 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
         )
 
     hits = F.sort_array(F.flatten(F.transform(sentences_with_keywords(text, taxonomy), in_sentence)))
-    return F.transform(hits, with_context)
+    return let(F.length(text), lambda length: F.transform(hits, lambda hit: with_context(hit, length)))
 
 
 def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES) -> Column:

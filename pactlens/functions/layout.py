@@ -6,13 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlens.fixed import noise as N
-from pactlens.functions.text import any_pattern, any_word, count_contained, let, normalize_whitespace, pattern, replace_all, strip
+from pactlens.functions.text import (
+    any_pattern, any_word, count_contained, expand_whitespace, let, normalize_whitespace, pattern, replace_all, strip,
+)
 
 LINE_PATTERNS = [p for group in N.LINE_NOISE.values() for p in group]
 INDICATOR = any_word(N.LAYOUT_INDICATORS)
 STOP = any_pattern(N.BODY_STOP_PATTERNS)
 
 
+# all line patterns start at a line start, so one test of them costs next to nothing elsewhere
+ANY_LINE = "(?md)^(?:" + "|".join(expand_whitespace(s.removeprefix("^")) for s, _ in LINE_PATTERNS) + ")"
+
+
+def replace_noise_lines(text: Column, replacement: str) -> Column:
+    """Apply the line patterns in order; a text without any such line is left alone."""
+    return let(text, lambda t: F.when(t.rlike(ANY_LINE), replace_all(t, LINE_PATTERNS, replacement)).otherwise(t))
+
+
 def _count_matching(text: Column, patterns) -> Column:
     total = F.lit(0)
     for source, flags in patterns:
@@ -83,7 +94,7 @@ def filter_body_noise(text: Column) -> Column:
             t = remove_first(t, source, flags)
         return F.when(cleaned.rlike(any_pattern(N.LAYOUT_REGIONS["metadataRegion"])), t).otherwise(cleaned)
 
-    t = let(replace_all(text, LINE_PATTERNS, ""), without_numbers)
+    t = let(replace_noise_lines(text, ""), without_numbers)
 
     def keep(line: Column) -> Column:
         return let(
@@ -96,7 +107,7 @@ def filter_body_noise(text: Column) -> Column:
 
 def filter_region_noise(text: Column) -> Column:
     """Noise lines to a blank, then one line."""
-    return normalize_whitespace(replace_all(text, LINE_PATTERNS, " "))
+    return normalize_whitespace(replace_noise_lines(text, " "))
 
 
 def conservative_body(text: Column) -> Column:

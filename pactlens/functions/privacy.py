@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlens.fixed import privacy as P
-from pactlens.functions.spans import labelled, merge_overlapping_spans, pattern_hits
+from pactlens.functions.spans import find_spans, merge_overlapping_spans
 from pactlens.functions.text import drop_nulls, level_of, lookup, message
 
 
@@ -15,16 +15,20 @@ def detect_pii_configured(text: Column, patterns=P.CONFIGURED_PATTERNS) -> Colum
 
     `(?U)` makes word boundaries, digits and blanks Unicode-aware.
     """
-    return F.concat(
-        *[labelled(pattern_hits(text, f"(?iU){regex}"), name.upper(), 1.0, token) for name, regex, token in patterns]
-    )
+    table = [
+        {"regex": f"(?iU){regex}", "label": name.upper(), "confidence": 1.0, "replacement": token}
+        for name, regex, token in patterns
+    ]
+    return find_spans(text, table)
 
 
 def detect_pii_basic(text: Column, patterns=P.BASIC_PATTERNS) -> Column:
     """All matches of the basic patterns, case-sensitive, overlaps kept."""
-    return F.concat(
-        *[labelled(pattern_hits(text, f"(?U){regex}"), label, conf, f"[{label}]") for label, regex, conf in patterns]
-    )
+    table = [
+        {"regex": f"(?U){regex}", "label": label, "confidence": confidence, "replacement": f"[{label}]"}
+        for label, regex, confidence in patterns
+    ]
+    return find_spans(text, table)
 
 
 def find_and_merge(text: Column, patterns=P.CONFIGURED_PATTERNS) -> Column:

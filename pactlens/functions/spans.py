@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import let
+from pactlens.functions.text import let, literal_table
 
 SPAN = "struct<text:string,label:string,start:int,end:int,confidence:double,replacement:string>"
 SPANS = f"array<{SPAN}>"
@@ -31,7 +31,7 @@ def _fold_hits(pairs: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def pattern_hits(text: Column, regex: str) -> Column:
+def pattern_hits(text: Column, regex: Column) -> Column:
     """array<struct<start,end,hit>> of all matches of a pattern that never matches ''.
 
     One pass of the pattern puts marks around its matches; plain splits at the marks then give
@@ -58,7 +58,7 @@ def pattern_hits(text: Column, regex: str) -> Column:
 
     def twice() -> Column:
         def cut(gaps: Column) -> Column:
-            hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+            hits = F.regexp_extract_all(text, regex, F.lit(0))
             pairs = let(
                 hits,
                 lambda h: F.zip_with(
@@ -70,22 +70,21 @@ def pattern_hits(text: Column, regex: str) -> Column:
         return let(F.split(text, regex, -1), cut)
 
     has_marks = F.contains(text, F.lit(opening)) | F.contains(text, F.lit(closing))
-    return F.when(has_marks, twice()).otherwise(let(F.regexp_replace(text, regex, f"{opening}$0{closing}"), from_marks))
-
-
-def labelled(hits: Column, label: str, confidence: float, replacement: str) -> Column:
-    """Turn pattern hits into spans."""
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            h["hit"].alias("text"),
-            F.lit(label).alias("label"),
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(replacement).alias("replacement"),
-        ),
-    )
+    return F.when(has_marks, twice()).otherwise(let(F.regexp_replace(text, regex, F.lit(f"{opening}$0{closing}")), from_marks))
+
+
+def find_spans(text: Column, table: list[dict[str, object]]) -> Column:
+    """Spans of all patterns of a table with regex, label, confidence and replacement, in table order."""
+
+    def of_pattern(value: Column, p: Column) -> Column:
+        return F.transform(
+            pattern_hits(value, p["regex"]),
+            lambda h: F.struct(
+                h["hit"].alias("text"), p["label"], h["start"], h["end"], p["confidence"], p["replacement"],
+            ),
+        )
+
+    return let(text, lambda value: F.flatten(F.transform(literal_table(table), lambda p: of_pattern(value, p))))
 
 
 def merge_overlapping_spans(spans: Column) -> Column:

@@ -58,13 +58,17 @@ def expand_whitespace(source: str) -> str:
     return "".join(out)
 
 
+def _gated(source: str) -> str:
+    return (NOT_PRINTABLE if source.startswith(r"\s") else "") + expand_whitespace(source)
+
+
 def pattern(source: str, flags: str = "") -> str:
     """Spark (Java) form of a fixed pattern; "i" ignores case, "m" is line-wise.
 
     A pattern that starts with whitespace first rules out the printable ASCII characters,
     because the wide whitespace class costs several tests per character.
     """
-    text = (NOT_PRINTABLE if source.startswith(r"\s") else "") + expand_whitespace(source)
+    text = _gated(source)
     java = ("i" if "i" in flags else "") + ("md" if "m" in flags else "")
     return f"(?{java}){text}" if java else text
 
@@ -82,7 +86,7 @@ def any_pattern(patterns: Iterable[tuple[str, str]]) -> str:
             for part in parts:
                 by_letter[part[0].lower()].append(expand_whitespace(part[1:]))
         else:
-            others.append(f"(?{flags}{'d' if 'm' in flags else ''}:{expand_whitespace(source)})")
+            others.append(f"(?{flags}{'d' if 'm' in flags else ''}:{_gated(source)})")
     letters = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
     return "|".join(([f"(?i:{letters})"] if letters else []) + others)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +55,21 @@ def file_error(name: Column, mime: Column, size: Column) -> Column:
 
 
 def analysis_gate(text: Column, status: Column | None = None) -> Column:
-    """Why a text cannot be analysed, NULL when it can."""
-    gate = F.when(strip(F.coalesce(text, F.lit(""))) == "", F.lit(D.ERR_NO_TEXT))
-    if status is not None:
-        gate = gate.when(status == "processing", F.lit(D.ERR_PROCESSING))
+    """Why a text cannot be analysed, NULL when it can.
+
+    With the status of the stored document its own checks come first: text still missing, or
+    analysis already running.
+    """
+    given = F.coalesce(text, F.lit(""))
+    blank = strip(given) == ""
+    if status is None:
+        gate = F.when(blank, F.lit(D.ERR_NO_TEXT))
+    else:
+        gate = (
+            F.when(given == "", F.lit(D.ERR_NOT_EXTRACTED))
+            .when(status == "processing", F.lit(D.ERR_PROCESSING))
+            .when(blank, F.lit(D.ERR_NO_TEXT))
+        )
     return gate.when(F.length(text) < D.MIN_ANALYSIS_CHARS, F.lit(D.ERR_SHORT_TEXT))
 
 
@@ -90,6 +103,10 @@ def _longer(column: Column, limit: int, rule: str) -> Column:
     return F.when(F.length(column) > limit, F.lit(rule))
 
 
+def _any_entry(column: Column, bad: Callable[[Column], Column], rule: str) -> Column:
+    return F.when(F.exists(column, bad), F.lit(rule))
+
+
 def document_violations(d: dict[str, Column]) -> Column:
     """array<string> of broken rules of a stored document (B6); rules of absent columns are left out."""
     rules = {
@@ -106,7 +123,11 @@ def document_violations(d: dict[str, Column]) -> Column:
         "risk_score": lambda c: [_outside(c, 1, 10, "risk_score.range")],
         "risk_level": lambda c: [_not_in(c, D.RISK_LEVELS, "risk_level.enum")],
         "summary": lambda c: [_longer(c, 1000, "summary.length")],
+        "missing_clauses": lambda c: [
+            _any_entry(c, lambda x: ~x.isin(D.STORED_MISSING_TYPES), "missing_clauses.enum")],
+        "recommendations": lambda c: [_any_entry(c, lambda x: F.length(x) > 500, "recommendations.length")],
         "error_message": lambda c: [_longer(c, 500, "error_message.length")],
+        "tags": lambda c: [_any_entry(c, lambda x: F.length(x) > 50, "tags.length")],
     }
     return drop_nulls(*[check for name, make in rules.items() if name in d for check in make(d[name])])
 
@@ -117,6 +138,9 @@ def clause_violations(c: dict[str, Column]) -> Column:
         "type": lambda x: [
             F.when(x.isNull(), F.lit("type.required")), _not_in(x, D.STORED_CLAUSE_TYPES, "type.enum")],
         "content": lambda x: [F.when(x.isNull(), F.lit("content.required")), _longer(x, 5000, "content.length")],
+        "text": lambda x: [F.when(x.isNull(), F.lit("text.required")), _longer(x, 5000, "text.length")],
+        "risk_factors": lambda x: [_any_entry(x, lambda f: F.length(f) > 200, "risk_factors.length")],
+        "suggestions": lambda x: [_any_entry(x, lambda f: F.length(f) > 500, "suggestions.length")],
         "start": lambda x: [_outside(x, 0, None, "start.range")],
         "end": lambda x: [_outside(x, 0, None, "end.range")],
         "confidence": lambda x: [_outside(x, 0, 1, "confidence.range")],

@@ -50,7 +50,7 @@ def feedback_summary(feedback: DataFrame, start, end) -> DataFrame:
         F.coalesce(F.avg(F.col("model_confidence").cast("decimal(18,6)")).cast("double"), F.lit(0.0)).alias("avg_confidence"),
         F.count_distinct(user).alias("unique_users_count"),
         F.coalesce(F.avg(agrees), F.lit(0.0)).alias("prediction_accuracy"),
-    )
+    ).select("*", F.lit(start).cast("timestamp").alias("range_start"), F.lit(end).cast("timestamp").alias("range_end"))
 
 
 def feedback_by_clause(feedback: DataFrame, label: str, limit: int = 100) -> DataFrame:

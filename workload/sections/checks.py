@@ -210,17 +210,20 @@ ORACLE["check_document_constraints"] = statement(
 def analysis_gate(spark, sf_dir):
     docs = W.read(spark, sf_dir, "documents", "doc_id", "text")
     i = F.col("doc_id")
-    text = F.when(i % 10 == 0, F.lit(" \n\t ")).when(i % 10 == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
-    status = F.when(i % 10 == 2, "processing").otherwise("uploaded")
+    text = (
+        F.when(i % 10 == 0, F.lit(" \n\t ")).when(i % 10 == 1, F.substring("text", 1, 40)).when(i % 10 == 3, F.lit("")).otherwise(F.col("text"))
+    )
+    status = F.when(i % 20 < 3, "processing").otherwise("uploaded")
     return docs.select("doc_id", text.alias("text"), status.alias("status")).select(
         "doc_id", V.analysis_gate(F.col("text"), F.col("status")).alias("error"))
 
 
 QUERIES["analysis_gate"] = analysis_gate
 ORACLE["analysis_gate"] = statement(
-    f"""SELECT doc_id, CASE WHEN {strip('t')} = '' THEN {q(D.ERR_NO_TEXT)} WHEN doc_id % 10 = 2 THEN {q(D.ERR_PROCESSING)}
-          WHEN length(t) < 50 THEN {q(D.ERR_SHORT_TEXT)} END AS error
-        FROM (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN ' ' || chr(10) || chr(9) || ' ' WHEN 1 THEN text[1:40] ELSE text END AS t FROM documents)""")
+    f"""SELECT doc_id, CASE WHEN t = '' THEN {q(D.ERR_NOT_EXTRACTED)} WHEN doc_id % 20 < 3 THEN {q(D.ERR_PROCESSING)}
+          WHEN {strip('t')} = '' THEN {q(D.ERR_NO_TEXT)} WHEN length(t) < 50 THEN {q(D.ERR_SHORT_TEXT)} END AS error
+        FROM (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN ' ' || chr(10) || chr(9) || ' ' WHEN 1 THEN text[1:40] WHEN 3 THEN '' ELSE text END AS t
+              FROM documents)""")
 
 
 def truncate_text(spark, sf_dir):

@@ -237,14 +237,18 @@ RANGE = f"timestamp >= TIMESTAMP '{W.FEEDBACK_START}' AND timestamp <= TIMESTAMP
 
 
 def feedback_summary(spark, sf_dir):
-    return rounded(OB.feedback_summary(W.feedback(spark, sf_dir), W.FEEDBACK_START, W.FEEDBACK_END), "avg_confidence", "prediction_accuracy")
+    summary = OB.feedback_summary(W.feedback(spark, sf_dir), W.FEEDBACK_START, W.FEEDBACK_END)
+    for edge in ("range_start", "range_end"):
+        summary = summary.withColumn(edge, F.date_format(edge, "yyyy-MM-dd HH:mm:ss"))
+    return rounded(summary, "avg_confidence", "prediction_accuracy")
 
 
 QUERIES["feedback_summary"] = feedback_summary
 ORACLE["feedback_summary"] = statement(
     f"""SELECT count(*) AS total_feedback, count(*) FILTER (feedback_type = 'correction') AS corrections,
         {rnd('avg(model_confidence::DECIMAL(18,6))', 6)} AS avg_confidence, count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS unique_users_count,
-        {rnd('avg((model_prediction = user_correction)::INT)', 6)} AS prediction_accuracy FROM feedback WHERE {RANGE}""", "feedback")
+        {rnd('avg((model_prediction = user_correction)::INT)', 6)} AS prediction_accuracy,
+        '{W.FEEDBACK_START}' AS range_start, '{W.FEEDBACK_END}' AS range_end FROM feedback WHERE {RANGE}""", "feedback")
 
 
 def feedback_by_clause(spark, sf_dir):
