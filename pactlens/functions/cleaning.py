@@ -17,6 +17,7 @@ from pactlens.functions.text import (
     normalize_whitespace,
     pattern,
     replace_all,
+    replace_any,
     strip,
 )
 
@@ -42,12 +43,12 @@ def clean_text(text: Column) -> Column:
 def remove_stamp_noise(text: Column) -> Column:
     """Stamp, government and state wording to a blank."""
     phrases = [(phrase.replace(" ", r"\s+"), "i") for phrase in N.STAMP_PHRASES]
-    return replace_all(text, N.NOISE_PATTERNS["eStamp"] + phrases, " ")
+    return replace_any(text, N.NOISE_PATTERNS["eStamp"] + phrases, " ")
 
 
 def remove_metadata_noise(text: Column) -> Column:
     """Identity numbers and office names to a blank."""
-    return replace_all(text, N.NOISE_PATTERNS["metadata"] + N.NOISE_PATTERNS["government"], " ")
+    return replace_any(replace_any(text, N.NOISE_PATTERNS["metadata"], " "), N.NOISE_PATTERNS["government"], " ")
 
 
 def remove_page_noise(text: Column) -> Column:
@@ -64,7 +65,7 @@ def remove_ocr_artifacts(text: Column) -> Column:
 
 def remove_boilerplate(text: Column) -> Column:
     """Signature phrases and watermark words to a blank, also inside clauses."""
-    return replace_all(text, N.NOISE_PATTERNS["boilerplate"] + N.NOISE_PATTERNS["watermarks"], " ")
+    return replace_any(replace_any(text, N.NOISE_PATTERNS["boilerplate"], " "), N.NOISE_PATTERNS["watermarks"], " ")
 
 
 def conservative_noise(text: Column) -> Column:

@@ -30,6 +30,8 @@ WHITESPACE_CHARS = " \t\n\x0b\f\r" + "".join(
 WORD_START = r"(?<!\w)"
 WORD_END = r"(?!\w)"
 NOT_PRINTABLE = "(?![!-~])"
+# openings of patterns that cannot start with a letter
+MARKS = (r"\|", r"\.", r"\s", r"\[", r"[\x", "_", "-")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,17 +78,22 @@ def pattern(source: str, flags: str = "") -> str:
 def any_pattern(patterns: Iterable[tuple[str, str]]) -> str:
     """One pattern that matches somewhere exactly where one of the (source, flags) patterns does.
 
-    Case-insensitive patterns that start with a letter are grouped by that letter, which
-    spares most of the alternatives at most positions.
+    Case-insensitive patterns that start with a letter are grouped by that letter, and those
+    that start with a mark are tried only where there is no letter, which spares most of the
+    alternatives at most positions.
     """
-    by_letter, others = defaultdict(list), []
+    by_letter, marks, others = defaultdict(list), [], []
     for source, flags in patterns:
         parts = [source] if re.search(r"[(\[]", source) else source.split("|")
         if flags == "i" and all(part[0].isalpha() for part in parts):
             for part in parts:
                 by_letter[part[0].lower()].append(expand_whitespace(part[1:]))
+        elif not flags and source.startswith(MARKS):
+            marks.append(_gated(source))
         else:
             others.append(f"(?{flags}{'d' if 'm' in flags else ''}:{_gated(source)})")
+    if marks:
+        others.append(f"(?![A-Za-z])(?:{'|'.join(marks)})")
     letters = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
     return "|".join(([f"(?i:{letters})"] if letters else []) + others)
 
@@ -110,6 +117,14 @@ def replace_all(text: Column, patterns: Iterable[tuple[str, str]], replacement:
     return text
 
 
+def replace_any(text: Column, patterns: Iterable[tuple[str, str]], replacement: str) -> Column:
+    """`replace_all` behind one test of all patterns; a text without any match is left alone."""
+    patterns = list(patterns)
+    return let(
+        text, lambda t: F.when(t.rlike(any_pattern(patterns)), replace_all(t, patterns, replacement)).otherwise(t)
+    )
+
+
 def strip(text: Column) -> Column:
     """Trim all kinds of whitespace, not only blanks."""
     return F.btrim(text, F.lit(WHITESPACE_CHARS))

@@ -19,7 +19,7 @@ def running_total(
 ) -> DataFrame:
     """Adds `out`: the sum of `value` over the earlier rows of the key (0 for the first row).
 
-    `order` is an integer column; `ties` makes the order total when it is not unique.
+    `order` numbers the rows of a key (an integer without large gaps); `ties` makes the order total when it is not unique.
     """
     blocked = df.withColumn("_block", F.floor(F.col(order) / block))
     upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,9 +42,14 @@ def order_value_at(df: DataFrame, order: str, fraction: float, block: int = BLOC
     """The `order` value of row number floor(fraction * n), as a scalar subquery.
 
     Only block counts and the rows of one block are ever ordered; the table itself is not
-    shuffled.  `order` must be a unique integer.
+    shuffled.  `order` must be a unique integer, dense or sparse: the block width follows the
+    range of its values, so that a block holds about `block` rows.
     """
-    blocked = df.select(F.col(order).alias("_order"), F.floor(F.col(order) / block).alias("_block"))
+    values = df.select(F.col(order).cast("double").alias("v"))
+    low = values.agg(F.min("v")).scalar()
+    width = values.agg(F.greatest(F.lit(1.0), (F.max("v") - F.min("v") + 1) / F.count("*") * block)).scalar()
+    place = F.floor((F.col(order).cast("double") - low) / width)
+    blocked = df.select(F.col(order).alias("_order"), place.alias("_block"))
     counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()

@@ -88,9 +88,9 @@ def test_running_total_with_a_hot_key(spark, block):
         total[k] = total.get(k, 0) + v
 
 
-@pytest.mark.parametrize("n,block", [(1, 10), (5, 2), (1003, 100)])
-def test_ordered_split_is_exact(spark, n, block):
-    orders = random.Random(n).sample(range(-5 * n, 20 * n), n)
+@pytest.mark.parametrize("n,block,gap", [(1, 10, 1), (5, 2, 1), (1003, 100, 1), (1003, 100, 10**12)])
+def test_ordered_split_is_exact(spark, n, block, gap):
+    orders = [v * gap for v in random.Random(n).sample(range(-5 * n, 20 * n), n)]
     df = spark.createDataFrame([(o,) for o in orders], "o long")
     train = sorted(r["o"] for r in B.ordered_split(df, "o", 0.8, block).filter("part = 'train'").collect())
     assert train == sorted(orders)[: int(0.8 * n)]
@@ -212,6 +212,14 @@ def test_json_array_file(spark, tmp_path):
     assert [(r["batch_index"], r["id"], r["text"]) for r in rows] == [(0, "a", "x"), (1, "b", ""), (2, "c", "")]
 
 
+def test_text_files_blank_and_too_large(spark, tmp_path):
+    for name, text in (("a.txt", "some text"), ("b.txt", " \n"), ("c.txt", "x" * 50), ("d.pdf", "no")):
+        (tmp_path / name).write_text(text)
+    rows = {r["name"]: r for r in R.read_text_documents(spark, str(tmp_path), max_bytes=40).collect()}
+    assert set(rows) == {"a.txt", "b.txt", "c.txt"} and rows["a.txt"]["text"] == "some text" and rows["a.txt"]["size"] == 9
+    assert [rows[n]["extraction_error"] for n in ("a.txt", "b.txt", "c.txt")] == [None, D.ERR_EMPTY_FILE, D.ERR_FILE_SIZE]
+
+
 def test_annotation_reader(spark, tmp_path):
     (tmp_path / "Label Report - Insurance.csv").write_text('text,other\n"A long enough text, quoted here",1\nshort,2\n')
     from pactlens.plans.evaluate import labeled_rows_from_files
