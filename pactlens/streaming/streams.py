@@ -21,21 +21,42 @@ def clean_and_redact(documents: DataFrame) -> DataFrame:
     )
 
 
-def feedback_windows(feedback: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Feedback summary per window (H2).  Users are counted approximately, as a stream requires."""
-    agrees = (F.col("model_prediction") == F.col("user_correction")).cast("int")
-    frame = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
-    source = feedback.withWatermark("timestamp", late) if feedback.isStreaming else feedback
-    summary = source.groupBy(frame).agg(
+def feedback_windows(
+    feedback: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour", two_step: bool = True
+) -> DataFrame:
+    """Feedback summary per window (H2).  Users are counted by a sketch, as a stream requires.
+
+    Sliding windows are folded in two steps: events to one partial row per slide, partial rows
+    to windows.  An event is then not copied once per window (30 times for 30 days by 1 day).
+    A stream in complete mode allows one aggregation only; pass `two_step=False` there.
+    """
+    stream = feedback.withWatermark("timestamp", late) if feedback.isStreaming else feedback
+    agrees = F.col("model_prediction") == F.col("user_correction")
+    confidence = F.col("model_confidence").cast("decimal(18,6)")
+    step = slide if slide and two_step else width
+    frame = F.window("timestamp", step, slide) if slide and not two_step else F.window("timestamp", step)
+    partial = stream.groupBy(frame.alias("window")).agg(
         F.count("*").alias("total_feedback"),
         F.count_if(F.col("feedback_type") == "correction").alias("corrections"),
-        F.avg(F.col("model_confidence").cast("decimal(18,6)")).cast("double").alias("avg_confidence"),
-        F.approx_count_distinct("user_id").alias("approx_users"),
-        F.avg(agrees).alias("prediction_accuracy"),
+        F.sum(confidence).alias("confidence_sum"),
+        F.count(confidence).alias("confidence_count"),
+        F.count_if(agrees).alias("agreements"),
+        F.count(agrees).alias("compared"),
+        F.hll_sketch_agg(F.col("user_id").cast("string")).alias("users"),
     )
-    return summary.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        *[c for c in summary.columns if c != "window"],
+    if slide and two_step:
+        sums = ["total_feedback", "corrections", "confidence_sum", "confidence_count", "agreements", "compared"]
+        partial = partial.groupBy(F.window("window", width, slide).alias("window")).agg(
+            *[F.sum(c).alias(c) for c in sums], F.hll_union_agg("users").alias("users")
+        )
+    return partial.select(
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "total_feedback",
+        "corrections",
+        F.try_divide(F.col("confidence_sum").cast("double"), F.col("confidence_count")).alias("avg_confidence"),
+        F.hll_sketch_estimate("users").alias("approx_users"),
+        F.try_divide("agreements", "compared").alias("prediction_accuracy"),
     )
 
 

@@ -300,6 +300,16 @@ def test_complete_windows_equal_batch(spark):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, ST.feedback_windows(fb).collect()))
 
 
+def test_sliding_windows_in_one_and_two_steps(spark):
+    rows = [(f"2024-01-{1 + i % 9:02d} 10:00:00", "correction", i / 100, i % 5, "a", "ab"[i % 2]) for i in range(90)]
+    rows.append(("2024-01-03 09:00:00", "other", None, None, "a", None))
+    fb = spark.createDataFrame(rows, "timestamp string, feedback_type string, model_confidence double, user_id long, model_prediction string, user_correction string")
+    fb = fb.withColumn("timestamp", F.to_timestamp("timestamp"))
+    two = sorted(map(tuple, ST.feedback_windows(fb, "4 days", "1 day").collect()))
+    assert two == sorted(map(tuple, ST.feedback_windows(fb, "4 days", "1 day", two_step=False).collect()))
+    assert len(two) == 12 and max(r[5] for r in two) == 5
+
+
 def test_classifier_beats_the_commonest_label(spark):
     rng = random.Random(1)
     words = {"payment": ["rent", "fee", "invoice"], "duration": ["term", "years", "months"], "other": ["garden", "weather"]}

@@ -221,6 +221,21 @@ ORACLE["stream_feedback_windows"] = statement(
                 "HAVING d + INTERVAL 1 DAY <= any_value(latest) - INTERVAL 1 HOUR"), "feedback")
 
 
+def stream_feedback_windows_sliding(spark, sf_dir):
+    """Sliding windows of 30 days by 1 day that the watermark has closed."""
+    out, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "cp")
+    result = ST.feedback_windows(_feedback_stream(spark, sf_dir), "30 days", "1 day")
+    ST.run_available(result, out, checkpoint)
+    return _shown(spark.read.schema(result.schema).parquet(out))
+
+
+QUERIES["stream_feedback_windows_sliding"] = stream_feedback_windows_sliding
+ORACLE["stream_feedback_windows_sliding"] = statement(
+    _window_sql("""(SELECT *, date_trunc('day', timestamp) - INTERVAL 1 DAY * unnest(range(0, 30)) AS d
+                    FROM (SELECT *, max(timestamp) OVER () AS latest FROM feedback))""",
+                "HAVING d + INTERVAL 30 DAY <= any_value(latest) - INTERVAL 1 HOUR"), "feedback")
+
+
 def stream_review_queue(spark, sf_dir):
     """Doubtful feedback clauses, each once, from a stream that delivers every event twice."""
     out, checkpoint = scratch_path(spark, "queue"), scratch_path(spark, "cp")
