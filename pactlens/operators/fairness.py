@@ -31,15 +31,17 @@ def group_metrics(predictions: DataFrame, group: str = "contract_type") -> DataF
 
 
 def bias_issues(
-    metrics: DataFrame, group: str = "contract_type", threshold: float = D.DISPARITY_THRESHOLD, high: float = D.HIGH_DISPARITY
+    metrics: DataFrame, group: str = "contract_type", threshold: float = D.DISPARITY_THRESHOLD,
+    high: float = D.HIGH_DISPARITY, names: list[str] | None = None,
 ) -> DataFrame:
     """Metrics whose best and worst group differ by more than the threshold.
 
     Ties are settled by group name; fewer than two groups give no rows.
     """
-    names = ", ".join(f"'{m}', {m}" for m in D.FAIRNESS_METRICS)
+    checked = [m for m in D.FAIRNESS_METRICS if names is None or m in names]
+    pairs = ", ".join(f"'{m}', {m}" for m in checked)
     long = metrics.filter(F.col("is_overall") == 0).selectExpr(
-        f"{group} as grp", "sample_size", f"stack({len(D.FAIRNESS_METRICS)}, {names}) as (metric, score)"
+        f"{group} as grp", "sample_size", f"stack({len(checked)}, {pairs}) as (metric, score)"
     )
     spread = long.groupBy("metric").agg(
         F.min_by("grp", F.struct(-F.col("score"), F.col("grp"))).alias("best_performing"),

@@ -244,6 +244,26 @@ def test_handbook_file(spark, tmp_path, camel):
         RF.Handbook({"payment": {}})
 
 
+def test_configuration_files(spark, tmp_path):
+    from pactlens.functions.confidence import confidence_level
+    from pactlens.functions.privacy import detect_pii_configured
+
+    (tmp_path / "p.json").write_text(json.dumps({"regex_patterns": {"badge": {"pattern": r"\bB-[0-9]+\b", "replacement": "[BADGE]"}}}))
+    patterns = R.read_privacy_config(str(tmp_path / "p.json"))
+    one = spark.createDataFrame([("see b-17 and xB-1",)], "t string")
+    spans = one.select(detect_pii_configured(F.col("t"), patterns).alias("s")).first()["s"]
+    assert [(s["text"], s["label"], s["replacement"]) for s in spans] == [("b-17", "BADGE", "[BADGE]")]
+    (tmp_path / "a.json").write_text(json.dumps({
+        "confidence_thresholds": {"high_confidence": 0.8, "medium_confidence": 0.6, "low_confidence": 0.4}, "clause_types": ["x", "y"]}))
+    thresholds, labels = R.read_accountability_config(str(tmp_path / "a.json"))
+    assert labels == ["x", "y"] and spark.range(1).select(confidence_level(F.lit(0.8), thresholds)).first()[0] == "HIGH"
+    (tmp_path / "f.json").write_text(json.dumps({
+        "bias_thresholds": {"performance_disparity": 0.01, "high_severity_threshold": 0.02}, "metrics_to_calculate": ["recall"]}))
+    df = preds(spark, [("a", "a", "g")] * 9 + [("a", "b", "g")] + [("a", "a", "h")])
+    issues = OF.bias_issues(OF.group_metrics(df), **R.read_fairness_config(str(tmp_path / "f.json"))).collect()
+    assert [(r["metric"], r["severity"]) for r in issues] == [("recall", "high")]
+
+
 def test_writers(spark):
     rows = [("c1", "2024-01-10 00:00:00"), ("c2", "2024-03-10 00:00:00")]
     fb = spark.createDataFrame(rows, "clause_id string, ts string").select("clause_id", F.to_timestamp("ts").alias("timestamp"))
