@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
 from pactlens.functions.confidence import clause_confidence_level, rule_confidence
-from pactlens.functions.text import WORD_END, WORD_START, any_word, let, literal_array, literal_table, strip
+from pactlens.functions.text import (
+    WORD_END, WORD_START, any_word, chunks_of, let, literal_array, literal_table, strip, substring_of,
+)
 
 CANDIDATE = (
     "struct<ord:int,at:int,type:string,keyword:string,hit:string,content:string,lowered:string,start:int,end:int>"
@@ -83,13 +85,13 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
         )
         return F.filter(F.transform(present, match), lambda m: m["hit"] != "")
 
-    def with_context(hit: Column, length: Column) -> Column:
+    def with_context(hit: Column, length: Column, chunks: Column) -> Column:
         start = F.greatest(F.lit(0), hit["at"] - C.CONTEXT_CHARS)
         end = F.least(length, hit["at"] + F.length(hit["hit"]) + C.CONTEXT_CHARS)
         return let(
             F.struct(start.alias("start"), end.alias("end")),
             lambda r: let(
-                strip(F.substring(text, r["start"] + 1, r["end"] - r["start"])),
+                strip(substring_of(chunks, r["start"], r["end"] - r["start"])),
                 lambda content: F.struct(
                     hit["ord"], hit["at"], hit["type"], hit["keyword"], hit["hit"],
                     content.alias("content"), F.lower(content).alias("lowered"), r["start"], r["end"],
@@ -98,7 +100,10 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
         )
 
     hits = F.sort_array(F.flatten(F.transform(sentences_with_keywords(text, taxonomy), in_sentence)))
-    return let(F.length(text), lambda length: F.transform(hits, lambda hit: with_context(hit, length)))
+    return let(
+        F.struct(F.length(text).alias("length"), chunks_of(text).alias("chunks")),
+        lambda t: F.transform(hits, lambda hit: with_context(hit, t["length"], t["chunks"])),
+    )
 
 
 def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import let, literal_table
+from pactlens.functions.text import chunks_of, let, literal_table, substring_of
 
 SPAN = "struct<text:string,label:string,start:int,end:int,confidence:double,replacement:string>"
 SPANS = f"array<{SPAN}>"
@@ -119,15 +119,18 @@ def merge_overlapping_spans(spans: Column) -> Column:
 def redact_spans(text: Column, merged: Column) -> Column:
     """Replace each merged span by its token."""
 
-    def pieces(spans: Column) -> Column:
+    def pieces(t: Column) -> Column:
+        spans, chunks = t["spans"], t["chunks"]
+
         def piece(span: Column, i: Column) -> Column:
             before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(spans, i)["end"])
-            return F.concat(F.substring(text, before + 1, span["start"] - before), span["replacement"])
+            return F.concat(substring_of(chunks, before, span["start"] - before), span["replacement"])
 
         tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
         return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
 
-    return F.when(F.size(merged) == 0, text).otherwise(let(merged, pieces))
+    parts = F.struct(merged.alias("spans"), chunks_of(text).alias("chunks"))
+    return F.when(F.size(merged) == 0, text).otherwise(let(parts, pieces))
 
 
 def redact_literal(text: Column, spans: Column) -> Column:

@@ -30,6 +30,7 @@ WHITESPACE_CHARS = " \t\n\x0b\f\r" + "".join(
 WORD_START = r"(?<!\w)"
 WORD_END = r"(?!\w)"
 NOT_PRINTABLE = "(?![!-~])"
+CHUNK = 2048
 # openings of patterns that cannot start with a letter
 MARKS = (r"\|", r"\.", r"\s", r"\[", r"[\x", "_", "-")
 
@@ -39,6 +40,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def chunks_of(text: Column) -> Column:
+    """The text in pieces of CHUNK characters, for many cheap substrings of a long text.
+
+    A substring has to count characters from the start of its string; inside a chunk that is a
+    short way, so a document of any length costs the same per substring.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def substring_of(chunks: Column, start: Column, length: Column) -> Column:
+    """`length` characters from the zero-based `start` of a text given as chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((start + length) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length)
+
+
 def expand_whitespace(source: str) -> str:
     r"""Replace `\s` by the wide class, inside and outside brackets."""
     out, in_class, i = [], False, 0

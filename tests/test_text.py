@@ -27,6 +27,16 @@ def test_repeated_letter_words_are_whole_words_only(one):
     assert one(CL.clean_text, ["aaaa éaaaa aaaab 11111"]) == ["a a aaaab 1"]
 
 
+def test_substrings_through_chunks(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else chr(97 + i % 26) for i in range(3 * T.CHUNK + 100)).replace("c", "\n")
+    cases = [(0, 5), (0, 0), (T.CHUNK - 1, 1), (T.CHUNK - 1, 2), (T.CHUNK, 3), (T.CHUNK - 10, 2 * T.CHUNK + 30), (len(text) - 4, 4), (len(text), 0), (5, len(text))]
+    df = spark.createDataFrame([(text, s, n) for s, n in cases], "text string, s int, n int")
+    got = [r[0] for r in df.select(T.substring_of(T.chunks_of(F.col("text")), F.col("s"), F.col("n"))).collect()]
+    assert got == [text[s:s + n] for s, n in cases]
+
+
 def test_whitespace_classes(one):
     assert one(T.normalize_whitespace, ["﻿ a  b \t c　"]) == ["a b c"]
     assert one(T.strip, ["  x \x0b\f"]) == ["x"]
