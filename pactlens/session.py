@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,17 @@ def local_session(cores: str | int = "*", app: str = "pactlens", memory: str = "
     return spark
 
 
+@cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="pactlens-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests) a local temporary folder is set once.
+    Only where the session names none (tests) a local temporary folder is made, once.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pactlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
