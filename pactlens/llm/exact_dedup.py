@@ -2,8 +2,9 @@
 
 Sampled splitters range-partition the normalised texts, each partition is sorted externally, which places equal texts next to each other,
 and a window compares every text with its neighbour in full and folds the run of equals.  Spark does all three: `repartitionByRange`
-samples splitters and looks each row up among them by binary search, `Sort` spills, and a window over (text, salt) needs no further
-exchange, because the range partitioning already keeps equal keys together.
+samples splitters and looks each row up among them by binary search, `Sort` spills, and a window over (splitter columns, text) needs no
+further exchange, because the range partitioning already keeps equal keys together.  Splitters hold the first characters and the digest
+of a text, not the text, so that what the driver samples stays small.
 
 A group of copies that holds more than a share of all rows would fill one task.  So the copies of each text are counted first (by digest,
 combined before the shuffle), and the few texts above that share get a salt: the sort spreads them over several partitions, and their
@@ -19,6 +20,8 @@ from pactlens.llm.common import ascii_lower, at_least, fresh, text_of
 
 #: Pieces into which a text that holds more than 1 / (2 x partitions) of all rows is dealt.
 PIECES = 32
+#: Characters of a text that its splitter holds; the rest of the order comes from the digest and the whole text.
+HEAD = 32
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", carry: bool = False, pieces: int = PIECES) -> DataFrame:
@@ -46,9 +49,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", carry: bool = False, pi
         "salt", F.when(F.col("hot_sha").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(pieces))).otherwise(F.lit(-1)).cast("int")
     )
     best = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    inside = Window.partitionBy("norm", "salt").orderBy(best)
+    inside = Window.partitionBy("head", "key", "salt", "norm").orderBy(best)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    piece = salted.repartitionByRange(n, "norm", "salt").select(
+    # splitters are short: the first characters order the texts, the digest spreads those that begin alike
+    salted = salted.withColumns({"head": F.substring("norm", 1, HEAD), "key": F.unhex("sha")})
+    piece = salted.repartitionByRange(n, "head", "key", "salt").select(
         "doc_id", "sha", "salt", "all_id", "all_size", *(["row"] if carry else []),
         F.row_number().over(inside).alias("place"), F.first("doc_id").over(whole).alias("piece_id"), F.count("*").over(whole).alias("piece_size"),
     )

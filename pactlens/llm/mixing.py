@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import text_of, word_count
+from pactlens.llm.common import materialize, text_of, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
@@ -102,3 +102,17 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     text = text_of(docs["text"])
     size = word_count(text)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size.alias("size"), quality_weight(text, size).alias("weight"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes its document; rows without a doc_id are taken by their size like the others.
+
+    The mix is decided on narrow rows; texts move once, to meet the decision.  Rows that repeat a doc_id are taken as often as the mix
+    takes the first of them.
+    """
+    sized = materialize(sized_documents(docs), "sized")
+    taken = mix(sized, seed).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("epochs").alias("mixed_epochs"))
+    taken = materialize(taken.filter(F.col("mixed_epochs") > 0), "mix")
+    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("mixed_id")))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("mixed_epochs"))).alias("mixed_copy")
+    return joined.select(*(docs[c] for c in docs.columns), copies).drop("mixed_copy")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import bpe, exact_dedup, licenses, mixing, quality_rules, simhash, token_counts
+import corpus_pipeline
+from pactlens.llm import bpe, byte_dedup, exact_dedup, licenses, mixing, quality_model, quality_rules, simhash, token_counts, toxicity
 from pactlens.llm.common import materialize, scratch_path, table
 from pactlens.llm.sql import EXACT_DEDUP, MIXING, QUALITY_RULES, TOKEN_COUNTS
 
@@ -27,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.rollup_of([feed, feed], spark, scratch_path(spark, "rollup"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,9 +60,13 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_model": op8_quality_model,
+    "op9_byte_dedup": op9_byte_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op2_mixing": MIXING, "op3_token_counts": TOKEN_COUNTS, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}

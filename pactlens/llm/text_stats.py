@@ -67,7 +67,8 @@ def _repeat_words(w: Column, h: Column) -> Column:
 
 
 def with_stats(docs: DataFrame, text: str, prefix: str = "s_") -> DataFrame:
-    """Adds, each named with the prefix: n_chars, n_words, word_chars, n_lines, n_dup_lines, n_repeat_words and the COUNTS.
+    """Adds, each named with the prefix: n_chars, n_words, word_chars, n_lines, n_dup_lines, n_distinct, n_repeat_words
+    and the COUNTS.
 
     A missing text counts as empty; every count of an empty text is 0.
     """
@@ -94,6 +95,7 @@ def with_stats(docs: DataFrame, text: str, prefix: str = "s_") -> DataFrame:
         f"{p}word_chars": (F.char_length(t) - spaces).cast("long"),
         f"{p}n_lines": F.size(lines).cast("long"),
         f"{p}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        f"{p}n_distinct": F.size(F.array_distinct(w)).cast("long"),
         f"{p}n_repeat_words": _repeat_words(w, F.col(f"{p}h")),
         **{f"{p}{name}": F.regexp_count(t, F.lit(pattern)).cast("long") for name, pattern in COUNTS.items()},
     }).drop(f"{p}t", f"{p}l", f"{p}w", f"{p}u", f"{p}h")
