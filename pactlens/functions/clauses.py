@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pactlens.fixed import clauses as C
 from pactlens.functions.confidence import clause_confidence_level, rule_confidence
 from pactlens.functions.text import (
-    WORD_END, WORD_START, any_word, chunks_of, let, literal_array, literal_table, strip, substring_of,
+    WORD_END, WORD_START, added, any_word, chunks_of, gathered, let, literal_array, literal_table, nothing_yet, strip, substring_of,
 )
 
 CANDIDATE = (
@@ -35,19 +35,19 @@ def any_keyword(taxonomy=C.CLAUSE_TYPES) -> str:
 def sentences_with_keywords(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     """array<struct<at,body>> of the period-ended sentences that hold a keyword."""
     regex = any_keyword(taxonomy)
-    kind = "array<struct<at:int,body:string>>"
+    kind = "struct<at:int,body:string>"
 
     def fold(pieces: Column) -> Column:
         def step(acc: Column, piece: Column) -> Column:
-            entry = F.array(F.struct(acc["pos"].alias("at"), piece.alias("body")))
+            entry = F.struct(acc["pos"].alias("at"), piece.alias("body"))
             return F.struct(
                 (acc["pos"] + F.length(piece) + 1).alias("pos"),
-                F.when(piece.rlike(regex), F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
+                F.when(piece.rlike(regex), added(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
             )
 
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
+        start = F.struct(F.lit(0).alias("pos"), nothing_yet(kind).alias("out"))
         ended = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        return F.aggregate(ended, start, step, lambda acc: acc["out"])
+        return F.aggregate(ended, start, step, lambda acc: gathered(acc["out"]))
 
     return let(F.split(text, r"\.", -1), fold)
 
@@ -139,8 +139,8 @@ def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     return let(candidates, per_type)
 
 
-def top_clauses(kept: Column, limit: int = C.MAX_CLAUSES) -> Column:
-    """One clause per start offset, by offset, at most 25, with confidence.
+def top_clauses(kept: Column, limit: int | None = C.MAX_CLAUSES) -> Column:
+    """One clause per start offset, by offset, at most `limit` (None: all), with confidence.
 
     array<struct<clause_no,type,content,start,end,confidence,confidence_level,requires_review>>
     """
@@ -163,9 +163,9 @@ def top_clauses(kept: Column, limit: int = C.MAX_CLAUSES) -> Column:
             ),
         )
 
-    return F.transform(F.slice(unique, 1, limit), finish)
+    return F.transform(unique if limit is None else F.slice(unique, 1, limit), finish)
 
 
-def extract_clauses(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
+def extract_clauses(text: Column, taxonomy=C.CLAUSE_TYPES, limit: int | None = C.MAX_CLAUSES) -> Column:
     """E1 to E4 of one text."""
-    return top_clauses(dedupe_clauses(clause_candidates(text, taxonomy), taxonomy))
+    return top_clauses(dedupe_clauses(clause_candidates(text, taxonomy), taxonomy), limit)

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import chunks_of, let, literal_table, substring_of
+from pactlens.functions.text import added, chunks_of, gathered, let, literal_table, nothing_yet, substring_of
 
 SPAN = "struct<text:string,label:string,start:int,end:int,confidence:double,replacement:string>"
 SPANS = f"array<{SPAN}>"
 
 
-HITS = "array<struct<start:int,end:int,hit:string>>"
+HIT = "struct<start:int,end:int,hit:string>"
+HITS = f"array<{HIT}>"
 
 
 def _fold_hits(pairs: Column) -> Column:
@@ -25,10 +26,10 @@ def _fold_hits(pairs: Column) -> Column:
         start = acc["pos"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
         entry = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(entry)).alias("out"))
+        return F.struct(end.alias("pos"), added(acc["out"], entry).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(HITS).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("pos"), nothing_yet(HIT).alias("out"))
+    return F.aggregate(pairs, start, step, lambda acc: gathered(acc["out"]))
 
 
 def pattern_hits(text: Column, regex: Column) -> Column:
@@ -98,22 +99,23 @@ def merge_overlapping_spans(spans: Column) -> Column:
         )
     )
 
-    def step(kept: Column, item: Column) -> Column:
-        span = item["span"]
-        last = F.try_element_at(kept, F.lit(-1))
-        overlaps = (F.size(kept) > 0) & (span["start"] < last["end"])
+    # the last span kept so far stands apart, as only it can still be replaced
+    def step(acc: Column, item: Column) -> Column:
+        span, last = item["span"], acc["last"]
+        overlaps = last.isNotNull() & (span["start"] < last["end"])
         better = (span["confidence"] > last["confidence"]) | (
             (span["confidence"] == last["confidence"])
             & (span["end"] - span["start"] > last["end"] - last["start"])
         )
-        head = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        return (
-            F.when(~overlaps, F.concat(kept, F.array(span)))
-            .when(better, F.concat(head, F.array(span)))
-            .otherwise(kept)
-        )
+        out = F.when(overlaps | last.isNull(), acc["out"]).otherwise(added(acc["out"], last))
+        return F.struct(F.when(overlaps & ~better, last).otherwise(span).alias("last"), out.alias("out"))
+
+    def finish(acc: Column) -> Column:
+        kept = gathered(acc["out"])
+        return F.when(acc["last"].isNull(), kept).otherwise(F.concat(kept, F.array(acc["last"])))
 
-    return F.aggregate(ordered, F.array().cast(SPANS), step)
+    start = F.struct(F.lit(None).cast(SPAN).alias("last"), nothing_yet(SPAN).alias("out"))
+    return F.aggregate(ordered, start, step, finish)
 
 
 def redact_spans(text: Column, merged: Column) -> Column:

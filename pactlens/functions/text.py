@@ -40,6 +40,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+BUNDLE = 128
+
+
+def nothing_yet(kind: str) -> Column:
+    """The start of an array that a fold grows by `added`.
+
+    Appending to an array copies it, so a fold that appends n entries one by one copies n * n / 2.
+    Here only a bundle of BUNDLE entries is copied at each step; full bundles are put aside.
+    """
+    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"))
+
+
+def added(grown: Column, entry: Column) -> Column:
+    longer = F.concat(grown["open"], F.array(entry))
+    return F.when(
+        F.size(grown["open"]) >= BUNDLE - 1,
+        F.struct(F.concat(grown["full"], F.array(longer)).alias("full"), F.slice(longer, 1, 0).alias("open")),
+    ).otherwise(F.struct(grown["full"].alias("full"), longer.alias("open")))
+
+
+def gathered(grown: Column) -> Column:
+    """All entries, in order."""
+    return F.flatten(F.concat(grown["full"], F.array(grown["open"])))
+
+
 def chunks_of(text: Column) -> Column:
     """The text in pieces of CHUNK characters, for many cheap substrings of a long text.
 

@@ -159,7 +159,7 @@ def type_display_name(clause_type: Column) -> Column:
     return F.array_join(
         F.transform(
             F.split(clause_type, "_", -1),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)),
+            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
         ),
         " ",
     )

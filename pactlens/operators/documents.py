@@ -45,31 +45,33 @@ def admitted_files(files: DataFrame) -> DataFrame:
     return valid_files(files).join(admitted, "batch_id", "left_semi")
 
 
-def within_file_limit(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
-    """Files of batches that hold at most the allowed number of files (larger uploads are refused)."""
-    small = files.groupBy("batch_id").agg(F.count("*").alias("n")).filter(F.col("n") <= limit).select("batch_id")
-    return files.join(small, "batch_id", "left_semi")
-
-
-def batch_header(files: DataFrame) -> DataFrame:
+def batch_header(files: DataFrame, limit: int | None = MAX_FILES) -> DataFrame:
     """One record per upload: joined names, total size, file count, per-file array.
 
-    At most 50 files reach the array of a batch, because larger uploads are refused first.
+    An upload of more than `limit` files is refused: its record has the count, an error and no
+    files.  Its files are left out before anything is collected, so a batch of any size is one row.
     """
     entry = F.struct("ord", "filename", "original_name", "size", "mime")
-    grouped = within_file_limit(files).groupBy("batch_id").agg(
-        F.sum("size").alias("file_size"), F.sort_array(F.collect_list(entry)).alias("files")
-    )
-    return grouped.select(
+    counts = files.groupBy("batch_id").agg(F.count("*").alias("file_count"))
+    refused = F.lit(False) if limit is None else F.col("file_count") > limit
+    allowed = files.join(counts.filter(~refused).select("batch_id"), "batch_id", "left_semi")
+    grouped = allowed.groupBy("batch_id").agg(F.sum("size").alias("file_size"), F.sort_array(F.collect_list(entry)).alias("files"))
+    headers = grouped.select(
         "batch_id",
         F.array_join(F.transform("files", lambda f: f["filename"]), ", ").alias("filename"),
         F.array_join(F.transform("files", lambda f: f["original_name"]), ", ").alias("original_name"),
         "file_size",
         F.lit(D.BATCH_MIME).alias("mime"),
         F.lit("uploaded").alias("status"),
-        F.size("files").alias("file_count"),
+        F.size("files").cast("bigint").alias("file_count"),
         "files",
+        F.lit(None).cast("string").alias("error"),
+    )
+    errors = counts.filter(refused).select(
+        "batch_id", F.lit(D.BATCH_MIME).alias("mime"), F.lit("error").alias("status"), "file_count",
+        message("Too many files: %s, at most %s are accepted", F.col("file_count").cast("string"), F.lit(str(limit))).alias("error"),
     )
+    return headers.unionByName(errors, allowMissingColumns=True)
 
 
 def clean_batch_files(files: DataFrame) -> DataFrame:
@@ -78,8 +80,8 @@ def clean_batch_files(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.when(F.col("error").isNull(), cleaned).otherwise(F.lit("")))
 
 
-def merge_batch(files: DataFrame, cap: int = D.BATCH_TEXT_CHARS, block: int = 1000) -> DataFrame:
-    """Concatenate a batch's texts in file order with separators, capped with a marker (C20).
+def merge_batch(files: DataFrame, cap: int | None = D.BATCH_TEXT_CHARS, block: int = 1000) -> DataFrame:
+    """Concatenate a batch's texts in file order with separators, capped with a marker (C20); `cap` None keeps all.
 
     `ord` numbers the files of a batch.  Files that start beyond the cap cannot reach the
     result, so they are dropped by their start offset before anything is collected: a batch
@@ -91,14 +93,17 @@ def merge_batch(files: DataFrame, cap: int = D.BATCH_TEXT_CHARS, block: int = 10
         error.isNotNull(), F.concat(message(D.SEPARATOR_FAILED, name), message(D.PLACEHOLDER_FAILED, error))
     ).otherwise(F.concat(message(D.SEPARATOR, name), body))
     # no piece can show more than the capped text, so longer ones are cut before the shuffle
+    shown = F.col("piece") if cap is None else F.substring("piece", 1, cap + 1)
     pieces = files.select("batch_id", "ord", piece.alias("piece")).select(
-        "batch_id", "ord", (F.length("piece") + 2).alias("step"), F.substring("piece", 1, cap + 1).alias("piece")
+        "batch_id", "ord", (F.length("piece") + 2).alias("step"), shown.alias("piece")
     )
     placed = running_total(pieces, ["batch_id"], "ord", "step", "at", block, ties=["piece"])
-    reachable = placed.filter(F.col("at") <= cap + 2).select("batch_id", F.struct("at", "piece").alias("entry"))
+    within = F.lit(True) if cap is None else F.col("at") <= cap + 2
+    reachable = placed.filter(within).select("batch_id", F.struct("at", "piece").alias("entry"))
     merged = reachable.groupBy("batch_id").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     text = F.array_join(F.transform("entries", lambda e: e["piece"]), "\n\n")
-    return merged.select("batch_id", text.alias("text")).select(
+    merged = merged.select("batch_id", text.alias("text"))
+    return merged if cap is None else merged.select(
         "batch_id", truncate_text(F.col("text"), cap, D.BATCH_MARKER).alias("text")
     )
 

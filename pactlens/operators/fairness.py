@@ -14,13 +14,14 @@ def group_metrics(predictions: DataFrame, group: str = "contract_type") -> DataF
     """Accuracy and weighted precision, recall, F1 per group and overall (group NULL).
 
     One aggregation of the predictions gives the pair counts; grouping sets on those counts
-    add the overall rows without a second pass over the data.
+    add the overall rows without a second pass over the data.  Rows without a group count in
+    the overall row only.
     """
-    pairs = pair_counts(predictions.filter(F.col(group).isNotNull()), group)
+    pairs = pair_counts(predictions, group)
     columns = [group, "true_label", "predicted_label"]
     both = pairs.groupingSets([columns, columns[1:]], *columns).agg(
         F.sum("n").alias("n"), F.grouping(group).alias("is_overall")
-    )
+    ).filter((F.col("is_overall") == 1) | F.col(group).isNotNull())
     scores = with_scores(label_counts(both, group, "is_overall"))
     weighted = [
         (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in ("precision", "recall", "f1_score")

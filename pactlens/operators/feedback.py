@@ -39,9 +39,10 @@ def in_range(feedback: DataFrame, start, end) -> DataFrame:
 def feedback_summary(feedback: DataFrame, start, end) -> DataFrame:
     """Totals, corrections, mean confidence, users and agreement in a time range.
 
-    Events without a user count as one further user; an empty range gives zeros.
+    Events without a user count as one further user; an empty range gives zeros.  Labels agree
+    when they are equal or both missing.
     """
-    agrees = (F.col("model_prediction") == F.col("user_correction")).cast("int")
+    agrees = F.col("model_prediction").eqNullSafe(F.col("user_correction")).cast("int")
     # events without a user share one reserved key, so one distinct count is enough
     user = F.coalesce(F.col("user_id").cast("string"), F.lit("\x00none"))
     return in_range(feedback, start, end).agg(
@@ -65,7 +66,7 @@ def dashboard_rollup(audit: DataFrame, metrics: DataFrame, feedback: DataFrame,
     Each input is aggregated to one row on its own; the rows are stacked and folded, so no
     join is needed.
     """
-    agrees = (F.col("model_prediction") == F.col("user_correction")).cast("int")
+    agrees = F.col("model_prediction").eqNullSafe(F.col("user_correction")).cast("int")
 
     def mean(column, scale="decimal(20,10)"):
         return F.coalesce(F.avg(column.cast(scale)).cast("double"), F.lit(0.0))

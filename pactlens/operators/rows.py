@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key: str, tasks_per_core: int = 4) -> DataFrame:
-    """Distribute a scan of a few files over all cores before per-row text work.
+def spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Distribute a scan of few row groups over a number of tasks before per-row text work.
 
     Text work costs far more than moving the text once, but a Parquet row group is read by one
-    task.  A table of many files is left as it is, without a shuffle.  Partitions follow the
+    task.  A table of many files doesn't need this; the caller decides.  Partitions follow the
     hash of a unique key, so a repeated task makes the same rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    return df if files >= cores else df.repartition(cores * tasks_per_core, key)
+    return df.repartition(tasks, key)
 
 
 def item_rows(df: DataFrame, items: Column | str, *keep: str, position: str | None = None, item: str = "item") -> DataFrame:

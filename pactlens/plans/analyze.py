@@ -44,12 +44,20 @@ def prepare_documents(documents: DataFrame, redact: bool = True) -> DataFrame:
     )
 
 
-def analyze_documents(documents: DataFrame, redact: bool = True, handbook: R.Handbook | None = None) -> DataFrame:
-    """One analysis record per document (F16).  Input: doc_id, text."""
+def analyze_documents(
+    documents: DataFrame, redact: bool = True, handbook: R.Handbook | None = None, max_clauses: int | None = None
+) -> DataFrame:
+    """One analysis record per document (F16).  Input: doc_id, text.
+
+    All clauses of a text enter the results.  With `max_clauses` the first so many do, and
+    `clauses_left_out` tells how many more there were.
+    """
     prepared = prepare_documents(documents, redact)
-    extracted = prepared.select(
-        "doc_id", "error", "entities_redacted", "privacy_score", "text",
-        F.transform(extract_clauses(F.col("text")), scored_clause).alias("clauses"),
+    found = prepared.select("*", extract_clauses(F.col("text"), limit=None).alias("found"))
+    first = F.col("found") if max_clauses is None else F.slice("found", 1, max_clauses)
+    extracted = found.select(
+        "doc_id", "error", "entities_redacted", "privacy_score", "text", F.transform(first, scored_clause).alias("clauses"),
+        (F.size("found") - F.size(first)).alias("clauses_left_out"),
     )
 
     def with_advice(c):
@@ -67,6 +75,7 @@ def analyze_documents(documents: DataFrame, redact: bool = True, handbook: R.Han
         F.length("text").alias("text_length"),
         F.when(ok, detect_batch_content(F.col("text"))).alias("is_batch"),
         "clauses",
+        "clauses_left_out",
         F.when(ok, R.missing_clauses(F.col("clauses"))).alias("missing"),
         F.when(ok, R.overall_risk(F.col("clauses"), F.length("text"))).alias("risk"),
     )
@@ -90,6 +99,7 @@ def analyze_documents(documents: DataFrame, redact: bool = True, handbook: R.Han
         "privacy_score",
         compliance_level(F.col("privacy_score")).alias("compliance_level"),
         "text_length",
+        "clauses_left_out",
         F.lit(D.ANALYSIS_VERSION).alias("version"),
     )
 

@@ -39,9 +39,14 @@ def _test_folder() -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests) a local temporary folder is made, once.
+    A session on one machine (master local) that names none gets a temporary folder, made once;
+    on a cluster every executor would write to its own disk, so there a missing folder is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _test_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -124,7 +124,9 @@ def test_uploads_above_the_file_limit_are_refused(spark):
     rows = [("big", i, f"s{i}", f"n{i}", 1, "text/plain") for i in range(51)] + [("ok", i, f"s{i}", f"n{i}", 1, "text/plain") for i in range(50)]
     df = spark.createDataFrame(rows, "batch_id string, ord long, filename string, original_name string, size long, mime string")
     header = OD.batch_header(df).collect()
-    assert [(r["batch_id"], r["file_count"], r["file_size"]) for r in header] == [("ok", 50, 50)]
+    assert {(r["batch_id"], r["file_count"], r["file_size"], r["status"]) for r in header} == {("ok", 50, 50, "uploaded"), ("big", 51, None, "error")}
+    assert {r["error"] for r in header} == {None, "Too many files: 51, at most 50 are accepted"}
+    assert {(r["batch_id"], r["file_size"]) for r in OD.batch_header(df, limit=None).collect()} == {("ok", 50), ("big", 51)}
 
 
 def test_only_valid_files_count_for_the_batch_size(spark):
@@ -327,7 +329,7 @@ def test_sliding_windows_in_one_and_two_steps(spark):
     fb = fb.withColumn("timestamp", F.to_timestamp("timestamp"))
     two = sorted(map(tuple, ST.feedback_windows(fb, "4 days", "1 day").collect()))
     assert two == sorted(map(tuple, ST.feedback_windows(fb, "4 days", "1 day", two_step=False).collect()))
-    assert len(two) == 12 and max(r[5] for r in two) == 5
+    assert len(two) == 12 and max(r[5] for r in two) == 6  # five and the missing one
 
 
 def test_classifier_beats_the_commonest_label(spark):
@@ -340,3 +342,48 @@ def test_classifier_beats_the_commonest_label(spark):
     assert hits[0] > 0.95 and hits[1] > 1 / 3 and hits[2] == 3
     labels = spark.createDataFrame([("other",), ("zzz",)], "l string").select(ML.encode_label(F.col("l")).alias("i"))
     assert [tuple(r) for r in labels.select("i", ML.decode_label(F.col("i"))).collect()] == [(10, "other"), (None, None)]
+
+
+def test_ungrouped_rows_count_overall_only(spark):
+    rows = [("a", "a", "g"), ("a", "b", None)]
+    df = spark.createDataFrame(rows, "true_label string, predicted_label string, contract_type string")
+    got = {(r["contract_type"], r["is_overall"]): (r["sample_size"], r["accuracy"]) for r in OF.group_metrics(df).collect()}
+    assert got == {("g", 0): (1, 1.0), (None, 1): (2, 0.5)}
+
+
+def test_predictions_with_another_header_fail(spark, tmp_path):
+    names = ["clause_text", "predicted_label", "true_label", "contract_type"]
+    for i, order in enumerate((names, [names[0], names[2], names[1], names[3]])):
+        (tmp_path / f"part{i}.csv").write_text(",".join(order) + "\n" + ",".join(f"{c} {i}" for c in order) + "\n")
+    assert R.read_predictions(spark, str(tmp_path / "part1.csv")).first()["true_label"] == "true_label 1"
+    with pytest.raises(Exception, match="header|Header|CSV"):
+        R.read_predictions(spark, str(tmp_path)).collect()
+
+
+def test_feedback_ids_cover_all_fields(spark, tmp_path):
+    rows = [("c", {"a": "1"}), ("c", {"a": "2"}), ("c", {"b": "1", "a": "1"}), ("c", {"a": "1", "b": "1"})]
+    df = spark.createDataFrame(rows, "clause_id string, additional_metadata map<string,string>")
+    W.append_feedback(df, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert len(back) == 4 and len({r["feedback_id"] for r in back}) == 3
+
+
+def test_missing_labels_agree_only_with_missing_labels(spark):
+    ts = "2024-01-10 00:00:00"
+    rows = [(None, "x", None), ("x", "x", 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "model_prediction string, user_correction string, user_id long").withColumns(
+        {"timestamp": F.lit(ts).cast("timestamp"), "feedback_type": F.lit("correction"), "model_confidence": F.lit(0.5)})
+    summary = OB.feedback_summary(df, "2024-01-01", "2024-02-01").first()
+    window = ST.feedback_windows(df).first()
+    assert round(summary["prediction_accuracy"], 6) == round(window["prediction_accuracy"], 6) == 0.666667
+    assert summary["unique_users_count"] == window["unique_users"] == 3
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from pactlens.session import scratch_path as path_of
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        path_of(fake, "x")

@@ -18,6 +18,8 @@ MIMES = [
     "application/pdf", "text/plain", "image/png", "application/msword", "image/jpeg",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip",
 ]
+#: Tasks over which the documents are dealt; several for each core of the test machines.
+TASKS = 32
 FEEDBACK_START, FEEDBACK_END = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
 
 
@@ -32,8 +34,8 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text, spread over all cores where the table is a single file."""
-    return spread(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    """doc_id and text, dealt over the session's tasks: the table is a single file of one row group."""
+    return spread(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", TASKS)
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,23 +69,27 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (o * 10 + n).alias("ord"),
         pick(LABELS, p % 13).alias("true_label"),
         F.when(wrong, pick(LABELS, (p + 5) % 13)).otherwise(pick(LABELS, p % 13)).alias("predicted_label"),
-        pick(CONTRACT_TYPES, s % 6).alias("contract_type"),
+        F.when((o + n) % 11 != 5, pick(CONTRACT_TYPES, s % 6)).alias("contract_type"),
     )
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer feedback events from the event table."""
-    ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return feedback_of(read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value"))
+
+
+def feedback_of(events: DataFrame) -> DataFrame:
+    """The same for a stream of events."""
     e = F.col("event_id")
-    return ev.select(
+    return events.select(
         e.alias("feedback_id"),
         F.concat(F.lit("clause_"), (e % 97).cast("string")).alias("clause_id"),
         F.expr("cast(ts as timestamp)").alias("timestamp"),
         F.nullif(F.col("user_id"), F.lit(7)).alias("user_id"),
         (F.floor(F.col("value") * 2 + 0.5) / 1000.0).alias("model_confidence"),
         F.when(F.col("event_type") == "view", F.lit("confirmation")).otherwise(F.lit("correction")).alias("feedback_type"),
-        pick(LABELS, e % 13).alias("model_prediction"),
-        F.when(e % 4 != 0, pick(LABELS, e % 13)).otherwise(pick(LABELS, (e + 1) % 13)).alias("user_correction"),
+        F.when(e % 19 != 3, pick(LABELS, e % 13)).alias("model_prediction"),
+        F.when(e % 23 == 3, F.lit(None)).when(e % 4 != 0, pick(LABELS, e % 13)).otherwise(pick(LABELS, (e + 1) % 13)).alias("user_correction"),
     )
 
 
@@ -107,12 +113,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of upload batches from lineitem: batch = order, ord = line number."""
+    """Files of upload batches from lineitem: batch = order, ord = line number; every 97th order goes into one large upload."""
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     return li.select(
-        o.alias("batch_id"),
-        n.cast("bigint").alias("ord"),
+        F.when(o % 97 == 3, F.lit(3)).otherwise(o).alias("batch_id"),
+        F.when(o % 97 == 3, o * 10 + n).otherwise(n).cast("bigint").alias("ord"),
         F.concat(F.lit("file_"), (o * 10 + n).cast("string"), F.lit(".bin")).alias("filename"),
         F.concat(F.lit("Lease "), n.cast("string"), F.lit(" of "), o.cast("string")).alias("original_name"),
         F.floor(F.col("l_extendedprice") * 1000 + 0.5).cast("bigint").alias("size"),

@@ -7,9 +7,10 @@ from pactlens.fixed import documents as D
 from pactlens.functions import cleaning as CL
 from pactlens.functions import validation as V
 from pactlens.operators import documents as OD
-from pactlens.operators.feedback import with_defaults
 from pactlens.plans import evaluate as E
+from pactlens.session import scratch_path
 from pactlens.sources.readers import route_files
+from pactlens.sources.writers import append_feedback as append_to_log
 from workload import derived as W
 from workload.sql import mapped, msg, pick, q, replaced, squeeze, statement, strip
 
@@ -98,8 +99,10 @@ def append_feedback(spark, sf_dir):
         "clause_id", F.when(i % 5 != 0, F.col("model_prediction")).alias("model_prediction"),
         F.when(i % 3 != 0, F.col("model_confidence")).alias("model_confidence"),
         F.when(i % 2 != 0, F.col("feedback_type")).alias("feedback_type"), F.col("user_id"), "timestamp", "user_correction")
-    rows = with_defaults(sparse)
-    return rows.select(
+    path = scratch_path(spark, "feedback-log")
+    for missing in (False, True):  # two appends
+        append_to_log(sparse.filter(F.col("feedback_type").isNull() == missing), path)
+    return spark.read.parquet(path).select(
         "clause_id", "original_text", "model_prediction", "model_confidence", "user_correction", "feedback_type", "user_id",
         "session_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.size("additional_metadata").alias("metadata_size"), "is_processed")
@@ -107,8 +110,8 @@ def append_feedback(spark, sf_dir):
 
 QUERIES["append_feedback"] = append_feedback
 ORACLE["append_feedback"] = statement(
-    """SELECT clause_id, '' AS original_text, CASE WHEN feedback_id % 5 <> 0 THEN model_prediction ELSE '' END AS model_prediction,
-        CASE WHEN feedback_id % 3 <> 0 THEN model_confidence ELSE 0.0::DOUBLE END AS model_confidence, user_correction,
+    """SELECT clause_id, '' AS original_text, CASE WHEN feedback_id % 5 <> 0 THEN coalesce(model_prediction, '') ELSE '' END AS model_prediction,
+        CASE WHEN feedback_id % 3 <> 0 THEN model_confidence ELSE 0.0::DOUBLE END AS model_confidence, coalesce(user_correction, '') AS user_correction,
         CASE WHEN feedback_id % 2 <> 0 THEN feedback_type ELSE 'correction' END AS feedback_type, user_id::VARCHAR AS user_id,
         NULL::VARCHAR AS session_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, 0 AS metadata_size, false AS is_processed
         FROM feedback""", "feedback")
@@ -240,7 +243,7 @@ ORACLE["truncate_text"] = statement(
 
 
 def merge_batch(spark, sf_dir):
-    return OD.merge_batch(W.batch_files(spark, sf_dir), cap=5000)
+    return OD.merge_batch(W.batch_files(spark, sf_dir))
 
 
 _PIECE = f"""CASE WHEN error IS NOT NULL THEN {msg(D.SEPARATOR_FAILED, 'original_name')} || {msg(D.PLACEHOLDER_FAILED, 'error')}
@@ -250,11 +253,11 @@ MERGED_SQL = """SELECT batch_id, CASE WHEN length(t) > {cap} THEN t[1:{cap}] ||
     FROM (SELECT batch_id, string_agg({piece}, chr(10) || chr(10) ORDER BY ord) AS t FROM {source} GROUP BY 1)"""
 QUERIES["merge_batch"] = merge_batch
 ORACLE["merge_batch"] = statement(
-    MERGED_SQL.format(cap=5000, marker=q(D.BATCH_MARKER), piece=_PIECE, source="batch_files"), "batch_files")
+    MERGED_SQL.format(cap=D.BATCH_TEXT_CHARS, marker=q(D.BATCH_MARKER), piece=_PIECE, source="batch_files"), "batch_files")
 
 
 def detect_batch_content(spark, sf_dir):
-    merged = OD.merge_batch(W.batch_files(spark, sf_dir), cap=5000)
+    merged = OD.merge_batch(W.batch_files(spark, sf_dir))
     plain = W.read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("batch_id"), "text")
     both = merged.withColumn("kind", F.lit("batch")).unionByName(plain.withColumn("kind", F.lit("single")))
     return both.select("kind", "batch_id", CL.detect_batch_content(F.col("text")).alias("is_batch"))
@@ -263,17 +266,20 @@ def detect_batch_content(spark, sf_dir):
 QUERIES["detect_batch_content"] = detect_batch_content
 ORACLE["detect_batch_content"] = statement(
     f"""SELECT 'batch' AS kind, batch_id, contains(text, '--- Content from') AS is_batch FROM (
-          {MERGED_SQL.format(cap=5000, marker=q(D.BATCH_MARKER), piece=_PIECE, source='batch_files')})
+          {MERGED_SQL.format(cap=D.BATCH_TEXT_CHARS, marker=q(D.BATCH_MARKER), piece=_PIECE, source='batch_files')})
         UNION ALL SELECT 'single', doc_id, contains(text, '--- Content from') AND contains(text, '---') FROM documents""", "batch_files")
 
 
 def batch_header(spark, sf_dir):
     header = OD.batch_header(W.uploads(spark, sf_dir))
-    return header.select("batch_id", "filename", "original_name", "file_size", "mime", "status", "file_count")
+    return header.select("batch_id", "filename", "original_name", "file_size", "mime", "status", "file_count", "error")
 
 
 QUERIES["batch_header"] = batch_header
 ORACLE["batch_header"] = statement(
-    """SELECT batch_id, string_agg(filename, ', ' ORDER BY ord, filename, original_name, size, mime) AS filename,
+    """SELECT batch_id, CASE WHEN n <= 50 THEN filename END AS filename, CASE WHEN n <= 50 THEN original_name END AS original_name,
+        CASE WHEN n <= 50 THEN file_size END AS file_size, 'batch/multiple' AS mime, CASE WHEN n <= 50 THEN 'uploaded' ELSE 'error' END AS status, n AS file_count,
+        CASE WHEN n > 50 THEN 'Too many files: ' || n::VARCHAR || ', at most 50 are accepted' END AS error FROM (
+        SELECT batch_id, string_agg(filename, ', ' ORDER BY ord, filename, original_name, size, mime) AS filename,
         string_agg(original_name, ', ' ORDER BY ord, filename, original_name, size, mime) AS original_name, sum(size)::BIGINT AS file_size,
-        'batch/multiple' AS mime, 'uploaded' AS status, count(*) AS file_count FROM uploads GROUP BY 1 HAVING count(*) <= 50""", "uploads")
+        count(*) AS n FROM uploads GROUP BY 1)""", "uploads")

@@ -126,7 +126,7 @@ def _group_sql(source):
 
 def _levels(source):
     return f"""both_levels AS (SELECT contract_type AS grp, 0 AS is_overall, true_label, predicted_label FROM {source} WHERE contract_type IS NOT NULL
-        UNION ALL SELECT NULL, 1, true_label, predicted_label FROM {source} WHERE contract_type IS NOT NULL)"""
+        UNION ALL SELECT NULL, 1, true_label, predicted_label FROM {source})"""
 
 
 METRICS = f"metrics AS ({_group_sql('both_levels')})"
@@ -247,7 +247,7 @@ QUERIES["feedback_summary"] = feedback_summary
 ORACLE["feedback_summary"] = statement(
     f"""SELECT count(*) AS total_feedback, count(*) FILTER (feedback_type = 'correction') AS corrections,
         {rnd('avg(model_confidence::DECIMAL(18,6))', 6)} AS avg_confidence, count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS unique_users_count,
-        {rnd('avg((model_prediction = user_correction)::INT)', 6)} AS prediction_accuracy,
+        {rnd('avg((model_prediction IS NOT DISTINCT FROM user_correction)::INT)', 6)} AS prediction_accuracy,
         '{W.FEEDBACK_START}' AS range_start, '{W.FEEDBACK_END}' AS range_end FROM feedback WHERE {RANGE}""", "feedback")
 
 
@@ -276,7 +276,7 @@ ORACLE["dashboard_rollup"] = statement(
         (SELECT sum(n)::BIGINT AS entities_redacted, count(*) AS documents_processed, {rnd('avg(privacy_score::DECIMAL(20,10))', 6)} AS average_privacy_score FROM scores) a,
         (SELECT count(*) AS groups_audited, {rnd('avg(accuracy)', 6)} AS average_accuracy FROM metrics WHERE is_overall = 0) b,
         (SELECT count(*) AS feedback_entries, {rnd('avg(model_confidence::DECIMAL(20,10))', 6)} AS average_feedback_confidence,
-                {rnd('avg((model_prediction <> user_correction)::INT)', 6)} AS improvement_rate FROM feedback) c,
+                {rnd('avg((model_prediction IS DISTINCT FROM user_correction)::INT)', 6)} AS improvement_rate FROM feedback) c,
         (SELECT count(*) AS documents_scored, {rnd('avg(s::DECIMAL(20,10))', 6)} AS average_confidence, count(*) FILTER (s < 0.7) AS low_confidence_count
          FROM (SELECT {rule_confidence('text', 'label')} AS s FROM (SELECT *, {FIRST} AS label FROM {LINES}))) d)""",
     "scores", "predictions", "feedback")
@@ -362,7 +362,7 @@ ORACLE["latest_status"] = statement(
 
 
 def display_fields(spark, sf_dir):
-    header = OD.batch_header(W.uploads(spark, sf_dir))
+    header = OD.batch_header(W.uploads(spark, sf_dir), limit=None)
     risk = W.pick(list(C.CLAUSE_TYPES), F.col("batch_id") % 12)
     names = F.transform("files", lambda f: f["original_name"])
     batch = F.when(F.col("batch_id") % 3 != 0, F.concat(F.lit("Batch "), F.col("batch_id").cast("string")))
@@ -385,4 +385,4 @@ ORACLE["display_fields"] = statement(
         CASE WHEN batch_id % 3 <> 0 THEN 'Batch ' || batch_id::VARCHAR ELSE array_to_string(names, ', ') END AS display_name,
         'Batch (' || len(names)::VARCHAR || ' files)' AS file_type,
         array_to_string(names[1:3], ', ') || CASE WHEN len(names) > 3 THEN ' +' || (len(names) - 3)::VARCHAR || ' more' ELSE '' END AS first_files
-        FROM (SELECT batch_id, sum(size)::BIGINT AS file_size, list(original_name ORDER BY {_ORD}) AS names FROM uploads GROUP BY 1 HAVING count(*) <= 50)""", "uploads")
+        FROM (SELECT batch_id, sum(size)::BIGINT AS file_size, list(original_name ORDER BY {_ORD}) AS names FROM uploads GROUP BY 1 )""", "uploads")

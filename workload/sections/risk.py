@@ -12,7 +12,8 @@ from pactlens.functions.text import round_half_up
 from pactlens.operators import clauses as OC
 from pactlens.operators.rows import item_rows
 from pactlens.plans.analyze import analyze_documents
-from pactlens.sources.writers import export_payload
+from pactlens.session import scratch_path
+from pactlens.sources.writers import write_analysis_export as write_export
 from workload import derived as W
 from workload.sql import (
     explanation, factor_list, lst, mapped, msg, plain, priority, q, recommendations, risk_level, rnd, scale, statement, summary,
@@ -241,18 +242,26 @@ ORACLE["analyze_documents"] = statement(
 
 
 def write_analysis_export(spark, sf_dir):
-    """The export payload with the scalar part of the analysis."""
-    a = analyze_documents(W.contracts_pii(spark, sf_dir)).select(
-        "doc_id", "overall_risk_score", "risk_level", F.size("clauses").alias("clause_count"), "missing_clauses", "summary", "version")
-    return export_payload(a, "2024-02-01T00:00:00Z")
+    """The whole analysis records written and read back; parts of the JSON are compared."""
+    path = scratch_path(spark, "export")
+    write_export(analyze_documents(W.contracts_pii(spark, sf_dir)), path, exported_at="2024-02-01T00:00:00Z")
+
+    def part(place):
+        return F.get_json_object("value", f"$.{place}")
+
+    clauses = F.from_json(part("analysis.clauses"), "array<struct<type: string>>")
+    return spark.read.text(path).select(
+        part("document.doc_id").cast("long").alias("doc_id"), part("analysis.overall_risk_score").cast("double").alias("overall_risk_score"),
+        part("analysis.risk_level").alias("risk_level"), F.size(clauses).cast("long").alias("clause_count"),
+        F.array_join(F.from_json(part("analysis.missing_clauses"), "array<string>"), ",").alias("missing_clauses"), F.array_join(F.transform(clauses, lambda c: c["type"]), ",").alias("clause_types"), part("analysis.summary").alias("summary"),
+        part("analysis.version").alias("version"), part("exportedAt").alias("exported_at"))
 
 
-_JSON_LIST = "'[' || array_to_string(list_transform(missing, lambda t: '\"' || t || '\"'), ',') || ']'"
 QUERIES["write_analysis_export"] = write_analysis_export
 ORACLE["write_analysis_export"] = statement(
-    f"""SELECT doc_id, '{{"document":{{"doc_id":' || doc_id::VARCHAR || '}},"analysis":{{"overall_risk_score":' || ({rnd('risk', 1)})::VARCHAR ||
-          ',"risk_level":"' || {risk_level('risk')} || '","clause_count":' || n::VARCHAR || ',"missing_clauses":' || {_JSON_LIST} ||
-          ',"summary":"' || {summary()} || '","version":"{D.ANALYSIS_VERSION}"}},"exportedAt":"2024-02-01T00:00:00Z"}}' AS payload FROM a_docs""", "a_docs")
+    f"""SELECT doc_id, {rnd('risk', 1)} AS overall_risk_score, {risk_level('risk')} AS risk_level, n::BIGINT AS clause_count, array_to_string(missing, ',') AS missing_clauses,
+        coalesce(clause_types, '') AS clause_types, {summary()} AS summary, '{D.ANALYSIS_VERSION}' AS version, '2024-02-01T00:00:00Z' AS exported_at
+        FROM a_docs LEFT JOIN (SELECT doc_id, string_agg(type, ',' ORDER BY clause_no) AS clause_types FROM a_scored GROUP BY doc_id) USING (doc_id)""", "a_docs", "a_scored")
 
 
 def clause_type_rollup(spark, sf_dir):

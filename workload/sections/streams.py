@@ -165,29 +165,26 @@ def _event_stream(spark, sf_dir):
 
 
 def _feedback_stream(spark, sf_dir):
-    ev = _event_stream(spark, sf_dir)
-    e = F.col("event_id")
-    return ev.select(
-        e.alias("feedback_id"), F.expr("cast(ts as timestamp)").alias("timestamp"), F.nullif(F.col("user_id"), F.lit(7)).alias("user_id"),
-        (F.floor(F.col("value") * 2 + 0.5) / 1000.0).alias("model_confidence"),
-        F.when(F.col("event_type") == "view", F.lit("confirmation")).otherwise(F.lit("correction")).alias("feedback_type"),
-        W.pick(C.LABELS, e % 13).alias("model_prediction"),
-        F.when(e % 4 != 0, W.pick(C.LABELS, e % 13)).otherwise(W.pick(C.LABELS, (e + 1) % 13)).alias("user_correction"))
-
-
-WINDOW_COLUMNS = ["window_start", "total_feedback", "corrections", "avg_confidence", "prediction_accuracy"]
+    return W.feedback_of(_event_stream(spark, sf_dir))
 
 
 def _shown(df):
+    """Users of a stream come from a sketch, which is exact for the few hundred users of a window here."""
     return df.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "total_feedback", "corrections",
+        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "total_feedback", "corrections", "unique_users",
         round_half_up(F.col("avg_confidence"), 6).alias("avg_confidence"), round_half_up(F.col("prediction_accuracy"), 6).alias("prediction_accuracy"))
 
 
-def _window_sql(source, having=""):
+def _window_sql(source):
     return f"""SELECT strftime(d, '%Y-%m-%d') AS window_start, count(*) AS total_feedback, count(*) FILTER (feedback_type = 'correction') AS corrections,
-        {rnd('avg(model_confidence::DECIMAL(18,6))', 6)} AS avg_confidence, {rnd('avg((model_prediction = user_correction)::INT)', 6)} AS prediction_accuracy
-        FROM {source} GROUP BY d {having}"""
+        count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS unique_users,
+        {rnd('avg(model_confidence::DECIMAL(18,6))', 6)} AS avg_confidence,
+        {rnd('avg((model_prediction IS NOT DISTINCT FROM user_correction)::INT)', 6)} AS prediction_accuracy
+        FROM {source} GROUP BY d"""
+
+
+DAYS = "(SELECT *, date_trunc('day', timestamp) AS d FROM feedback)"
+MONTHS = "(SELECT *, date_trunc('day', timestamp) - INTERVAL 1 DAY * unnest(range(0, 30)) AS d FROM feedback)"
 
 
 def feedback_windows(spark, sf_dir):
@@ -195,7 +192,7 @@ def feedback_windows(spark, sf_dir):
 
 
 QUERIES["feedback_windows"] = feedback_windows
-ORACLE["feedback_windows"] = statement(_window_sql("(SELECT *, date_trunc('day', timestamp) AS d FROM feedback)"), "feedback")
+ORACLE["feedback_windows"] = statement(_window_sql(DAYS), "feedback")
 
 
 def feedback_windows_sliding(spark, sf_dir):
@@ -203,37 +200,31 @@ def feedback_windows_sliding(spark, sf_dir):
 
 
 QUERIES["feedback_windows_sliding"] = feedback_windows_sliding
-ORACLE["feedback_windows_sliding"] = statement(
-    _window_sql("(SELECT *, date_trunc('day', timestamp) - INTERVAL 1 DAY * unnest(range(0, 30)) AS d FROM feedback)"), "feedback")
+ORACLE["feedback_windows_sliding"] = statement(_window_sql(MONTHS), "feedback")
 
 
-def stream_feedback_windows(spark, sf_dir):
-    """Windows closed by the watermark, written once each."""
+def _stream_windows(spark, sf_dir, **frame):
+    """All windows, those that the watermark hasn't closed included: each micro-batch writes a full version."""
     out, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "cp")
-    result = ST.feedback_windows(_feedback_stream(spark, sf_dir))
-    ST.run_available(result, out, checkpoint)
-    return _shown(spark.read.schema(result.schema).parquet(out))
+    result = ST.feedback_windows(_feedback_stream(spark, sf_dir), two_step=False, **frame)
+    ST.run_to_versions(result, out, checkpoint, "complete")
+    return _shown(ST.last_version(spark, out))
+
+
+def stream_feedback_windows(spark, sf_dir):
+    return _stream_windows(spark, sf_dir)
 
 
 QUERIES["stream_feedback_windows"] = stream_feedback_windows
-ORACLE["stream_feedback_windows"] = statement(
-    _window_sql("(SELECT *, date_trunc('day', timestamp) AS d, max(timestamp) OVER () AS latest FROM feedback)",
-                "HAVING d + INTERVAL 1 DAY <= any_value(latest) - INTERVAL 1 HOUR"), "feedback")
+ORACLE["stream_feedback_windows"] = statement(_window_sql(DAYS), "feedback")
 
 
 def stream_feedback_windows_sliding(spark, sf_dir):
-    """Sliding windows of 30 days by 1 day that the watermark has closed."""
-    out, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "cp")
-    result = ST.feedback_windows(_feedback_stream(spark, sf_dir), "30 days", "1 day")
-    ST.run_available(result, out, checkpoint)
-    return _shown(spark.read.schema(result.schema).parquet(out))
+    return _stream_windows(spark, sf_dir, width="30 days", slide="1 day")
 
 
 QUERIES["stream_feedback_windows_sliding"] = stream_feedback_windows_sliding
-ORACLE["stream_feedback_windows_sliding"] = statement(
-    _window_sql("""(SELECT *, date_trunc('day', timestamp) - INTERVAL 1 DAY * unnest(range(0, 30)) AS d
-                    FROM (SELECT *, max(timestamp) OVER () AS latest FROM feedback))""",
-                "HAVING d + INTERVAL 30 DAY <= any_value(latest) - INTERVAL 1 HOUR"), "feedback")
+ORACLE["stream_feedback_windows_sliding"] = statement(_window_sql(MONTHS), "feedback")
 
 
 def stream_review_queue(spark, sf_dir):
@@ -242,7 +233,7 @@ def stream_review_queue(spark, sf_dir):
     fb = _feedback_stream(spark, sf_dir)
     rows = fb.select(
         F.col("feedback_id").alias("clause_id"), F.col("timestamp").alias("ts"), "model_prediction",
-        (F.col("model_confidence") < 0.7).alias("requires_review"))
+        (F.col("model_confidence") < 0.1).alias("requires_review"))
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     result = ST.review_stream(twice)
     ST.run_available(result, out, checkpoint)
@@ -250,7 +241,7 @@ def stream_review_queue(spark, sf_dir):
 
 
 QUERIES["stream_review_queue"] = stream_review_queue
-ORACLE["stream_review_queue"] = statement("SELECT feedback_id AS clause_id, model_prediction FROM feedback WHERE model_confidence < 0.7", "feedback")
+ORACLE["stream_review_queue"] = statement("SELECT feedback_id AS clause_id, model_prediction FROM feedback WHERE model_confidence < 0.1", "feedback")
 
 
 def stream_latest_status(spark, sf_dir):

@@ -107,19 +107,20 @@ TABLES = {
     "predictions": f"""SELECT l_orderkey * 10 + l_linenumber AS ord, {pick(C.LABELS, 'l_partkey % 13')} AS true_label,
         CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 OR (l_suppkey % 6 = 3 AND l_partkey % 3 = 0)
              THEN {pick(C.LABELS, '(l_partkey + 5) % 13')} ELSE {pick(C.LABELS, 'l_partkey % 13')} END AS predicted_label,
-        {pick(CONTRACT_TYPES, 'l_suppkey % 6')} AS contract_type FROM lineitem""",
+        CASE WHEN (l_orderkey + l_linenumber) % 11 <> 5 THEN {pick(CONTRACT_TYPES, 'l_suppkey % 6')} END AS contract_type FROM lineitem""",
     "feedback": f"""SELECT event_id AS feedback_id, 'clause_' || (event_id % 97)::VARCHAR AS clause_id, ts AS timestamp,
         nullif(user_id, 7) AS user_id, floor(value * 2 + 0.5) / 1000.0 AS model_confidence,
         CASE WHEN event_type = 'view' THEN 'confirmation' ELSE 'correction' END AS feedback_type,
-        {pick(C.LABELS, 'event_id % 13')} AS model_prediction,
-        CASE WHEN event_id % 4 <> 0 THEN {pick(C.LABELS, 'event_id % 13')} ELSE {pick(C.LABELS, '(event_id + 1) % 13')} END AS user_correction
+        CASE WHEN event_id % 19 <> 3 THEN {pick(C.LABELS, 'event_id % 13')} END AS model_prediction,
+        CASE WHEN event_id % 23 = 3 THEN NULL WHEN event_id % 4 <> 0 THEN {pick(C.LABELS, 'event_id % 13')} ELSE {pick(C.LABELS, '(event_id + 1) % 13')} END AS user_correction
         FROM events""",
     "registry": f"""SELECT o_orderkey AS id, 'Batch ' || (o_custkey % 50)::VARCHAR AS batch_name,
         'contract_' || o_orderkey::VARCHAR || '.txt' AS original_name, {pick(MIMES, 'o_orderkey % 7')} AS mime,
         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'uploaded' ELSE 'processing' END AS status,
         CASE WHEN o_orderstatus = 'F' THEN ['low', 'medium', 'high'][o_orderkey % 3 + 1] END AS risk_level,
         floor(o_totalprice * 100 + 0.5)::BIGINT AS file_size, o_orderdate AS uploaded_at FROM orders""",
-    "uploads": f"""SELECT l_orderkey AS batch_id, l_linenumber::BIGINT AS ord,
+    "uploads": f"""SELECT CASE WHEN l_orderkey % 97 = 3 THEN 3 ELSE l_orderkey END AS batch_id,
+        (CASE WHEN l_orderkey % 97 = 3 THEN l_orderkey * 10 + l_linenumber ELSE l_linenumber END)::BIGINT AS ord,
         'file_' || (l_orderkey * 10 + l_linenumber)::VARCHAR || '.bin' AS filename,
         'Lease ' || l_linenumber::VARCHAR || ' of ' || l_orderkey::VARCHAR AS original_name,
         floor(l_extendedprice * 1000 + 0.5)::BIGINT AS size, {pick(MIMES, '(l_partkey + l_linenumber) % 7')} AS mime FROM lineitem""",
@@ -280,7 +281,7 @@ def rule_confidence(text: str, label: str) -> str:
     return rnd(raw, 3)
 
 
-def clause_stages(prefix: str, source: str) -> dict:
+def clause_stages(prefix: str, source: str, limit: int | None = C.MAX_CLAUSES) -> dict:
     selects = []
     for order, (kind, keyword) in enumerate(KEYWORDS):
         regex = rf"(?i)\b{keyword}\b[^.]{{0,200}}[.]"
@@ -303,7 +304,7 @@ def clause_stages(prefix: str, source: str) -> dict:
         FROM (SELECT *, {rule_confidence('content', 'type')} AS confidence FROM (
             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS clause_no FROM (
                 SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY ord, pos) AS rn FROM {prefix}kept)
-            WHERE rn = 1) WHERE clause_no <= 25)"""
+            WHERE rn = 1){'' if limit is None else f' WHERE clause_no <= {limit}'})"""
     # the additions run left to right, as doubles
     multiplier = "CASE type " + " ".join(f"WHEN {q(k)} THEN {v}::DOUBLE" for k, v in R.TYPE_MULTIPLIERS.items()) + " ELSE 1::DOUBLE END"
     base = f"3::DOUBLE * {multiplier}"
@@ -378,7 +379,7 @@ def _priority(score: str, kind: str) -> str:
 
 risk_level, priority = _risk_level, _priority
 STAGES |= clause_stages("c_", "contracts")
-STAGES |= clause_stages("a_", "r_gated")
+STAGES |= clause_stages("a_", "r_gated", None)
 STAGES["c_marks"] = (["c_triggers"], """SELECT t.doc_id, t.clause_no, t.trigger_no, b.content, t.start, t."end" AS stop, t.kind,
         coalesce(lag(t."end") OVER (PARTITION BY t.doc_id, t.clause_no ORDER BY t.trigger_no), 0) AS last
     FROM c_triggers t JOIN c_based b USING (doc_id, clause_no)""")
