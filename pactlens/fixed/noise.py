@@ -133,12 +133,11 @@ LAYOUT_REGIONS = {
 # ---- fixed values: tests for a tabular header (applied to lower-cased text)
 TABULAR_PATTERNS = [(r"\|\s*[^|]+\s*\|", ""), (r":\s*[A-Z0-9]+", ""), (r"[-=_]{5,}", "")]
 
-# ---- fixed values: whole-line noise; the first two are written without adjacent \s quantifiers
-# (same matches, no backtracking)
+# ---- fixed values: whole-line noise
 LINE_NOISE = {
     "tabularNoise": [
-        (r"^[A-Z\s]+:[A-Z0-9\s]+$", "m"),
-        (r"^\s*\|[^|]+\|[^|]+\|\s*$", "m"),
+        (r"^\s*[A-Z\s]+\s*:\s*[A-Z0-9\s]+\s*$", "m"),
+        (r"^\s*\|\s*[^|]+\s*\|\s*[^|]+\s*\|\s*$", "m"),
         (r"^\s*[-=_]{3,}\s*$", "m"),
     ],
     "graphicalNoise": [
@@ -152,6 +151,11 @@ LINE_NOISE = {
         (r"^\s*Rs\.?\s*\d+\s*$", "m"),
     ],
 }
+# the same matches without adjacent \s quantifiers, so that matching doesn't backtrack
+LINE_NOISE_FAST = {
+    r"^\s*[A-Z\s]+\s*:\s*[A-Z0-9\s]+\s*$": r"^[A-Z\s]+:[A-Z0-9\s]+$",
+    r"^\s*\|\s*[^|]+\s*\|\s*[^|]+\s*\|\s*$": r"^\s*\|[^|]+\|[^|]+\|\s*$",
+}
 
 # ---- fixed values: noise that stops conservative body extraction
 BODY_STOP_PATTERNS = [

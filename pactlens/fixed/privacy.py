@@ -19,11 +19,11 @@ BASIC_PATTERNS = [
 ]
 
 # ---- fixed values: sensitivity in tenths, other labels 5
-SENSITIVITY_TENTHS = {
-    "SSN": 10, "CREDIT_CARD": 10, "EMAIL": 7, "PHONE": 7, "PERSON": 8,
-    "DATE": 3, "MONEY": 2, "ORGANIZATION": 4, "LOCATION": 5,
+SENSITIVITY = {
+    "SSN": 1.0, "CREDIT_CARD": 1.0, "EMAIL": 0.7, "PHONE": 0.7, "PERSON": 0.8,
+    "DATE": 0.3, "MONEY": 0.2, "ORGANIZATION": 0.4, "LOCATION": 0.5,
 }
-DEFAULT_SENSITIVITY_TENTHS = 5
+DEFAULT_SENSITIVITY = 0.5
 
 # ---- fixed values: points deducted per span, other labels 1
 DEDUCTIONS = {

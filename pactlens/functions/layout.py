@@ -10,7 +10,7 @@ from pactlens.functions.text import (
     any_pattern, any_word, count_contained, expand_whitespace, let, normalize_whitespace, pattern, replace_all, strip,
 )
 
-LINE_PATTERNS = [p for group in N.LINE_NOISE.values() for p in group]
+LINE_PATTERNS = [(N.LINE_NOISE_FAST.get(s, s), flags) for group in N.LINE_NOISE.values() for s, flags in group]
 INDICATOR = any_word(N.LAYOUT_INDICATORS)
 STOP = any_pattern(N.BODY_STOP_PATTERNS)
 
@@ -206,7 +206,7 @@ def layout_findings(text: Column) -> Column:
             )
     for family, patterns in N.LINE_NOISE.items():
         for source, flags in patterns:
-            regex = pattern(source, flags)
+            regex = pattern(N.LINE_NOISE_FAST.get(source, source), flags)
             found = let(
                 F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
                 lambda m, family=family, source=source: F.when(

@@ -39,9 +39,9 @@ def find_and_merge(text: Column, patterns=P.CONFIGURED_PATTERNS) -> Column:
 def privacy_score(text: Column, merged: Column) -> Column:
     """1 minus density and sensitivity of the spans, three decimals."""
     chars = F.aggregate(merged, F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    tenths = F.aggregate(
-        merged, F.lit(0), lambda acc, s: acc + lookup(P.SENSITIVITY_TENTHS, s["label"], P.DEFAULT_SENSITIVITY_TENTHS)
-    )
+    # summed in tenths, as integers, so that the order of the spans doesn't matter
+    weights = {label: round(weight * 10) for label, weight in P.SENSITIVITY.items()}
+    tenths = F.aggregate(merged, F.lit(0), lambda acc, s: acc + lookup(weights, s["label"], round(P.DEFAULT_SENSITIVITY * 10)))
     density = chars / F.length(text)
     sensitivity = tenths / (F.size(merged) * 10)
     raw = F.greatest(F.lit(0.0), 1.0 - (density * 2 + sensitivity * 0.5))

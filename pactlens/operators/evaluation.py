@@ -72,7 +72,11 @@ def per_class_metrics(predictions: DataFrame, labels=LABELS) -> DataFrame:
 
 def overall_metrics(predictions: DataFrame) -> DataFrame:
     """Accuracy, macro means over the labels seen, support-weighted means."""
-    scores = with_scores(label_counts(pair_counts(predictions)))
+    return overall_of(with_scores(label_counts(pair_counts(predictions))))
+
+
+def overall_of(scores: DataFrame) -> DataFrame:
+    """The same from the scores of each label."""
     means = [F.avg(c).alias(f"macro_{m}") for c, m in (("precision", "precision"), ("recall", "recall"), ("f1_score", "f1"))]
     weighted = [
         (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{m}")

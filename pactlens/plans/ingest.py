@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from pactlens.functions.cleaning import character_count, word_count
 from pactlens.operators.documents import clean_batch_files, merge_batch
+from pactlens.session import materialize
 
 
 def ingest_batches(files: DataFrame) -> DataFrame:
-    """batch_id, merged text, character and word counts from extracted files."""
-    merged = merge_batch(clean_batch_files(files))
+    """batch_id, merged text, character and word counts from extracted files.
+
+    Merging reads its input twice (block sums, then rows), so the cleaned texts are written to the
+    shared folder first: every text is cleaned once.
+    """
+    merged = merge_batch(materialize(clean_batch_files(files), "cleaned-files"))
     return merged.select(
         "batch_id", "text", character_count(F.col("text")).alias("characters"), word_count(F.col("text")).alias("words")
     )

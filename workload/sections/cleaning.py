@@ -187,7 +187,7 @@ def analyze_layout(spark, sf_dir):
 _LAYOUT = " UNION ALL ".join(
     [f"SELECT doc_id, 'region' AS kind, {q(r)} AS region, {q(s)} AS pattern, 1 AS matches, regexp_extract(text, {q(re2(s, f))}, 0) AS examples FROM contracts WHERE regexp_matches(text, {q(re2(s, f))})"
      for r, ps in N.LAYOUT_REGIONS.items() for s, f in ps]
-    + [f"SELECT doc_id, 'noise', {q(r)}, {q(s)}, len(m), array_to_string(m[1:2], ' | ') FROM (SELECT doc_id, regexp_extract_all(text, {q(re2(s, f))}) AS m FROM contracts) WHERE len(m) > 0"
+    + [f"SELECT doc_id, 'noise', {q(r)}, {q(s)}, len(m), array_to_string(m[1:2], ' | ') FROM (SELECT doc_id, regexp_extract_all(text, {q(re2(N.LINE_NOISE_FAST.get(s, s), f))}) AS m FROM contracts) WHERE len(m) > 0"
        for r, ps in N.LINE_NOISE.items() for s, f in ps])
 QUERIES["analyze_layout"] = analyze_layout
 ORACLE["analyze_layout"] = statement(f"SELECT * FROM ({_LAYOUT})", "contracts")

@@ -8,14 +8,16 @@ from pactlens.functions import confidence as CF
 from pactlens.functions import validation as V
 from pactlens.functions.text import round_half_up
 from pactlens.operators import catalog as OG
+from pactlens.operators import clauses as OC
 from pactlens.operators import documents as OD
 from pactlens.operators import evaluation as OE
 from pactlens.operators import fairness as OF
 from pactlens.operators import feedback as OB
 from pactlens.operators.privacy import audit_privacy
+from pactlens.plans import evaluate as E
 from workload import derived as W
 from workload.sections.clauses import LINES, FIRST, clause_lines
-from workload.sql import lst, mapped, msg, q, rnd, rule_confidence, scale, statement
+from workload.sql import lst, mapped, msg, q, rnd, rule_confidence, rules, scale, statement
 
 QUERIES, ORACLE = {}, {}
 
@@ -231,6 +233,65 @@ QUERIES["issue_distribution"] = issue_distribution
 ORACLE["issue_distribution"] = audit_sql(
     "SELECT 'severity' AS dim, severity AS value, count(*) AS n FROM issues GROUP BY 2 UNION ALL SELECT 'metric', metric, count(*) FROM issues GROUP BY 2")
 
+
+# ---- whole reports
+
+def evaluation_report(spark, sf_dir):
+    """The record, one row for each class of it."""
+    report = E.evaluation_report(W.predictions(spark, sf_dir), evaluated_at="2024-02-01T00:00:00Z")
+    rows = report.select("overall", "confusion", "metadata", F.inline("per_class"))
+    cells = F.aggregate("confusion", F.lit(0).cast("bigint"), lambda a, c: a + F.when(c["true_label"] == F.col("label"), c["n"]).otherwise(0))
+    return rounded(rows.select("label", "precision", "recall", "f1_score", "support", F.col("overall.accuracy").alias("accuracy"),
+                               F.col("overall.total_samples").alias("total_samples"), cells.alias("matrix_row"), F.col("metadata.model").alias("model")),
+                   "precision", "recall", "f1_score", "accuracy")
+
+
+QUERIES["evaluation_report"] = evaluation_report
+ORACLE["evaluation_report"] = statement(
+    f"""SELECT label, {rnd('coalesce(p, 0)', 6)} AS precision, {rnd('coalesce(r, 0)', 6)} AS recall, {rnd('coalesce(f, 0)', 6)} AS f1_score, support,
+        {rnd('(SELECT avg((true_label = predicted_label)::INT) FROM predictions)', 6)} AS accuracy, (SELECT count(*) FROM predictions) AS total_samples,
+        support AS matrix_row, 'rules' AS model FROM {PER_CLASS}""", "predictions")
+
+
+def evaluate_rules(spark, sf_dir):
+    """The rule classifier on the clauses, whose types are the labels."""
+    labelled = OC.clause_rows(W.contracts(spark, sf_dir)).select(F.col("content").alias("text"), F.col("type").alias("label"))
+    return rounded(OE.overall_metrics(E.predicted_rows(labelled, CF.classify_rules_13)), *OVERALL)
+
+
+_RULED = f"(SELECT type AS true_label, {rules('lower(content)', C.EVALUATION_RULES, 'other')} AS predicted_label FROM c_clauses)"
+QUERIES["evaluate_rules"] = evaluate_rules
+ORACLE["evaluate_rules"] = statement(
+    f"""SELECT {rnd('sum(tp) / sum(support)::DOUBLE', 6)} AS accuracy, {rnd('avg(coalesce(p, 0))', 6)} AS macro_precision,
+        {rnd('avg(coalesce(r, 0))', 6)} AS macro_recall, {rnd('avg(coalesce(f, 0))', 6)} AS macro_f1,
+        {rnd('sum(coalesce(p, 0) * support) / sum(support)', 6)} AS weighted_precision, {rnd('sum(coalesce(r, 0) * support) / sum(support)', 6)} AS weighted_recall,
+        {rnd('sum(coalesce(f, 0) * support) / sum(support)', 6)} AS weighted_f1, sum(support)::BIGINT AS total_samples
+        FROM (SELECT label, tp, support, pred, tp / nullif(pred, 0)::DOUBLE AS p, tp / nullif(support, 0)::DOUBLE AS r, 2 * tp / nullif(support + pred, 0)::DOUBLE AS f
+              FROM (SELECT label, sum(hit) AS tp, sum(t) AS support, sum(g) AS pred FROM (
+                  SELECT true_label AS label, (true_label = predicted_label)::INT AS hit, 1 AS t, 0 AS g FROM {_RULED}
+                  UNION ALL SELECT predicted_label, 0, 0, 1 FROM {_RULED}) GROUP BY 1))""", "c_clauses")
+
+
+def fairness_audit(spark, sf_dir):
+    """The record's parts side by side."""
+    audit = E.fairness_audit(W.predictions(spark, sf_dir))
+    return audit.select(
+        round_half_up(F.col("overall.accuracy"), 6).alias("accuracy"), F.col("overall.sample_size").alias("sample_size"),
+        F.array_join(F.transform("groups", lambda g: g["name"]), ",").alias("group_names"),
+        F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["metric"], i["severity"], i["worst_performing"])), ",").alias("found"),
+        F.array_join(F.array_sort(F.transform("recommendations", lambda r: r["title"])), ",").alias("titles"), "summary.*")
+
+
+QUERIES["fairness_audit"] = fairness_audit
+ORACLE["fairness_audit"] = audit_sql(
+    f"""SELECT {rnd('(SELECT accuracy FROM metrics WHERE is_overall = 1)', 6)} AS accuracy, (SELECT sample_size FROM metrics WHERE is_overall = 1) AS sample_size,
+        (SELECT string_agg(grp, ',' ORDER BY grp) FROM metrics WHERE is_overall = 0) AS group_names,
+        (SELECT string_agg(metric || ':' || severity || ':' || worst_performing, ',' ORDER BY metric) FROM issues) AS found,
+        (SELECT string_agg(title, ',' ORDER BY title) FROM recs) AS titles,
+        (SELECT count(*) FROM issues) AS total_bias_issues, (SELECT count(*) FROM issues WHERE severity = 'high') AS high_severity_issues,
+        (SELECT count(*) FROM issues WHERE severity = 'medium') AS medium_severity_issues, (SELECT count(*) FROM metrics WHERE is_overall = 0) AS contract_types_analyzed,
+        (SELECT count(*) FROM recs) AS total_recommendations""")
+
 # ---- feedback
 
 RANGE = f"timestamp >= TIMESTAMP '{W.FEEDBACK_START}' AND timestamp <= TIMESTAMP '{W.FEEDBACK_END}'"

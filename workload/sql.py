@@ -188,7 +188,7 @@ def span_stages(prefix: str, source: str) -> dict:
         f"{prefix}scores": ([source, f"{prefix}merged_rows"], f"""SELECT t.doc_id, count(m.doc_id) AS n,
                 CASE WHEN count(m.doc_id) = 0 THEN 1.0 ELSE floor(greatest(0.0, 1.0 -
                     (coalesce(sum(m."end" - m.start), 0)::DOUBLE / any_value(length(t.text)) * 2
-                     + sum({mapped('m.label', P.SENSITIVITY_TENTHS, '5')})::DOUBLE / (count(m.doc_id) * 10) * 0.5)) * 1000 + 0.5) / 1000.0 END AS privacy_score,
+                     + sum({mapped('m.label', {k: round(w * 10) for k, w in P.SENSITIVITY.items()}, '5')})::DOUBLE / (count(m.doc_id) * 10) * 0.5)) * 1000 + 0.5) / 1000.0 END AS privacy_score,
                 list(m.label ORDER BY m.span_no) FILTER (m.label IS NOT NULL) AS labels,
                 coalesce(sum(m."end" - m.start), 0) AS chars, any_value(length(t.text)) AS text_length
             FROM {source} t LEFT JOIN {prefix}merged_rows m USING (doc_id) GROUP BY t.doc_id"""),
@@ -200,7 +200,7 @@ STAGES |= span_stages("", "contracts_pii")
 
 # ---- layout filtering, as stages over (doc_id, text) tables
 
-LINE_PATTERNS = [p for group in N.LINE_NOISE.values() for p in group]
+LINE_PATTERNS = [(N.LINE_NOISE_FAST.get(s, s), f) for group in N.LINE_NOISE.values() for s, f in group]
 INDICATOR = "(?i)" + "|".join(N.LAYOUT_INDICATORS)
 
 
