@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.functions.cleaning import character_count, word_count
+from pactlens.fixed import documents as D
+from pactlens.functions.cleaning import character_count, truncate_text, word_count
 from pactlens.operators.documents import clean_batch_files, merge_batch
 from pactlens.session import materialize
 
@@ -20,3 +21,15 @@ def ingest_batches(files: DataFrame) -> DataFrame:
     return merged.select(
         "batch_id", "text", character_count(F.col("text")).alias("characters"), word_count(F.col("text")).alias("words")
     )
+
+
+def batch_file_results(files: DataFrame, preview: int | None = D.PREVIEW_CHARS) -> DataFrame:
+    """One row per file of a batch: the start of its cleaned text (None: all of it), its whole length, and its error.
+
+    A file that failed has its error, an empty preview and length 0; the others of its batch don't suffer.
+    """
+    cleaned = clean_batch_files(files).select("batch_id", "ord", "original_name", "text", "error")
+    shown = F.col("text") if preview is None else truncate_text(F.col("text"), preview)
+    return cleaned.select(
+        "batch_id", "ord", "original_name", shown.alias("preview"), F.length("text").cast("bigint").alias("characters"), "error"
+    )

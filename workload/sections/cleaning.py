@@ -9,7 +9,7 @@ from pactlens.functions import cleaning as CL
 from pactlens.functions import layout as L
 from pactlens.functions.text import normalize_whitespace
 from pactlens.operators.rows import item_rows
-from pactlens.plans.ingest import ingest_batches
+from pactlens.plans.ingest import batch_file_results, ingest_batches
 from pactlens.fixed import documents as D
 from workload import derived as W
 from workload.sections.checks import MERGED_SQL, _PIECE
@@ -215,6 +215,9 @@ def ingest(spark, sf_dir):
 
 _FILES = filtered_sql("(SELECT batch_id, ord, original_name, error, text FROM batch_files)", "batch_id, ord, original_name, error")
 _CLEANED = f"""(SELECT batch_id, ord, original_name, error, CASE WHEN error IS NULL THEN {clean_sql('cleaned')} ELSE '' END AS text FROM ({_FILES}))"""
+QUERIES["batch_file_results"] = lambda spark, sf_dir: batch_file_results(W.batch_files(spark, sf_dir))
+ORACLE["batch_file_results"] = statement(
+    f"""SELECT batch_id, ord, original_name, text[1:{D.PREVIEW_CHARS}] AS preview, length(text) AS characters, error FROM {_CLEANED}""", "batch_files")
 QUERIES["ingest_batches"] = ingest
 ORACLE["ingest_batches"] = statement(
     f"""SELECT batch_id, text, length(text) AS characters, len(string_split_regex(text, {q(re2(chr(92) + 's+'))})) AS words
