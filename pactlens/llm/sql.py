@@ -25,8 +25,11 @@ WITH d AS (
   SELECT doc_id, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
     {_count(COUNTS['n_symbols'])} AS n_symbols, {_count(STOP_PATTERN)} AS n_stop
   FROM documents
-), s AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM d WHERE len(w) >= {WINDOW}),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {WINDOW - 1}]) AS n FROM s),
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i,
+    unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS window_words
+  FROM d WHERE len(w) >= {WINDOW}
+), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, window_words) AS n FROM s),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM g WHERE n > 1) GROUP BY doc_id),
 c AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, n_symbols, n_stop,
