@@ -73,7 +73,8 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     s = fps[order]
     label = np.arange(len(s))
-    pairs = [(i[k], j[k]) for i, j in near(s, s, radius) for k in [i < j] if k.any()]
+    small = np.min_scalar_type(len(s))
+    pairs = [(i[k].astype(small), j[k].astype(small)) for i, j in near(s, s, radius) for k in [i < j] if k.any()]
     changed = bool(pairs)
     while changed:
         before = label.copy()
