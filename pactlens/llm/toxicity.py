@@ -125,11 +125,11 @@ def choose(r: np.ndarray, y: np.ndarray, most: int, least: int) -> tuple[list[in
     """Columns taken one after another, each for the toxic rows that it explains and fewer than DEPTH before it did."""
     limits = np.array([_limit(r[:, j], y) for j in range(r.shape[1])])
     votes = r >= limits
-    value = np.where(y > 0, 1.0, -1.0)[:, None] * votes
+    value = np.where(y > 0, 1, -1).astype(np.int8)[:, None] * votes
     explained = np.zeros(len(y), int)
     taken: list[int] = []
     while len(taken) < most and r.shape[1]:
-        gain = value[explained < DEPTH].sum(axis=0)
+        gain = value[explained < DEPTH].sum(axis=0, dtype=np.int64)
         j = int(np.argmax(gain))
         if gain[j] < least:
             break
@@ -187,21 +187,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            return {"r": [rates(t or "", found) for t in batch.column("text").to_pylist()]}
+            return {"r": [np.array(rates(t or "", found), np.float32).tobytes() for t in batch.column("text").to_pylist()]}
 
         return work
 
-    sample = mapped(known, make, "r array<double>", keep=["doc_id", "y"]).orderBy("doc_id").collect()  # at most `rows` rows
+    sample = mapped(known, make, "r binary", keep=["doc_id", "y"]).orderBy("doc_id").collect()  # at most `rows` rows of some 1.6 KB
     y = np.array([x["y"] for x in sample], int)
     if not len(y) or y.min() == y.max():
         return Model()
-    r = np.array([x["r"] for x in sample]).reshape(len(y), -1)
+    r = np.frombuffer(b"".join([x["r"] for x in sample]), np.float32).reshape(len(y), -1)
+    del sample
     taken, limits = choose(r[:, : len(found)], y, ENTRIES, LEAST_NEW)
     columns = taken + list(range(len(found), r.shape[1]))
     some = [r[:, j][r[:, j] > 0] for j in columns[len(taken) :]]
     # the seeds vote wherever they occur, a pattern where its rate is high
     others = [float(x.min() if k == 0 else np.quantile(x, 0.9)) if len(x) else 1.0 for k, x in enumerate(some)]
-    r, all_limits = r[:, columns], np.array(limits + others)
+    r, all_limits = r[:, columns].astype(float), np.array(limits + others)
     posterior, accuracy, groups = label_model(r >= all_limits, y)
     weights = fit_linear(features(r, all_limits), posterior)
     return Model(tuple(found[j] for j in taken), tuple(all_limits), tuple(weights), tuple(accuracy), tuple(int(g) for g in groups))
