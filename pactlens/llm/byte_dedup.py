@@ -98,6 +98,8 @@ def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
     top = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     same_place = ~new & (doc == doc[top]) & (dk == dk[top]) & (at == at[top])
+    # what is gone needs no neighbours any more; dealt by its place, a common context doesn't fill one partition
+    g = np.where(new, g, (doc.view(np.uint64) * _ODD[0] + at.view(np.uint64)) * _ODD[1])
     arrays = [x[~same_place] for x in (g.view(np.int64), h.view(np.int64), doc, dk, at, n, ~new)]
     return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(arrays, ROWS, strict=True)], schema=ROWS)
 
@@ -135,8 +137,8 @@ def context_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def split_contexts(rows: DataFrame) -> DataFrame:
     """doc, dk, at, n, g, gone: repeated contexts (gone) and contexts that share their anchor with another one (to be compared)."""
     n = at_least(rows.sparkSession, 2)
-    # rows already gone only pass through, dealt by their context like the others
-    placed = rows.repartitionByRange(n, "g", "h").sortWithinPartitions("g", "h", "gone", "doc", "dk", "at")
+    # rows already gone only pass through
+    placed = rows.repartitionByRange(n, "g", "h").sortWithinPartitions("g", "h", "doc", "dk", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last distinct context waits for the next one; at the ends of a partition a neighbour may be elsewhere, so those are compared
@@ -144,7 +146,14 @@ def split_contexts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, h, doc, dk, at, n, gone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ROWS.names)
+            everything = [batch.column(c).to_numpy(zero_copy_only=False) for c in ROWS.names]
+            past = everything[-1]
+            if past.any():
+                columns = [everything[k][past] for k in (2, 3, 4, 5, 0, 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, PLACES, strict=True)], schema=PLACES)
+                if past.all():
+                    continue
+            g, h, doc, dk, at, n, _ = (x[~past] for x in everything)
             before = first if first is not None else (None,) * 5
             new = np.concatenate([[(g[0], h[0]) != before[:2]], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
             top = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
