@@ -20,6 +20,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
 #: Documents that one bin holds on average.
 BIN_ROWS = 200
+#: Tasks over which the rows of one source are dealt.
+SALTS = 64
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -84,7 +86,10 @@ def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     # one row per source: the bin in which the budget ends and what the bins before it hold
     ends = ends.select("s", F.col("bin").alias("end_bin"), (F.col("upto") - F.col("bin_size")).alias("before"))
     plan = sources.withColumnRenamed("source", "z").join(ends, F.col("s").eqNullSafe(F.col("z")), "left").drop("s")
-    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("z")), "left")
+    # the rows of a source are dealt over SALTS tasks, each of which gets the one row of its plan
+    plan = plan.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("key", "size"), F.lit(SALTS)).cast("int"))
+    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("z")) & (F.col("salt") == F.col("plan_salt")), "left").drop("salt", "plan_salt")
     at_end = F.coalesce(F.col("bin") == F.col("end_bin"), F.lit(False))
     inside = rows.filter(at_end)
     order = Window.partitionBy("source").orderBy("key", "size", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
