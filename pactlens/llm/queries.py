@@ -5,8 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from pactlens.llm import bpe, byte_dedup, exact_dedup, licenses, mixing, quality_model, quality_rules, simhash, token_counts, toxicity
+from pactlens.llm import bpe, byte_dedup, exact_dedup, licenses, mixing, periodic_runs, quality_model, quality_rules, simhash, token_counts, toxicity
 from pactlens.llm.common import materialize, scratch_path, table
 from pactlens.llm.sql import EXACT_DEDUP, MIXING, QUALITY_RULES, TOKEN_COUNTS
 
@@ -56,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_period)
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
@@ -67,6 +70,6 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_byte_dedup": op9_byte_dedup,
     "op10_quality_rules": op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE = {"op2_mixing": MIXING, "op3_token_counts": TOKEN_COUNTS, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}
