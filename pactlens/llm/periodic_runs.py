@@ -221,7 +221,7 @@ def read(docs: DataFrame, rewrite: Rewrite | None = None, first_top: int = FIRST
         for k, w in enumerate(words):
             if len(w) > whole:
                 for start, stop, low, high in tiles(len(w), first_top):
-                    row = (TILE_ROW, keys[k], None, None, start, low, high, None, w[start:stop].tobytes())
+                    row = (TILE_ROW, keys[k], None, None, start, low, high, None, squeeze.compress(w[start:stop].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, READ, strict=True)], schema=READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +238,11 @@ def tile_fragments(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_key", pa.binary()), ("period", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in sliced(batches):
             found = []
             for key, at, low, high, data in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "at", "low", "high", "data")), strict=True):
-                found += [(key, p, at + a, at + b) for a, b, p in stretches(np.frombuffer(data, np.int32), low, high)]
+                found += [(key, p, at + a, at + b) for a, b, p in stretches(np.frombuffer(expand.decompress(data), np.int32), low, high)]
             columns = zip(*found, strict=True) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
