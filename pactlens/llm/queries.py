@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import bpe, byte_dedup, exact_dedup, licenses, mixing, periodic_runs, quality_model, quality_rules, simhash, token_counts, toxicity
+from pactlens.llm import bpe, byte_dedup, exact_dedup, licenses, mixing, periodic_runs, prefix_trie, quality_model, quality_rules, simhash, token_counts, toxicity
 from pactlens.llm.common import materialize, scratch_path, table
 from pactlens.llm.sql import EXACT_DEDUP, MIXING, QUALITY_RULES, TOKEN_COUNTS
 
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_period)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.shared_beginnings)
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
@@ -71,5 +75,6 @@ QUERIES = {
     "op9_byte_dedup": op9_byte_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLE = {"op2_mixing": MIXING, "op3_token_counts": TOKEN_COUNTS, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}
