@@ -13,32 +13,31 @@ Suffix arrays of shards find the repeats, so equal strings have to meet in one s
 3. These are fetched as bytes and dealt into shards by anchor.  A shard's suffix array (Larsson-Sadakane refinement) and common prefixes
    (Kasai) give the runs of equal strings; all but the earliest of a run go.
 4. An anchor with more contexts than a shard takes is dealt over several shards.  Each sends the first of every distinct string on, and
-   the sorted strings are merged by binary search, so that only the earliest of all shards stays.
+   the sorted strings are merged by binary search over their bytes, so that only the earliest of all shards stays.
 5. Gone starts are gathered by document, and the texts are cut.
 
-Contexts are told apart by 128 bits of hash (anchor and context), strings of different shards by 128 bits.  Rows move as numbers; texts
-move twice, compressed.
+Whole contexts, and texts of one id, are told apart by 128 bits of a cryptographic digest, strings by their bytes.  Rows move as numbers;
+texts move twice, compressed.  A shard is bounded by bytes, inside an anchor too, so a task needs the same memory at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.arrow import mapped, texts
+from pactlens.llm.arrow import mapped, sliced, texts
 from pactlens.llm.common import at_least, materialize
 from pactlens.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
 #: Bytes hashed together (they fit the processor's cache), contexts folded together, bytes of a suffix array, contexts of one anchor in a shard.
-CHUNK, FOLD, SHARD_BYTES, SHARD_CONTEXTS = 192 << 10, 400_000, 4 << 20, 20_000
+CHUNK, FOLD, SHARD_BYTES, SHARD_CONTEXTS = 192 << 10, 400_000, 1 << 20, 5_000
 NO_ID = (1 << 63) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -82,25 +81,32 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return start[first], np.diff(np.append(first, len(anchor))), hashes[anchor[first]]
 
 
-ROWS = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("dk", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("gone", pa.bool_())])
-PLACES = pa.schema([("doc", pa.int64()), ("dk", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("g", pa.int64()), ("gone", pa.bool_())])
+ROWS = pa.schema([
+    ("g", pa.int64()), ("h", pa.int64()), ("i", pa.int64()), ("doc", pa.int64()), ("dk", pa.int64()), ("dl", pa.int64()), ("at", pa.int64()), ("n", pa.int32()),
+    ("gone", pa.bool_()),
+])
+PLACES = pa.schema([("doc", pa.int64()), ("dk", pa.int64()), ("dl", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("g", pa.int64()), ("gone", pa.bool_())])
+#: The columns that name a text: its id and the two halves of its digest.
+DOC = ("doc", "dk", "dl")
 
 
-def _digest32(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) - (1 << 31)
+def digests(many: Iterable[bytes]) -> np.ndarray:
+    """Two 64-bit halves of a BLAKE2b digest of each byte string."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(t, digest_size=16).digest() for t in many]), np.int64).reshape(-1, 2)
 
 
 def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Contexts of many texts: of equal ones the first stays a candidate, the others are gone; repeats of one place are left out."""
-    g, h, doc, dk, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.lexsort((at, dk, doc, h, g))
-    g, h, doc, dk, at, n = (x[by] for x in (g, h, doc, dk, at, n))
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
+    g, h, i, doc, dk, dl, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort((at, dl, dk, doc, i, h, g.view(np.int64)))
+    g, h, i, doc, dk, dl, at, n = (x[by] for x in (g, h, i, doc, dk, dl, at, n))
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (i[1:] != i[:-1])])
     top = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-    same_place = ~new & (doc == doc[top]) & (dk == dk[top]) & (at == at[top])
+    same_place = ~new & (doc == doc[top]) & (dk == dk[top]) & (dl == dl[top]) & (at == at[top])
     # what is gone needs no neighbours any more; dealt by its place, a common context doesn't fill one partition
     g = np.where(new, g, (doc.view(np.uint64) * _ODD[0] + at.view(np.uint64)) * _ODD[1])
-    arrays = [x[~same_place] for x in (g.view(np.int64), h.view(np.int64), doc, dk, at, n, ~new)]
+    arrays = [x[~same_place] for x in (g.view(np.int64), h, i, doc, dk, dl, at, n, ~new)]
     return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(arrays, ROWS, strict=True)], schema=ROWS)
 
 
@@ -109,36 +115,37 @@ def context_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
-        for batch in batches:
+        for batch in sliced(batches, CHUNK):
+            if not batch.num_rows:
+                continue
             ids, many = batch.column("doc").to_numpy(zero_copy_only=False), texts(batch)
+            data = b"".join(many)
+            if len(data) < length:
+                continue
             sizes = np.array([len(t) for t in many], np.int64)
-            chunk = (np.cumsum(sizes) - sizes) // CHUNK
-            for lo, hi in zip(cut := [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist()], [*cut[1:], len(many)], strict=True):
-                data = b"".join(many[lo:hi])
-                if len(data) < length:
-                    continue
-                ends = np.cumsum(sizes[lo:hi])
-                starts = ends - sizes[lo:hi]
-                at, n, g = contexts(np.frombuffer(data, np.uint8), starts, ends, length)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)), np.uint64, len(at))
-                of = np.searchsorted(ends, at, side="right")
-                dk = np.array([_digest32(t) for t in many[lo:hi]], np.int32)
-                parts.append((g, h, ids[lo:hi][of], dk[of], at - starts[of], n.astype(np.int32)))
-                rows += len(at)
-                if rows >= FOLD:
-                    yield _folded(parts)
-                    parts, rows = [], 0
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            at, n, g = contexts(np.frombuffer(data, np.uint8), starts, ends, length)
+            if not len(at):
+                continue
+            told = digests(data[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True))
+            of, docs_told = np.searchsorted(ends, at, side="right"), digests(many)
+            parts.append((g, told[:, 0], told[:, 1], ids[of], docs_told[of, 0], docs_told[of, 1], at - starts[of], n.astype(np.int32)))
+            rows += len(at)
+            if rows >= FOLD:
+                yield _folded(parts)
+                parts, rows = [], 0
         if rows:
             yield _folded(parts)
 
-    return docs.mapInArrow(run, "g long, h long, doc long, dk int, at long, n int, gone boolean")
+    return docs.mapInArrow(run, "g long, h long, i long, doc long, dk long, dl long, at long, n int, gone boolean")
 
 
 def split_contexts(rows: DataFrame) -> DataFrame:
-    """doc, dk, at, n, g, gone: repeated contexts (gone) and contexts that share their anchor with another one (to be compared)."""
+    """doc, dk, dl, at, n, g, gone: repeated contexts (gone) and contexts that share their anchor with another one (to be compared)."""
     n = at_least(rows.sparkSession, 2)
     # rows already gone only pass through
-    placed = rows.repartitionByRange(n, "g", "h").sortWithinPartitions("g", "h", "doc", "dk", "at")
+    placed = rows.repartitionByRange(n, "g", "h", "i").sortWithinPartitions("g", "h", "i", "doc", "dk", "dl", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last distinct context waits for the next one; at the ends of a partition a neighbour may be elsewhere, so those are compared
@@ -146,25 +153,25 @@ def split_contexts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            everything = [batch.column(c).to_numpy(zero_copy_only=False) for c in ROWS.names]
-            past = everything[-1]
+            everything = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ROWS.names}
+            past = everything["gone"]
             if past.any():
-                columns = [everything[k][past] for k in (2, 3, 4, 5, 0, 6)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, PLACES, strict=True)], schema=PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(everything[f.name][past], type=f.type) for f in PLACES], schema=PLACES)
                 if past.all():
                     continue
-            g, h, doc, dk, at, n, _ = (x[~past] for x in everything)
-            before = first if first is not None else (None,) * 5
-            new = np.concatenate([[(g[0], h[0]) != before[:2]], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
-            top = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-            place = np.stack([doc, dk.astype(np.int64), at])
-            of_top = np.where(top < 0, np.array([[x] for x in before[2:]] if first is not None else [[0]] * 3, np.int64), place[:, np.maximum(top, 0)])
-            same_place = ~new & (place == of_top).all(axis=0)
+            row = {c: x[~past] for c, x in everything.items()}
+            told, place = (np.stack([row[c] for c in names]) for names in (("g", "h", "i"), (*DOC, "at")))
+            differs = (told[:, 1:] != told[:, :-1]).any(axis=0)
+            new = np.concatenate([[first is None or tuple(told[:, 0].tolist()) != first[:3]], differs])
+            top = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            before = np.array(first[3:] if first is not None else (0,) * 4, np.int64)[:, None]
+            same_place = ~new & (place == np.where(top < 0, before, place[:, np.maximum(top, 0)])).all(axis=0)
             out = [np.flatnonzero(~new & ~same_place)]
             fresh = np.flatnonzero(new)
             if len(fresh):
-                first = (g[fresh[-1]], h[fresh[-1]], *place[:, fresh[-1]].tolist())
-                anchors = g[fresh]
+                last = fresh[-1]
+                first = (*told[:, last].tolist(), *place[:, last].tolist())
+                anchors = row["g"][fresh]
                 if waiting is not None:
                     next_same = bool(waiting["g"][0] == anchors[0])
                     if joined or next_same:
@@ -172,39 +179,36 @@ def split_contexts(rows: DataFrame) -> DataFrame:
                     joined = next_same
                 with_before = np.concatenate([[joined], anchors[1:] == anchors[:-1]])
                 with_next = np.append(anchors[1:] == anchors[:-1], False)
-                shown = fresh[:-1][(with_before | with_next)[:-1]]
-                out.append(shown)
-                last = fresh[-1]
-                waiting = {"doc": [doc[last]], "dk": [dk[last]], "at": [at[last]], "n": [n[last]], "g": [g[last]], "gone": [False]}
+                out.append(fresh[:-1][(with_before | with_next)[:-1]])
+                waiting = {c: [row[c][last]] for c in PLACES.names}
                 joined = bool(with_before[-1])
             at_rows = np.concatenate(out)
-            flag = np.zeros(len(at_rows), bool)
-            flag[: len(out[0])] = True
-            columns = [doc[at_rows], dk[at_rows], at[at_rows], n[at_rows], g[at_rows], flag]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, PLACES, strict=True)], schema=PLACES)
+            columns = {c: row[c][at_rows] for c in PLACES.names} | {"gone": np.arange(len(at_rows)) < len(out[0])}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in PLACES], schema=PLACES)
         if waiting is not None:
             yield pa.RecordBatch.from_pydict(waiting, PLACES)
 
-    return placed.mapInArrow(run, "doc long, dk int, at long, n int, g long, gone boolean")
+    return placed.mapInArrow(run, "doc long, dk long, dl long, at long, n int, g long, gone boolean")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc, dk, z: the compressed text of each row."""
+    """doc, dk, dl, z: the compressed text of each row."""
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=3)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             many = texts(batch)
-            return {"dk": [_digest32(t) for t in many], "z": [squeeze.compress(t) for t in many]}
+            told = digests(many)
+            return {"dk": told[:, 0], "dl": told[:, 1], "z": [squeeze.compress(t) for t in many]}
 
         return work
 
-    return mapped(docs, make, "dk int, z binary", keep=[c for c in docs.columns if c != "text"])
+    return mapped(docs, make, "dk long, dl long, z binary", keep=[c for c in docs.columns if c != "text"])
 
 
 FOUND = pa.schema([
-    ("doc", pa.int64()), ("dk", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("gone", pa.bool_()),
+    ("doc", pa.int64()), ("dk", pa.int64()), ("dl", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("string", pa.binary()), ("gone", pa.bool_()),
 ])
 
 
@@ -227,18 +231,18 @@ def repeats_of_shard(many: list[bytes], rank: np.ndarray, spread: np.ndarray, le
 
 
 def shard_repeats(parts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Suffix arrays over the contexts (g, part, doc, dk, at, ctx, spread) of each shard."""
+    """Suffix arrays over the contexts (g, part, doc, dk, dl, at, ctx, spread) of each shard."""
     n = at_least(parts.sparkSession, 2)
     placed = parts.repartition(n, "g", "part").sortWithinPartitions("g", "part")
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        doc, dk, at = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
-        by = np.lexsort((at, dk, doc))
-        new = np.concatenate([[False], (np.diff(doc[by]) != 0) | (np.diff(dk[by]) != 0) | (np.diff(at[by]) != 0)])
-        rank = np.empty(len(rows), np.int64)
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*DOC, "at")])
+        by = np.lexsort(place[::-1])
+        new = np.concatenate([[False], (np.diff(place[:, by], axis=1) != 0).any(axis=0)])
+        rank = np.empty(batch.num_rows, np.int64)
         rank[by] = np.cumsum(new)
-        many = [r[5] for r in rows]
-        c, off, c2, off2 = repeats_of_shard(many, rank, np.array([r[6] for r in rows], bool), length)
+        many = texts(batch, "ctx")
+        c, off, c2, off2 = repeats_of_shard(many, rank, batch.column("spread").to_numpy(zero_copy_only=False), length)
         by = np.lexsort((off, c))
         c, off = c[by], off[by]
         # neighbouring starts of a context become one row
@@ -246,59 +250,80 @@ def shard_repeats(parts: DataFrame, length: int = LENGTH) -> DataFrame:
         head = np.flatnonzero(new)
         count = np.diff(np.append(head, len(c)))
         c, off = c[head], off[head]
-        wide = [xxhash.xxh3_128_intdigest(many[i][o : o + length]) for i, o in zip(c2.tolist(), off2.tolist(), strict=True)]
-        low = np.array([w & ((1 << 64) - 1) for w in wide], np.uint64).view(np.int64)
-        high = np.array([w >> 64 for w in wide], np.uint64).view(np.int64)
-        none = np.zeros(len(c), np.int64)
+        strings = [many[k][o : o + length] for k, o in zip(c2.tolist(), off2.tolist(), strict=True)]
+        both, at = np.concatenate([c, c2]), np.concatenate([off, off2])
         arrays = [
-            np.concatenate([doc[c], doc[c2]]), np.concatenate([dk[c], dk[c2]]), np.concatenate([at[c] + off, at[c2] + off2]),
-            np.concatenate([count, np.ones(len(c2), np.int64)]), np.concatenate([none, low]), np.concatenate([none, high]),
-            np.concatenate([np.ones(len(c), bool), np.zeros(len(c2), bool)]),
+            *(place[k, both] for k in range(3)), place[3, both] + at, np.concatenate([count, np.ones(len(c2), np.int64)]), [None] * len(c) + strings,
+            np.arange(len(both)) < len(c),
         ]
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(arrays, FOUND, strict=True)], schema=FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, key = [], 0, None
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-                if size >= SHARD_BYTES and row[:2] != key:  # a shard ends between anchors only
-                    yield found(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                key = row[:2]
-                size += len(row[5])
-        if rows:
-            yield found(rows)
-
-    return placed.mapInArrow(run, "doc long, dk int, at long, n int, w1 long, w2 long, gone boolean")
-
-
-def merge_shards(firsts: DataFrame) -> DataFrame:
-    """doc, dk, at, n of strings that start earlier in another shard: sorted by string and place, each is looked up by binary search."""
+        shard: list[pa.RecordBatch] = []
+        size = 0
+        for anchor in groups_of(batches, ("g", "part")):
+            more = anchor.column("ctx").nbytes
+            if shard and size + more > SHARD_BYTES:  # a shard ends between anchors only; one anchor's part fits a shard
+                yield found(pa.concat_batches(shard))
+                shard, size = [], 0
+            shard.append(anchor)
+            size += more
+        if shard:
+            yield found(pa.concat_batches(shard))
+
+    return placed.mapInArrow(run, "doc long, dk long, dl long, at long, n int, string binary, gone boolean")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as one batch for each value of the keys (integers)."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            value = tuple(values[:, a].tolist())
+            if rest and value != last:
+                yield pa.concat_batches(rest)
+                rest = []
+            rest.append(batch.slice(a, b - a))
+            last = value
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def merge_shards(firsts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc, dk, dl, at, n of strings that start earlier in another shard.
+
+    Each shard has sent the first place of every distinct string of a spread anchor.  They are dealt by a hash of the string and sorted by
+    its bytes; each string is looked up among the distinct ones by binary search, which compares bytes.
+    """
     n = at_least(firsts.sparkSession, 2)
-    placed = firsts.select("w1", "w2", "doc", "dk", "at").repartition(n, "w1", "w2").sortWithinPartitions("w1", "w2", "doc", "dk", "at")
+    order = ("string", *DOC, "at")
+    placed = firsts.select(*order).repartition(n, "string").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(list(PLACES)[:4])
-        last = None  # the last string of the batch before, with its first place
-        for batch in batches:
+        schema = pa.schema([f for f in PLACES if f.name in (*DOC, "at", "n")])
+        last = None  # the last string of the slice before, with its first place
+        for batch in sliced(batches, rows=1 << 16):
             if not batch.num_rows:
                 continue
-            w1, w2, doc, dk, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            words = np.empty(len(w1), [("a", np.int64), ("b", np.int64)])
-            words["a"], words["b"] = w1, w2
-            new = np.concatenate([[True], words[1:] != words[:-1]])
-            distinct = words[new]
-            first = np.flatnonzero(new)[np.searchsorted(distinct, words)]
-            place = np.stack([doc, dk.astype(np.int64), at])
+            # a mark behind each string keeps zero bytes at its end
+            strings = np.array([x + b"\x01" for x in batch.column("string").to_pylist()], f"S{length + 1}")
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*DOC, "at")])
+            new = np.concatenate([[True], strings[1:] != strings[:-1]])
+            distinct, heads = strings[new], np.flatnonzero(new)
+            first = heads[np.searchsorted(distinct, strings)]
             earliest = place[:, first]
-            if last is not None and last[0] == tuple(words[0]):
-                earliest[:, first == 0] = np.array(last[1], np.int64)[:, None]
+            if last is not None and last[0] == strings[0]:
+                earliest[:, first == 0] = last[1][:, None]
             gone = (place != earliest).any(axis=0)
-            last = (tuple(words[-1]), earliest[:, -1].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (doc, dk, at)] + [pa.array(np.ones(gone.sum(), np.int32))], schema=schema)
+            last = (strings[-1], earliest[:, -1].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in place] + [pa.array(np.ones(gone.sum(), np.int32))], schema=schema)
 
-    return placed.mapInArrow(run, "doc long, dk int, at long, n int")
+    return placed.mapInArrow(run, "doc long, dk long, dl long, at long, n int")
 
 
 def gone_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -306,8 +331,8 @@ def gone_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     places = materialize(split_contexts(context_rows(docs, length)), "contexts")
     left = places.filter(~F.col("gone"))
     hot = left.groupBy(F.col("g").alias("hot")).agg(F.ceil(F.count("*") / SHARD_CONTEXTS).cast("int").alias("parts")).filter(F.col("parts") > 1)
-    wanted = left.groupBy("doc", "dk").agg(F.collect_list(F.struct("at", "n", "g")).alias("spans"))
-    fetched = packed(docs).join(wanted, ["doc", "dk"])
+    wanted = left.groupBy("doc", "dk", "dl").agg(F.collect_list(F.struct("at", "n", "g")).alias("spans"))
+    fetched = packed(docs).join(wanted, ["doc", "dk", "dl"])
 
     def make():
         expand = zstandard.ZstdDecompressor()
@@ -321,14 +346,14 @@ def gone_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return work
 
-    cut = mapped(fetched, make, "c array<struct<at: long, g: long, ctx: binary>>", keep=["doc", "dk"])
-    rows = cut.select("doc", "dk", F.inline("c"))
+    cut = mapped(fetched, make, "c array<struct<at: long, g: long, ctx: binary>>", keep=["doc", "dk", "dl"])
+    rows = cut.select("doc", "dk", "dl", F.inline("c"))
     dealt = rows.join(hot, F.col("g") == F.col("hot"), "left")
-    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc", "dk", "at"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
-    dealt = dealt.select("g", part.alias("part"), "doc", "dk", "at", "ctx", F.col("parts").isNotNull().alias("spread"))
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc", "dk", "dl", "at"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    dealt = dealt.select("g", part.alias("part"), "doc", "dk", "dl", "at", "ctx", F.col("parts").isNotNull().alias("spread"))
     found = materialize(shard_repeats(dealt, length), "repeats")
-    merged = merge_shards(found.filter(~F.col("gone")))
-    return places.filter("gone").select("doc", "dk", "at", "n").unionByName(found.filter("gone").select("doc", "dk", "at", "n")).unionByName(merged)
+    merged = merge_shards(found.filter(~F.col("gone")), length)
+    return places.filter("gone").select("doc", "dk", "dl", "at", "n").unionByName(found.filter("gone").select("doc", "dk", "dl", "at", "n")).unionByName(merged)
 
 
 def without(text: bytes, starts: list[tuple[int, int]], length: int = LENGTH) -> tuple[list[tuple[int, int]], bytes]:
@@ -354,8 +379,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = False) -
     character, so `kept` is binary.  Further columns don't matter, and an empty table gives an empty result.
     """
     slim = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), docs["text"].alias("text"))
-    gone = gone_starts(slim, length).groupBy("doc", "dk").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
-    joined = packed(slim).join(gone, ["doc", "dk"], "left").select(F.nullif(F.col("doc"), F.lit(NO_ID)).alias("doc_id"), "z", "starts")
+    gone = gone_starts(slim, length).groupBy("doc", "dk", "dl").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
+    joined = packed(slim).join(gone, ["doc", "dk", "dl"], "left").select(F.nullif(F.col("doc"), F.lit(NO_ID)).alias("doc_id"), "z", "starts")
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<a: long, b: long>>, kept binary" if whole else "")
 
     def make():
