@@ -96,6 +96,11 @@ def _unit(seq: Column, k: Column) -> Column:
     return F.substring(seq, (k * UNIT - (UNIT - 1)).cast("int"), F.lit(UNIT))
 
 
+def in_root(distinct: DataFrame) -> DataFrame:
+    """The sequences in one container under the root.  Written before they burst, so that the first head is a value and not a constant."""
+    return distinct.withColumns({"head": F.lit("").cast("string"), "path": F.array().cast("array<string>"), "depth": F.lit(0).cast("long")})
+
+
 def burst(distinct: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(containers: head, depth, path, seq, n, least, ends; burst heads: head, depth, deep, path, chars; sequences that end at a burst head:
     head, path, n, least, ends).
@@ -103,7 +108,7 @@ def burst(distinct: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame
     A path holds the names of the heads above, the root first.  A head stands for the chain of nodes from its depth down to `deep`, which
     its smallest and largest sequence, and so all, share; `chars` holds the code points of the chain's turns.
     """
-    opened = distinct.withColumns({"head": F.lit("").cast("string"), "path": F.array().cast("array<string>"), "depth": F.lit(0).cast("long")})
+    opened = distinct
     closed: list[DataFrame] = []
     heads: list[DataFrame] = []
     ended: list[DataFrame] = []
@@ -258,7 +263,7 @@ def prefix_trie(turns: DataFrame, rebuild: Rebuild | None = None, limit: int = L
     than some 50 million turns exceeds what a cell holds and fails.
     """
     seqs = materialize(sequences(turns), "sequences")
-    distinct = materialize(folded(rebuild(seqs) if rebuild else seqs), "distinct-sequences")
+    distinct = materialize(in_root(folded(rebuild(seqs) if rebuild else seqs)), "distinct-sequences")
     containers, heads, ended = burst(distinct, limit)
     columns = [f.name for f in NODES][:-1]
     if heads is None or ended is None:

@@ -90,7 +90,7 @@ def test_turnless_and_empty(spark):
 
 def test_containers_stay_within_the_limit(spark, conversations):
     seqs = pt.sequences(conversations)
-    distinct = pt.materialize(pt.folded(pt.shared_beginnings(seqs)), "test-distinct")
+    distinct = pt.materialize(pt.in_root(pt.folded(pt.shared_beginnings(seqs))), "test-distinct")
     containers, heads, ended = pt.burst(distinct, 30)
     sizes = containers.selectExpr("head", "octet_length(seq) / 20 - depth AS turns").groupBy("head").agg({"turns": "sum", "*": "count"}).collect()
     assert all(r["sum(turns)"] <= 30 or r["count(1)"] == 1 for r in sizes)
