@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlens.llm import bpe, byte_dedup, exact_dedup, licenses, mixing, periodic_runs, prefix_trie, quality_model, quality_rules, simhash, token_counts, toxicity
+from pactlens.llm import bpe, byte_dedup, exact_dedup, host_trust, licenses, mixing, periodic_runs, prefix_trie, quality_model, quality_rules, simhash, token_counts, toxicity
 from pactlens.llm.common import materialize, scratch_path, table
-from pactlens.llm.sql import EXACT_DEDUP, MIXING, QUALITY_RULES, TOKEN_COUNTS
+from pactlens.llm.sql import EXACT_DEDUP, HOST_TRUST, MIXING, PREFIX_TRIE, QUALITY_RULES, TOKEN_COUNTS
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -63,6 +63,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.shared_beginnings)
 
 
+def op13_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_trust.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
@@ -76,5 +80,13 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_host_trust": op13_host_trust,
+}
+ORACLE = {
+    "op2_mixing": MIXING,
+    "op3_token_counts": TOKEN_COUNTS,
+    "op7_exact_dedup": EXACT_DEDUP,
+    "op10_quality_rules": QUALITY_RULES,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_host_trust": HOST_TRUST,
 }
-ORACLE = {"op2_mixing": MIXING, "op3_token_counts": TOKEN_COUNTS, "op7_exact_dedup": EXACT_DEDUP, "op10_quality_rules": QUALITY_RULES}
