@@ -177,6 +177,9 @@ def tiles(n: int, first_top: int = FIRST_TOP) -> Iterator[tuple[int, int, int, i
     low, top = 0, first_top
     while low < octaves(n):
         size, step = TILE << top, (TILE - OVERLAP) << top
+        if size >= n:  # one tile holds the text, so it takes all further octaves
+            yield 0, n, low, octaves(n)
+            return
         for start in range(0, max(1, n - (OVERLAP << top)), step):
             yield start, min(n, start + size), low, min(top + 1, octaves(n))
         low, top = top + 1, top + SCALE_OCTAVES
@@ -186,7 +189,7 @@ READ = pa.schema([
     ("kind", pa.int32()), ("doc_key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("low", pa.int64()),
     ("high", pa.int64()), ("sha", pa.string()), ("data", pa.binary()),
 ])
-#: Kinds of rows: a document, a fragment (at, high: interval; low: period), a tile (low, high: octaves).
+#: Kinds of rows: a document, a fragment (at, high: interval; low: period), a tile of n words (low, high: octaves).
 DOCUMENT, FRAGMENT, TILE_ROW = 0, 1, 2
 
 
@@ -220,8 +223,10 @@ def read(docs: DataFrame, rewrite: Rewrite | None = None, first_top: int = FIRST
         yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
         for k, w in enumerate(words):
             if len(w) > whole:
+                own = np.unique(w, return_inverse=True)[1]  # numbers of this text alone are smaller
+                own = own.astype(np.min_scalar_type(len(own)))
                 for start, stop, low, high in tiles(len(w), first_top):
-                    row = (TILE_ROW, keys[k], None, None, start, low, high, None, squeeze.compress(w[start:stop].tobytes()))
+                    row = (TILE_ROW, keys[k], None, stop - start, start, low, high, None, squeeze.compress(own[start:stop].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, READ, strict=True)], schema=READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,13 +246,15 @@ def tile_fragments(rows: DataFrame) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
         for batch in sliced(batches):
             found = []
-            for key, at, low, high, data in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "at", "low", "high", "data")), strict=True):
-                found += [(key, p, at + a, at + b) for a, b, p in stretches(np.frombuffer(expand.decompress(data), np.int32), low, high)]
+            for key, n, at, low, high, data in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "n", "at", "low", "high", "data")), strict=True):
+                plain = expand.decompress(data)
+                words = np.frombuffer(plain, f"u{len(plain) // n}").astype(np.int64)
+                found += [(key, p, at + a, at + b) for a, b, p in stretches(words, low, high)]
             columns = zip(*found, strict=True) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     n = at_least(rows.sparkSession, 2)
-    return rows.select("doc_key", "at", "low", "high", "data").repartition(n, "doc_key", "at", "low").mapInArrow(
+    return rows.select("doc_key", "n", "at", "low", "high", "data").repartition(n, "doc_key", "at", "low").mapInArrow(
         run, "doc_key binary, period long, start long, stop long"
     )
 
