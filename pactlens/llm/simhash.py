@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.arrow import mapped, texts
-from pactlens.llm.common import at_least, materialize
+from pactlens.llm.common import at_least, fresh, materialize
 from pactlens.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -44,8 +44,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep` and fp, the fingerprint of `text` as a signed 64-bit integer."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         return work
 
-    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), make, "fp long", keep=["doc_id"])
+    return mapped(docs, make, "fp long", keep=list(keep))
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,25 +68,30 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray
             yield rows + i, columns + j
 
 
+def hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of i[k] and j[k]; every entry of `parent` is the root of its tree, its smallest index, before and after."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the fingerprints the smallest index that it is linked with, directly or through others."""
+    """For each of the fingerprints one index that stands for all it is linked with, directly or through others.  Tiles are joined one
+    after another, so no more than one tile's pairs are held."""
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     s = fps[order]
-    label = np.arange(len(s))
-    small = np.min_scalar_type(len(s))
-    pairs = [(i[k].astype(small), j[k].astype(small)) for i, j in near(s, s, radius) for k in [i < j] if k.any()]
-    changed = bool(pairs)
-    while changed:
-        before = label.copy()
-        for i, j in pairs:
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-        while (label[label] != label).any():
-            label = label[label]
-        changed = (label != before).any()
+    parent = np.arange(len(s))
+    for i, j in near(s, s, radius):
+        if len(i):
+            hook(parent, i, j)
     out = np.empty(len(s), np.int64)
-    out[order] = order[label]
+    out[order] = order[parent]
     return out
 
 
@@ -137,6 +142,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return placed.mapInArrow(run, "u long, v long")
 
 
+def rooted(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """The rows of `distinct`, one per fingerprint `fp`, with `root`, a fingerprint that stands for all that are linked."""
+    roots = components(links(distinct.select("fp"), radius, block))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links, its own included).
 
@@ -144,17 +155,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows of their own.  A missing doc_id never is a component's id unless all ids of the component are missing.  An empty table gives an
     empty result; further columns don't matter.
     """
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = materialize(fingerprints(slim, shingle), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius, block))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    placed = rooted(distinct, radius, block)
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The input rows whose doc_id is the smallest of their component, with all their columns; rows without a doc_id stay."""
-    groups = near_duplicates(docs, shingle, radius)
-    gone = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """One input row of each component, with all its columns: that of the smallest doc_id, of one doc_id that of the smallest digest of
+    its text; rows without a doc_id come last.  Of rows with equal doc_id and text one stays, whatever their other columns.
+    """
+    digest = F.coalesce(F.sha2(docs["text"].cast("binary"), 256), F.lit(""))
+    row_id = docs["doc_id"].cast("long")
+    slim = docs.select(row_id.alias("doc_id"), digest.alias("digest"), docs["text"].alias("text"))
+    rows = materialize(fingerprints(slim, shingle, ("doc_id", "digest")), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
+    placed = materialize(rooted(distinct, radius), "rooted")
+    firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
+    # what goes: rows that aren't the first of their component; what is left of it may stand there more than once
+    first = placed.join(firsts.withColumnRenamed("first", "kept"), "root").select("fp", "kept")
+    marked = rows.join(first, "fp").select("doc_id", "digest", (key == F.col("kept")).alias("stays"))
+    marked = materialize(marked.groupBy("doc_id", "digest").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1"), "near-copies")
+    gone, twice = (
+        marked.filter(c).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")) for c in ("NOT stays", "stays AND n > 1")
+    )
+
+    def same(df: DataFrame):
+        return row_id.eqNullSafe(df["gone_id"]) & (digest == df["gone_digest"])
+
+    kept = docs.join(gone, same(gone), "left_anti")
+    repeated = kept.join(twice, same(twice), "left_semi")
+    if twice.isEmpty():
+        return kept
+    name = fresh(docs, "row_key")
+    once = repeated.withColumn(name, F.struct(row_id.alias("i"), digest.alias("d"))).dropDuplicates([name]).drop(name)
+    return kept.join(twice, same(twice), "left_anti").unionByName(once)
