@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import materialize, text_of, word_count
+from pactlens.llm.common import fresh, materialize, text_of, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
@@ -61,8 +61,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """doc_id, source, size, weight -> doc_id, size, source_size, target, epochs (times the document is taken), taken (words).
+def key_share(sized: DataFrame) -> Column:
+    """About the share of all rows with a smaller `key`: it rises with the key and is spread evenly over (0, 1).
+
+    Keys of weight w follow 1 - exp(-w x), so the share is the mean of that over the weights, which are counted to one decimal.
+    """
+    classes = sized.groupBy(F.greatest(F.lit(1), F.least(F.lit(100), F.round(F.col("weight") * 10).cast("int"))).alias("w")).count().orderBy("w").collect()
+    total = sum(r["count"] for r in classes)  # at most 100 classes
+    parts = [F.lit(r["count"] / total) * (1.0 - F.exp(F.col("key") * (-r["w"] / 10))) for r in classes]
+    return F.least(F.lit(1.0 - 2.0**-40), sum(parts, F.lit(0.0)))
+
+
+def mix(sized: DataFrame, seed: int = 0, *, carry: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """doc_id, source, size, weight -> doc_id, size, source_size, target, epochs (times the document is taken), taken (words), and `carry`.
 
     The document at which the prefix sum crosses the budget is taken if that brings the source nearer to its target.  Rows that repeat a
     doc_id have the same key and are ordered by size; a missing doc_id has a key of its own kind like any other.  A document without
@@ -70,10 +81,9 @@ def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     the same mix, however they are partitioned.
     """
     key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)) / F.col("weight")
-    keyed = sized.select("doc_id", "source", "size", key.alias("key"))
-    # 1 - exp(-key) is spread over (0, 1)
+    keyed = sized.select("doc_id", "source", "size", key.alias("key"), *carry)
     count = keyed.agg(F.greatest(F.lit(1.0), F.ceil(F.count("*") / F.lit(float(bin_rows))))).scalar()
-    keyed = keyed.withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * count).cast("long"))
+    keyed = keyed.withColumn("bin", F.floor(key_share(sized) * count).cast("long"))
     bins = keyed.groupBy("source", "bin").agg(F.sum("size").cast("long").alias("bin_size"))
     sources = targets(bins.groupBy("source").agg(F.sum("bin_size").cast("long").alias("source_size")), weights, share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -99,25 +109,36 @@ def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     others = rows.filter(~at_end).withColumns({"sum": F.lit(None).cast("long"), "extra": F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin"))})
     extra = F.when(F.col("extra") & (F.col("rest") > 0), 1).otherwise(0)
     taken = inside.unionByName(others).withColumn("epochs", F.col("full") + extra)
-    return taken.select("doc_id", "size", F.col("source_size").cast("long"), "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+    return taken.select("doc_id", "size", F.col("source_size").cast("long"), "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"), *carry)
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), weight of a table of documents; a missing text has size 0."""
+def sized_documents(docs: DataFrame, digest: str | None = None) -> DataFrame:
+    """doc_id, source, size (words), weight of a table of documents, and the digest column named; a missing text has size 0."""
     text = text_of(docs["text"])
     size = word_count(text)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size.alias("size"), quality_weight(text, size).alias("weight"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size.alias("size"), quality_weight(text, size).alias("weight"), *([docs[digest].alias("digest")] if digest else []))
 
 
 def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes its document; rows without a doc_id are taken by their size like the others.
 
-    The mix is decided on narrow rows; texts move once, to meet the decision.  Rows that repeat a doc_id are taken as often as the mix
-    takes the first of them.
+    The mix is decided on narrow rows; texts move once, to meet the decision by doc_id, source and a digest of the text.  Rows that are
+    equal in these share what the mix takes of them as evenly as it goes.
     """
-    sized = materialize(sized_documents(docs), "sized")
-    taken = mix(sized, seed).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("epochs").alias("mixed_epochs"))
+    told = F.concat(*(F.coalesce(F.concat(F.char_length(docs[c].cast("string")).cast("string"), F.lit(":"), docs[c].cast("string")), F.lit("-")) for c in ("source", "text")))
+    digest = F.sha2(told, 256)
+    name = fresh(docs, "text_digest")
+    sized = materialize(sized_documents(docs.withColumn(name, digest), name), "sized")
+    taken = mix(sized, seed, carry=("digest",)).groupBy(F.col("doc_id").alias("mixed_id"), F.col("digest").alias("mixed_digest")).agg(
+        F.sum("epochs").alias("mixed_epochs"), F.count("*").alias("mixed_rows")
+    )
     taken = materialize(taken.filter(F.col("mixed_epochs") > 0), "mix")
-    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("mixed_id")))
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("mixed_epochs"))).alias("mixed_copy")
-    return joined.select(*(docs[c] for c in docs.columns), copies).drop("mixed_copy")
+    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("mixed_id")) & (digest == F.col("mixed_digest")))
+    joined = joined.select(*(docs[c] for c in docs.columns), *taken.columns)
+    once = joined.filter("mixed_rows = 1").withColumn("mixed_times", F.col("mixed_epochs"))
+    order = Window.partitionBy("mixed_id", "mixed_digest").orderBy("mixed_id")
+    several = joined.filter("mixed_rows > 1")
+    evenly = F.floor(F.col("mixed_epochs") / F.col("mixed_rows")) + (F.row_number().over(order) <= F.col("mixed_epochs") % F.col("mixed_rows")).cast("int")
+    rows = once.unionByName(several.withColumn("mixed_times", evenly)) if taken.filter("mixed_rows > 1").head(1) else once
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("mixed_times").cast("int"))).alias("mixed_copy")
+    return rows.select(*docs.columns, copies).drop("mixed_copy")
