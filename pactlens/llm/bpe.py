@@ -25,8 +25,8 @@ from pactlens.llm.arrow import mapped
 
 #: Characters above which a piece is encoded as a tree; characters on each side of a join at first.
 LEAF, REACH = 1024, 32
-#: Runs that a task remembers.
-REMEMBERED = 600_000
+#: Bytes that a worker spends on what it has met, and bytes of an entry besides its texts.
+REMEMBERED, ENTRY = 32 << 20, 320
 #: Letters up to another ASCII character or the end are a word for the pre-tokenizer; what remains of a run stays together.
 RUN = re.compile(r"[a-zß-öø-ÿ]+(?=[\x00-\x40\x5B-\x60\x7B-\x7F]|\Z)|[^\x20\x09-\x0D]+")
 WORD_END = "</w>"
@@ -48,6 +48,7 @@ class TreeBpe:
         # of a token, the bytes of text: a character of the byte alphabet stands for one byte
         self.bytes = [len(t.removesuffix(WORD_END)) for t in self.tokens]
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
 
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -127,11 +128,13 @@ class TreeBpe:
             split = [RUN.findall(t if "<|" in t else t.encode().lower().decode()) for t in many[start : start + self.together]]
             wanted = set().union(*split)
             new = wanted.difference(known)
-            if len(known) + len(new) > self.remembered:
+            if new and self.held > self.remembered:
                 known.clear()
+                self.held = 0
                 new = wanted
             if new:
                 self.learn(new)
+                self.held += sum(ENTRY + 2 * len(r) + len(known[r][0]) + len(known[r][1]) for r in new)
             for runs in split:
                 parts = [known[r] for r in runs]
                 out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])))
