@@ -4,7 +4,7 @@ from pactlens.llm.host_trust import BLOCK_AT, BLOCKED_WORDS, DAMPING, DOMAIN_WEI
 from pactlens.llm.host_trust import RULES as HOST_RULES
 from pactlens.llm.mixing import MOST_EPOCHS, SHARE, SYMBOLS, WEIGHTS
 from pactlens.llm.quality_rules import RULES
-from pactlens.llm.text_stats import COUNTS, STOP_PATTERN, WINDOW
+from pactlens.llm.text_stats import COUNTS, STOP_WORDS, WINDOW
 from pactlens.llm.token_counts import TOKENIZERS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -17,7 +17,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY norm)
 """
 
-#: A count of pattern matches; the stop-word pattern needs no overlap handling, as both engines go on behind a match.
 def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(coalesce(text, ''), '{pattern}'))"
 
@@ -25,7 +24,8 @@ def _count(pattern: str) -> str:
 QUALITY_RULES = f"""
 WITH d AS (
   SELECT doc_id, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
-    {_count(COUNTS['n_symbols'])} AS n_symbols, {_count(STOP_PATTERN)} AS n_stop
+    {_count(COUNTS['n_symbols'])} AS n_symbols,
+    len(list_filter({WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({', '.join(f"'{w}'" for w in STOP_WORDS)}))) AS n_stop
   FROM documents
 ), s AS (
   SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i,

@@ -13,10 +13,11 @@ from pactlens.llm.common import SPACES, text_of
 
 #: Words of a window; a window counts as repeated when its words stand in the text twice or more.
 WINDOW = 5
-#: Frequent function words of English, German, French and Spanish, counted where they stand between two spaces.
+#: Frequent function words of English, German, French and Spanish, counted as whole words in any case of A-Z.
 STOP_WORDS = "the of and to der die und ist le la les des de est el los que en".split()
-STOP_PATTERN = f" (?:{'|'.join(STOP_WORDS)}) "
 SPACE = r"[\x20\x09-\x0D]"
+NO_WORD = r"[^\x20\x09-\x0D]"
+STOP_PATTERN = f"(?i)(?<!{NO_WORD})(?:{'|'.join(STOP_WORDS)})(?!{NO_WORD})"
 #: White space besides the space and the line end.
 OTHER_SPACE = r"[\x09\x0B-\x0D]"
 

@@ -26,6 +26,17 @@ def test_held_out_rows_are_never_learnt_from(larger):
     assert training.training_rows(docs, labels, "toxic", rows=50).count() == 50
 
 
+def test_training_rows_are_bounded_after_the_join(spark):
+    """An id that many documents carry gives one row."""
+    docs = spark.createDataFrame([(k % 10, f"text {k}") for k in range(1000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 1) for k in range(10)], "doc_id long, toxic int")
+    rows = training.training_rows(docs, labels, "toxic", rows=5).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 5
+    assert rows == training.training_rows(docs.repartition(7), labels, "toxic", rows=5).collect() or sorted(rows) == sorted(
+        training.training_rows(docs.repartition(7), labels, "toxic", rows=5).collect()
+    )
+
+
 def agreement(scored, labels, label):
     rows = scored.join(labels, "doc_id").filter("held_out").collect()
     assert rows and all(held(r["doc_id"]) and 0 <= r["score"] <= 1 for r in rows)

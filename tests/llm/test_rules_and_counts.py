@@ -89,6 +89,34 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixed.schema == odd.schema and mixed.count() > 0
 
 
+def test_bins_are_even_whatever_the_weights(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "'s' AS source", "1L AS size", "CASE WHEN id % 10 = 0 THEN 1.0D WHEN id % 3 = 0 THEN 0.1D ELSE 0.32D END AS weight")
+    keyed = rows.withColumn("key", -F.log(mixing.uniform(F.col("doc_id"))) / F.col("weight"))
+    sizes = keyed.withColumn("share", mixing.key_share(rows)).groupBy(F.floor(F.col("share") * 100).alias("bin")).count().collect()
+    assert len(sizes) == 100 and max(r["count"] for r in sizes) < 2 * 200
+    by_key = [r["share"] for r in keyed.withColumn("share", mixing.key_share(rows)).orderBy("key").select("share").collect()]
+    assert by_key == sorted(by_key)
+
+
+def test_rows_of_the_mix_are_those_taken(spark):
+    """Rows without an id, or with one id and different texts, are taken one by one; equal rows share what is taken of them."""
+    rows = [(None, f"w {k} " * (20 + k % 30), "a") for k in range(200)] + [(1, "x y " * 5, "a"), (1, "z " * 9, "a"), (1, "x y " * 5, "a")]
+    rows += [(k, "b " * 10, "b") for k in range(2, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = mixing.mix(mixing.sized_documents(df)).agg(F.sum("taken")).first()[0]
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == taken
+
+
+def test_stop_words_are_whole_words(spark):
+    from pactlens.llm.text_stats import with_stats
+
+    texts = ["x the of and to x", "The OF\nand", "thee soften, the. -to", "the the the", "", None, "\x0bdes\x0b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    assert [r["s_n_stop"] for r in with_stats(df, "text").orderBy("doc_id").collect()] == [4, 3, 0, 3, 0, 0, 1]
+
+
 def test_rollup_follows_changes(spark, tmp_path):
     schema = "batch_id string, change_id string, op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
     rows = [
@@ -149,3 +177,54 @@ def test_license_templates(spark, empty):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["labels"] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()] == ["apache-2.0", "", "mit", ""]
     assert licenses.scan_licenses(empty).count() == 0
+
+
+def plain_scan(text, templates, phrases):
+    """Every template and phrase at every place of the file."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+    base, starts, labels, best = set(), [], set(), 0.0
+    for p, label in phrases.items():
+        p = p.encode().split()
+        hits = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts += hits
+        base |= {label} if hits else set()
+    for label, notice, keys in templates:
+        want = notice.encode().split()
+        places = [next(i for i in range(len(want)) if want[i : i + len(k)] == k) for k in (x.encode().split() for x in keys)]
+        for at in range(-len(want), len(words)):
+            if all(at + i >= 0 and words[at + i : at + i + len(k.split())] == k.encode().split() for i, k in zip(places, keys, strict=True)):
+                share = sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(want)) / len(want)
+                best = max(best, share)
+                labels |= {label} if share >= licenses.LEAST_SHARE else set()
+    return (
+        len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)),
+        1.0 if base else best,
+    )
+
+
+def test_labels_and_score_against_every_place(spark):
+    rng = __import__("random").Random(4)
+    filler = "some other words of the license software and public free text".split()
+    texts = ["SPDX-License-Identifier: GPL-3.0-or-later", "All rights reserved. Some rights reserved.", ""]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(4)):  # altered, cut and prolonged notices
+                k = rng.randrange(len(words))
+                words[k : k + rng.randrange(2)] = [rng.choice(filler)]
+            parts += [rng.choice(filler) for _ in range(rng.randrange(5))] + words[rng.randrange(3) * (rng.random() < 0.3) :]
+        texts.append(rng.choice([" ", ", "]).join(parts).title())
+    phrases = licenses.BASE_PHRASES | {"some rights reserved": "some"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan_licenses(df, phrases=phrases).collect()}
+    want = {k: plain_scan(t, licenses.TEMPLATES, phrases) for k, t in enumerate(texts)}
+    assert got == want and len({w[5] for w in want.values()}) > 40
+    assert "some" in got[1][5] and got[1][1] == 2 and got[0][5] == "gpl-3.0-or-later"
+
+
+def test_an_intersection_ends_early():
+    """A template whose second rare word stands elsewhere gives no place to verify."""
+    index = licenses.LicenseIndex({}, (("t", "one two three four", ("one two three four",)),), {})
+    assert list(index.starts({b"one": [5], b"two": [6], b"three": [7], b"four": [8]})) == [(0, 5)]
+    assert list(index.starts({b"one": [5, 20], b"two": [7], b"three": [22], b"four": [8, 23]})) == []

@@ -53,6 +53,7 @@ def test_table_of_known_runs_is_bounded(library):
     tree = bpe.TreeBpe(PATH, remembered=20)
     for k in range(30):
         same(tree, library, f"alpha{'bcdefgh'[k % 7]} beta{chr(97 + k % 26)} gamma {k} Delta.")
+        assert len(tree.known) < 10
 
 
 def test_bpe_rows(odd, empty, docs, library):
@@ -122,6 +123,21 @@ def test_tiles_find_all_pairs(values, radius, tile):
     assert found == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= radius}
 
 
+def test_one_row_of_each_group(spark):
+    """Rows of one id with different texts are told apart, equal rows are one, rows without an id come last."""
+    a, b, c = "one two three four five six", "completely different words stand in this other text", "and a third text that shares nothing with them"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (5, b, 5), (None, c, 6), (None, c, 7), (None, a, 8), (7, None, 9), (8, "", 10)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, digest long").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None) == [(3, a), (5, b), (7, None)]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [c] and len(kept) == 4
+
+
+def test_dense_block_is_joined_tile_by_tile():
+    rng = np.random.default_rng(2)
+    fps = np.uint64(0x5555AAAA5555AAAA) ^ (np.uint64(1) << rng.integers(0, 64, 8192).astype(np.uint64))
+    assert len(set(simhash.forest(fps, 4).tolist())) == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).unionByName(spark.createDataFrame([(100, 101), (7, 7), (101, 102)], "u long, v long"))
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
