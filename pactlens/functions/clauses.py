@@ -7,13 +7,15 @@ sentences without any keyword are dropped by one pattern before keywords are loo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
 from pactlens.functions.confidence import clause_confidence_level, rule_confidence
 from pactlens.functions.text import (
-    WORD_END, WORD_START, added, any_word, chunks_of, gathered, let, literal_array, literal_table, nothing_yet, strip, substring_of,
+    BUNDLE, WORD_END, WORD_START, any_word, chunks_of, fold, in_bundles, let, literal_table, strip, substring_of,
 )
 
 CANDIDATE = (
@@ -37,19 +39,14 @@ def sentences_with_keywords(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     regex = any_keyword(taxonomy)
     kind = "struct<at:int,body:string>"
 
-    def fold(pieces: Column) -> Column:
-        def step(acc: Column, piece: Column) -> Column:
-            entry = F.struct(acc["pos"].alias("at"), piece.alias("body"))
-            return F.struct(
-                (acc["pos"] + F.length(piece) + 1).alias("pos"),
-                F.when(piece.rlike(regex), added(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
-            )
-
-        start = F.struct(F.lit(0).alias("pos"), nothing_yet(kind).alias("out"))
-        ended = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        return F.aggregate(ended, start, step, lambda acc: gathered(acc["out"]))
+    def step(pos: Column, piece: Column) -> tuple[Column, Column]:
+        entry = F.array(F.struct(pos.alias("at"), piece.alias("body")))
+        return pos + F.length(piece) + 1, F.when(piece.rlike(regex), entry).otherwise(F.array().cast(f"array<{kind}>"))
 
-    return let(F.split(text, r"\.", -1), fold)
+    return let(
+        F.split(text, r"\.", -1),
+        lambda pieces: let(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda ended: fold(ended, F.lit(0), step, kind)),
+    )
 
 
 def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
@@ -106,17 +103,18 @@ def clause_candidates(text: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
     )
 
 
-def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
-    """Greedy de-duplication per type.
+#: Up to so many candidates of a type are compared with every kept one; beyond, a window index is asked.
+COMPARED = 64
+#: Text cells of the index.
+CELLS = 64
 
-    A candidate is dropped when a kept clause of its type contains its first 50 characters or
-    starts fewer than 50 characters away, or when its text has 30 characters or fewer.
-    """
+
+def _compared(found: Column) -> Column:
+    """Greedy de-duplication of a few candidates, each against every kept one."""
 
     def step(kept: Column, item: Column) -> Column:
-        prefix = F.substring(F.lower(item["hit"]), 1, C.DEDUPE_PREFIX)
         duplicate = let(
-            prefix,
+            F.substring(F.lower(item["hit"]), 1, C.DEDUPE_PREFIX),
             lambda p: F.exists(
                 kept,
                 lambda k: (F.abs(k["start"] - item["start"]) < C.DEDUPE_DISTANCE) | F.contains(k["lowered"], p),
@@ -125,18 +123,117 @@ def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES) -> Column:
         keep = (F.length(item["content"]) > C.MIN_CLAUSE_CHARS) & ~duplicate
         return F.when(keep, F.concat(kept, F.array(item))).otherwise(kept)
 
-    def per_type(found: Column) -> Column:
-        types = literal_array(taxonomy)
-        return F.flatten(
-            F.transform(
-                types,
-                lambda t: F.aggregate(
-                    F.filter(found, lambda c: c["type"] == t), F.array().cast(f"array<{CANDIDATE}>"), step
+    return F.aggregate(found, F.array().cast(f"array<{CANDIDATE}>"), step)
+
+
+def window_pattern(keywords) -> str:
+    """Captures what follows each place where a keyword starts, as far as a prefix reaches."""
+    words = "|".join(re.escape(k.lower()) for k in keywords)
+    return rf"(?s)(?=(?:{words}))(?=(.{{1,{C.DEDUPE_PREFIX}}}))"
+
+
+def _indexed(found: Column, regex: Column) -> Column:
+    """The same for any number of candidates: kept clauses are looked up in a hashed index, not gone through.
+
+    A candidate's prefix starts with its keyword, and a short one ends with its only period.  So a kept
+    clause contains it exactly if, behind one of the places where a keyword starts in the clause, either
+    the next 50 characters or those up to the first period are the prefix.  Kept clauses put digests of these windows into the index,
+    and their start under its number of 50-character slots: two kept starts never share a slot, so a start
+    is near a kept one if its own slot is taken or that of a neighbouring slot lies near.
+
+    The index is an array of CELLS texts, each holding the marks of its share of the hashes.  A fold copies its state at every step,
+    so candidates go in bundles: the inner fold's state is the bundle's own marks, and the index, which it only reads, grows once a bundle.
+    """
+    mark_kind = "struct<cell:int,mark:string>"
+
+    def cell_of(key: Column) -> Column:
+        return F.pmod(key, F.lit(CELLS)).cast("int")
+
+    def windows(item: Column) -> Column:
+        first = F.call_function("regexp_extract_all", item["lowered"], regex, F.lit(1))
+        both = F.transform(
+            first,
+            lambda w: F.array(
+                F.when(F.length(w) == C.DEDUPE_PREFIX, w),
+                F.when(F.contains(w, F.lit(".")), F.concat(F.substring_index(w, ".", 1), F.lit("."))),
+            ),
+        )
+        return F.array_distinct(F.array_compact(F.flatten(both)))
+
+    def slot_of(item: Column) -> Column:
+        return F.floor(item["start"] / C.DEDUPE_DISTANCE).cast("long")
+
+    def marks(item: Column) -> Column:
+        texts = F.transform(windows(item), lambda w: F.struct(cell_of(F.xxhash64(w)).alias("cell"), F.concat(F.md5(w), F.lit(" ")).alias("mark")))
+        start = F.concat(F.lit("@"), slot_of(item).cast("string"), F.lit("="), item["start"].cast("string"), F.lit(" "))
+        return F.concat(texts, F.array(F.struct(cell_of(slot_of(item)).alias("cell"), start.alias("mark"))))
+
+    def near(text: Column, item: Column, slot: Column) -> Column:
+        """Whether a start kept in this text of marks, under this slot, lies near."""
+        name = F.concat(F.lit("@"), slot.cast("string"), F.lit("="))
+        value = F.substring_index(F.call_function("substring_index", text, name, F.lit(-1)), " ", 1)
+        return F.contains(text, name) & (F.abs(value.try_cast("int") - item["start"]) < C.DEDUPE_DISTANCE)
+
+    def inner(index: Column):
+        def step(acc: Column, item: Column) -> Column:
+            prefix = F.substring(F.lower(item["hit"]), 1, C.DEDUPE_PREFIX)
+            contained = let(
+                F.struct(F.concat(F.md5(prefix), F.lit(" ")).alias("mark"), F.get(index, cell_of(F.xxhash64(prefix))).alias("cell")),
+                lambda p: F.contains(p["cell"], p["mark"]) | F.contains(acc["text"], p["mark"]),
+            )
+            close = F.exists(
+                F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: slot_of(item) + d),
+                lambda k: near(acc["text"], item, k) | near(F.get(index, cell_of(k)), item, k),
+            )
+            keep = (F.length(item["content"]) > C.MIN_CLAUSE_CHARS) & ~close & ~contained
+            place = (acc["place"] + 1).alias("place")
+            kept = let(
+                marks(item),
+                lambda more: F.struct(
+                    place, F.concat(acc["text"], F.array_join(F.transform(more, lambda m: m["mark"]), "")).alias("text"),
+                    F.concat(acc["marks"], more).alias("marks"), F.concat(acc["kept"], F.array(acc["place"])).alias("kept"),
                 ),
             )
+            return F.when(keep, kept).otherwise(F.struct(place, acc["text"].alias("text"), acc["marks"].alias("marks"), acc["kept"].alias("kept")))
+
+        return step
+
+    def outer(acc: Column, bundle: Column) -> Column:
+        start = F.struct(
+            (bundle * BUNDLE).alias("place"), F.lit("").alias("text"), F.array().cast(f"array<{mark_kind}>").alias("marks"),
+            F.array().cast("array<int>").alias("kept"),
+        )
+
+        def grown(done: Column) -> Column:
+            index = F.transform(
+                acc["index"],
+                lambda text, i: F.concat(text, F.array_join(F.transform(F.filter(done["marks"], lambda m: m["cell"] == i), lambda m: m["mark"]), "")),
+            )
+            return F.struct(index.alias("index"), F.concat(acc["kept"], F.array(done["kept"])).alias("kept"))
+
+        return let(F.aggregate(F.slice(found, bundle * BUNDLE + 1, BUNDLE), start, inner(acc["index"])), grown)
+
+    nothing = F.struct(F.array_repeat(F.lit(""), CELLS).alias("index"), F.array().cast("array<array<int>>").alias("kept"))
+    places = F.aggregate(in_bundles(found), nothing, outer, lambda acc: F.flatten(acc["kept"]))
+    return F.transform(places, lambda i: F.get(found, i))
+
+
+def dedupe_clauses(candidates: Column, taxonomy=C.CLAUSE_TYPES, compared: int = COMPARED) -> Column:
+    """Greedy de-duplication per type.
+
+    A candidate is dropped when a kept clause of its type contains its first 50 characters or
+    starts fewer than 50 characters away, or when its text has 30 characters or fewer.  Time grows in
+    proportion to the candidates.
+    """
+    types = literal_table({"type": t, "regex": window_pattern(keywords)} for t, (_, keywords, _) in taxonomy.items())
+
+    def of_type(found: Column, t: Column) -> Column:
+        return let(
+            F.filter(found, lambda c: c["type"] == t["type"]),
+            lambda mine: F.when(F.size(mine) <= compared, _compared(mine)).otherwise(_indexed(mine, t["regex"])),
         )
 
-    return let(candidates, per_type)
+    return let(candidates, lambda found: F.flatten(F.transform(types, lambda t: of_type(found, t))))
 
 
 def top_clauses(kept: Column, limit: int | None = C.MAX_CLAUSES) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactlens.functions.text import added, chunks_of, gathered, let, literal_table, nothing_yet, substring_of
+from pactlens.functions.text import chunks_of, fold, let, literal_table, substring_of
 
 SPAN = "struct<text:string,label:string,start:int,end:int,confidence:double,replacement:string>"
 SPANS = f"array<{SPAN}>"
@@ -22,14 +22,12 @@ HITS = f"array<{HIT}>"
 def _fold_hits(pairs: Column) -> Column:
     """Running offsets over array<struct<gap,hit>>; an entry without a hit only moves on."""
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["pos"] + F.length(pair["gap"])
+    def step(pos: Column, pair: Column) -> tuple[Column, Column]:
+        start = pos + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
-        entry = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("pos"), added(acc["out"], entry).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))
 
-    start = F.struct(F.lit(0).alias("pos"), nothing_yet(HIT).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: gathered(acc["out"]))
+    return let(pairs, lambda p: fold(p, F.lit(0), step, HIT))
 
 
 def pattern_hits(text: Column, regex: Column) -> Column:
@@ -99,23 +97,21 @@ def merge_overlapping_spans(spans: Column) -> Column:
         )
     )
 
-    # the last span kept so far stands apart, as only it can still be replaced
-    def step(acc: Column, item: Column) -> Column:
-        span, last = item["span"], acc["last"]
+    # the state is the last span kept so far, as only it can still be replaced
+    def step(last: Column, item: Column) -> tuple[Column, Column]:
+        span = item["span"]
         overlaps = last.isNotNull() & (span["start"] < last["end"])
         better = (span["confidence"] > last["confidence"]) | (
             (span["confidence"] == last["confidence"])
             & (span["end"] - span["start"] > last["end"] - last["start"])
         )
-        out = F.when(overlaps | last.isNull(), acc["out"]).otherwise(added(acc["out"], last))
-        return F.struct(F.when(overlaps & ~better, last).otherwise(span).alias("last"), out.alias("out"))
+        done = F.when(overlaps | last.isNull(), F.array().cast(SPANS)).otherwise(F.array(last))
+        return F.when(overlaps & ~better, last).otherwise(span), done
 
-    def finish(acc: Column) -> Column:
-        kept = gathered(acc["out"])
-        return F.when(acc["last"].isNull(), kept).otherwise(F.concat(kept, F.array(acc["last"])))
+    def rest(last: Column) -> Column:
+        return F.when(last.isNull(), F.array().cast(SPANS)).otherwise(F.array(last))
 
-    start = F.struct(F.lit(None).cast(SPAN).alias("last"), nothing_yet(SPAN).alias("out"))
-    return F.aggregate(ordered, start, step, finish)
+    return let(ordered, lambda spans: fold(spans, F.lit(None).cast(SPAN), step, SPAN, rest))
 
 
 def redact_spans(text: Column, merged: Column) -> Column:

@@ -43,26 +43,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 BUNDLE = 128
 
 
-def nothing_yet(kind: str) -> Column:
-    """The start of an array that a fold grows by `added`.
+def in_bundles(items: Column) -> Column:
+    """The first index (from 0) of each bundle of BUNDLE items."""
+    n = F.size(items)
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BUNDLE).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    Appending to an array copies it, so a fold that appends n entries one by one copies n * n / 2.
-    Here only a bundle of BUNDLE entries is copied at each step; full bundles are put aside.
+
+def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, last=None) -> Column:
+    """What a fold gives out: `step(state, item)` returns the next state and the array of entries (of type `kind`) that it gives.
+
+    A fold's state is copied at every step, entries gathered in it included, so a plain fold over n items copies n * n / 2 entries.
+    Here a bundle's entries are gathered in an inner fold and put aside together; the outer fold copies them once for every bundle.
+    `last(state)` gives the entries that follow the last item.
     """
-    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"))
+    none = F.array().cast(f"array<{kind}>")
 
+    def inner(acc: Column, item: Column) -> Column:
+        then, entries = step(acc["state"], item)
+        return F.struct(then.alias("state"), F.concat(acc["out"], entries).alias("out"))
 
-def added(grown: Column, entry: Column) -> Column:
-    longer = F.concat(grown["open"], F.array(entry))
-    return F.when(
-        F.size(grown["open"]) >= BUNDLE - 1,
-        F.struct(F.concat(grown["full"], F.array(longer)).alias("full"), F.slice(longer, 1, 0).alias("open")),
-    ).otherwise(F.struct(grown["full"].alias("full"), longer.alias("open")))
+    def outer(acc: Column, bundle: Column) -> Column:
+        mine = F.slice(items, bundle * BUNDLE + 1, BUNDLE)
+        return let(
+            F.aggregate(mine, F.struct(acc["state"].alias("state"), none.alias("out")), inner),
+            lambda done: F.struct(done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out")),
+        )
 
+    def finish(acc: Column) -> Column:
+        out = F.flatten(acc["out"])
+        return F.concat(out, last(acc["state"])) if last else out
 
-def gathered(grown: Column) -> Column:
-    """All entries, in order."""
-    return F.flatten(F.concat(grown["full"], F.array(grown["open"])))
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(in_bundles(items), start, outer, finish)
 
 
 def chunks_of(text: Column) -> Column:
