@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from pactlens.functions.text import (
     let,
     normalize_whitespace,
     pattern,
-    replace_all,
-    replace_any,
+    literals_of,
+    replace_present,
     strip,
 )
 
@@ -40,42 +43,67 @@ def clean_text(text: Column) -> Column:
     return strip(t)
 
 
+def _lowered(text: Column, use) -> Column:
+    return let(text, lambda t: let(F.lower(t), lambda low: use(t, low)))
+
+
+def _stamps(t: Column, low: Column) -> Column:
+    phrases = [(phrase.replace(" ", r"\s+"), "i") for phrase in N.STAMP_PHRASES]
+    return replace_present(t, low, N.NOISE_PATTERNS["eStamp"] + phrases, " ")
+
+
+def _metadata(t: Column, low: Column) -> Column:
+    return replace_present(t, low, N.NOISE_PATTERNS["metadata"] + N.NOISE_PATTERNS["government"], " ")
+
+
+def _pages(t: Column, low: Column) -> Column:
+    return replace_present(t, low, N.NOISE_PATTERNS["pageNumbers"], " ")
+
+
+def _boilerplate(t: Column, low: Column) -> Column:
+    return replace_present(t, low, N.NOISE_PATTERNS["boilerplate"] + N.NOISE_PATTERNS["watermarks"], " ")
+
+
 def remove_stamp_noise(text: Column) -> Column:
     """Stamp, government and state wording to a blank."""
-    phrases = [(phrase.replace(" ", r"\s+"), "i") for phrase in N.STAMP_PHRASES]
-    return replace_any(text, N.NOISE_PATTERNS["eStamp"] + phrases, " ")
+    return _lowered(text, _stamps)
 
 
 def remove_metadata_noise(text: Column) -> Column:
     """Identity numbers and office names to a blank."""
-    return replace_any(replace_any(text, N.NOISE_PATTERNS["metadata"], " "), N.NOISE_PATTERNS["government"], " ")
+    return _lowered(text, _metadata)
 
 
 def remove_page_noise(text: Column) -> Column:
     """Page counters, number-only lines and bracketed numbers to a blank (C4)."""
-    return replace_all(text, N.NOISE_PATTERNS["pageNumbers"], " ")
+    return _lowered(text, _pages)
 
 
 def remove_ocr_artifacts(text: Column) -> Column:
     """Runs of marks and control characters: `{3,}` runs to a blank, the others deleted."""
     for source, flags in N.NOISE_PATTERNS["ocrArtifacts"]:
-        text = replace_all(text, [(source, flags)], " " if "{3,}" in source else "")
+        by = " " if "{3,}" in source else ""
+        text = let(text, lambda t, source=source, flags=flags, by=by: replace_present(t, t, [(source, flags)], by))
     return text
 
 
 def remove_boilerplate(text: Column) -> Column:
     """Signature phrases and watermark words to a blank, also inside clauses."""
-    return replace_any(replace_any(text, N.NOISE_PATTERNS["boilerplate"], " "), N.NOISE_PATTERNS["watermarks"], " ")
+    return _lowered(text, _boilerplate)
 
 
 def conservative_noise(text: Column) -> Column:
     """Only the obvious noise, then C7."""
-    return normalize_whitespace(replace_all(text, N.CONSERVATIVE_PATTERNS, " "))
+    return normalize_whitespace(_lowered(text, lambda t, low: replace_present(t, low, N.CONSERVATIVE_PATTERNS, " ")))
 
 
 def filter_document_noise(text: Column) -> Column:
     """C2 to C7, or the conservative form when too little contract text is left."""
-    t = remove_boilerplate(remove_ocr_artifacts(remove_page_noise(remove_metadata_noise(remove_stamp_noise(text)))))
+
+    def cleaned_of(t: Column, low: Column) -> Column:
+        # up to the deletions of C5 no literal can arise that the text doesn't hold, so one lower-cased text serves three steps
+        before = _pages(_metadata(_stamps(t, low), low), low)
+        return normalize_whitespace(remove_boilerplate(remove_ocr_artifacts(before)))
 
     def keep(cleaned: Column) -> Column:
         keywords = let(F.lower(cleaned), lambda low: count_contained(low, N.CONTRACT_KEYWORDS))
@@ -86,17 +114,22 @@ def filter_document_noise(text: Column) -> Column:
         )
         return F.when(too_little, conservative_noise(text)).otherwise(cleaned)
 
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(let(normalize_whitespace(t), keep))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(let(_lowered(text, cleaned_of), keep))
 
 
 def noise_findings(text: Column) -> Column:
     """array<struct<category,pattern,matches,examples,chars>>, patterns without a match left out."""
+    return let(text, lambda t: let(F.lower(t), lambda low: _findings(t, low)))
+
+
+def _findings(text: Column, low: Column) -> Column:
     entries = []
     for category, patterns in N.NOISE_PATTERNS.items():
         for source, flags in patterns:
-            regex = pattern(source, flags)
+            regex, words = pattern(source, flags), literals_of(source)
+            present = reduce(or_, (F.contains(low, F.lit(w)) for w in words), F.lit(not words))
             found = let(
-                F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+                F.when(present, F.regexp_extract_all(text, F.lit(regex), F.lit(0))),
                 lambda m, category=category, source=source: F.when(
                     F.size(m) > 0,
                     F.struct(

@@ -14,7 +14,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
+from functools import reduce
 from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -171,12 +173,36 @@ def replace_all(text: Column, patterns: Iterable[tuple[str, str]], replacement:
     return text
 
 
-def replace_any(text: Column, patterns: Iterable[tuple[str, str]], replacement: str) -> Column:
-    """`replace_all` behind one test of all patterns; a text without any match is left alone."""
-    patterns = list(patterns)
-    return let(
-        text, lambda t: F.when(t.rlike(any_pattern(patterns)), replace_all(t, patterns, replacement)).otherwise(t)
-    )
+def literals_of(source: str) -> list[str]:
+    """Lower-case literals of which a text that a pattern matches holds at least one; none for a pattern that needs no literal.
+
+    They hold no blank: patterns that put a blank in place of a match can't make one, so literals of the first text do for a whole chain.
+    """
+    run = re.fullmatch(r"\\?([|_.\-])\{(\d+),\}", source)
+    if run:
+        return [run[1] * int(run[2])]
+    if source.startswith(r"\["):
+        return ["["]
+    found = []
+    for part in [source] if re.search(r"[(\[]", source) else source.split("|"):
+        plain = re.sub(r"\[[^\]]*\]|\\.", "\x00", part)
+        words = [w.lower() for w in re.findall(r"[A-Za-z]{3,}(?![?*])", plain)]
+        if not words:
+            return []
+        found.append(max(words, key=len))
+    return found
+
+
+def replace_present(text: Column, lowered: Column, patterns: Iterable[tuple[str, str]], replacement: str) -> Column:
+    """`replace_all`, where a pattern is tried only if one of its literals is in `lowered`, a `let` name of the lower-cased text."""
+    for source, flags in patterns:
+        words = literals_of(source)
+        if words:
+            present = reduce(or_, (F.contains(lowered, F.lit(w)) for w in words))
+            text = let(text, lambda t, source=source, flags=flags, present=present: F.when(present, F.regexp_replace(t, pattern(source, flags), replacement)).otherwise(t))
+        else:
+            text = F.regexp_replace(text, pattern(source, flags), replacement)
+    return text
 
 
 def strip(text: Column) -> Column:
