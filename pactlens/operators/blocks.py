@@ -8,7 +8,10 @@ tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1_000_000
@@ -38,40 +41,68 @@ def running_total(
     )
 
 
-def order_value_at(df: DataFrame, order: str, fraction: float, block: int = BLOCK) -> Column:
-    """The `order` value of row number floor(fraction * n), as a scalar subquery.
+@dataclass(frozen=True)
+class Bracket:
+    """Values above `low` (None: no bound) up to `high`, with the rows at or below `low` and those inside."""
+
+    low: object
+    high: object
+    before: int
+    inside: int
+
+
+def bracket(values: DataFrame, rank: int, block: int = BLOCK, accuracy: int = 10_000) -> Bracket | None:
+    """A stretch of about `block` values of the column `v` that holds the value of a rank (from 1); None if there is no such rank.
 
-    Only block counts and the rows of one block are ever ordered; the table itself is not
-    shuffled.  `order` must be a unique integer, dense or sparse: the block width follows the
-    range of its values, so that a block holds about `block` rows.
+    A quantile sketch, which tasks merge, gives two values close to the rank; counts say exactly how many rows lie below and between.
+    That narrows the stretch by a factor of some thousands, whatever the distribution of values, and is repeated inside it.  Only
+    counts and bounds reach the driver.  Equal values stay together, so a stretch of one value may hold more than a block.
     """
-    values = df.select(F.col(order).cast("double").alias("v"))
-    low = values.agg(F.min("v")).scalar()
-    width = values.agg(F.greatest(F.lit(1.0), (F.max("v") - F.min("v") + 1) / F.count("*") * block)).scalar()
-    place = F.floor((F.col(order).cast("double") - low) / width)
-    blocked = df.select(F.col(order).alias("_order"), place.alias("_block"))
-    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    ranked = counts.select(
-        "_block",
-        "_n",
-        F.sum("_n").over(upto).alias("_upto"),
-        F.floor(F.sum("_n").over(everything) * F.lit(fraction)).alias("_target"),
-    )
-    boundary = ranked.filter((F.col("_upto") >= F.col("_target")) & (F.col("_upto") - F.col("_n") < F.col("_target")))
-    boundary = boundary.select("_block", (F.col("_target") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("_order"))
-    return (
-        blocked.join(boundary, "_block")
-        .withColumn("_place", place)
-        .filter(F.col("_place") == F.col("_rank"))
-        .agg(F.max("_order").alias("cut"))
-        .scalar()
-    )
+    values = values.filter(F.col("v").isNotNull())
+    inside = values.count()
+    if not 1 <= rank <= inside:
+        return None
+    low, high, before = None, None, 0
+    while inside > block:
+        part = values
+        part = part if low is None else part.filter(F.col("v") > F.lit(low))
+        part = part if high is None else part.filter(F.col("v") <= F.lit(high))
+        place, slack = (rank - before) / inside, max(2.0 / accuracy, block / inside / 4)
+        cuts = part.agg(F.percentile_approx("v", [max(0.0, place - slack), min(1.0, place + slack)], accuracy)).first()[0]
+        counts = part.agg(*(F.count_if(F.col("v") <= F.lit(c)) for c in cuts)).first()
+        was = (low, high)
+        if before + counts[1] >= rank:
+            high, inside = cuts[1], counts[1]
+        if before + counts[0] < rank:
+            low, before, inside = cuts[0], before + counts[0], inside - counts[0]
+        if (low, high) == was:
+            break
+    return Bracket(low, high, before, inside)
+
+
+def within(df: DataFrame, order: str, found: Bracket) -> DataFrame:
+    df = df if found.low is None else df.filter(F.col(order) > F.lit(found.low))
+    return df if found.high is None else df.filter(F.col(order) <= F.lit(found.high))
+
+
+def order_value_at(df: DataFrame, order: str, fraction: float, block: int = BLOCK) -> object:
+    """The `order` value of row number floor(fraction * n), None if that is 0.
+
+    The table is not shuffled: only the rows of one narrow stretch of values are ranked.  `order` must be unique; its values may lie
+    as they like.
+    """
+    n = df.count()
+    rank = math.floor(n * fraction)
+    found = bracket(df.select(F.col(order).alias("v")), rank, block)
+    if found is None:
+        return None
+    place = F.row_number().over(Window.orderBy(order))
+    ranked = within(df.select(order), order, found).withColumn("_place", place)
+    return ranked.filter(F.col("_place") == rank - found.before).first()[0]
 
 
 def ordered_split(df: DataFrame, order: str, fraction: float = 0.8, block: int = BLOCK) -> DataFrame:
     """Adds `part`: `train` for the first `fraction` of the rows in order, else `eval`."""
     cut = order_value_at(df, order, fraction, block)
-    return df.withColumn("part", F.when(F.col(order) <= cut, "train").otherwise("eval"))
+    part = F.lit("eval") if cut is None else F.when(F.col(order) <= F.lit(cut), "train").otherwise("eval")
+    return df.withColumn("part", part)

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.functions.text import round_half_up
+from pactlens.operators.blocks import bracket
+
+#: Rows before a page up to which the first rows are simply sorted; types of sort values that a quantile sketch takes.
+DEEP = 100_000
+RANKED_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
 
 
 def matching(documents: DataFrame, status: str | None = None, risk_level: str | None = None) -> DataFrame:
@@ -18,12 +23,46 @@ def matching(documents: DataFrame, status: str | None = None, risk_level: str |
 
 def list_documents(
     documents: DataFrame, page: int = 1, limit: int = 10, status: str | None = None, risk_level: str | None = None,
-    sort_by: str = "uploaded_at", ascending: bool = False,
+    sort_by: str = "uploaded_at", ascending: bool = False, deep: int = DEEP,
 ) -> DataFrame:
-    """One page of documents without their text (G12); the id breaks ties."""
+    """One page of documents without their text (G12); the id breaks ties.
+
+    A page that starts within `deep` rows is cut from the first rows in order.  For a later one the stretch of sort values that holds its
+    first row is looked up by counts, so that what is sorted is that stretch and the page, never all rows before it.
+    """
+    rows, skip = matching(documents, status, risk_level).drop("text"), (page - 1) * limit
+    if skip > deep and rows.schema[sort_by].dataType.typeName() in RANKED_TYPES:
+        rows, skip = _from_rank(rows, sort_by, ascending, skip, deep)
     key = F.col(sort_by)
-    rows = matching(documents, status, risk_level).drop("text")
-    return rows.orderBy(key.asc() if ascending else key.desc(), "id").offset((page - 1) * limit).limit(limit)
+    return rows.orderBy(key.asc() if ascending else key.desc(), "id").offset(skip).limit(limit)
+
+
+def _from_rank(rows: DataFrame, sort_by: str, ascending: bool, skip: int, deep: int) -> tuple[DataFrame, int]:
+    """The rows that don't come before a stretch of sort values around the row after `skip`, and how many of them still do."""
+    key, missing = F.col(sort_by), rows.filter(F.col(sort_by).isNull()).count()
+    if ascending and skip < missing:  # missing values come first, and a page may reach beyond them
+        return rows, skip
+    known = rows.count() - missing
+    first = skip - missing if ascending else skip
+    if first >= known:
+        return rows.filter(key.isNull()), first - known
+    found = bracket(rows.select(key.alias("v")), first + 1 if ascending else known - first, deep)
+    if ascending:
+        return (rows.filter(key.isNotNull()) if found.low is None else rows.filter(key > F.lit(found.low))), first - found.before
+    kept = rows if found.high is None else rows.filter(key.isNull() | (key <= F.lit(found.high)))
+    return kept, first - (known - found.before - found.inside)
+
+
+def list_documents_after(
+    documents: DataFrame, last, last_id, limit: int = 10, status: str | None = None, risk_level: str | None = None,
+    sort_by: str = "uploaded_at", ascending: bool = False,
+) -> DataFrame:
+    """The page behind the row with sort value `last` and id `last_id` (G12): a range of the scan, however deep.  Rows without a sort
+    value are not reached this way."""
+    key, at = F.col(sort_by), F.lit(last)
+    further = key > at if ascending else key < at
+    rows = matching(documents, status, risk_level).drop("text").filter(further | ((key == at) & (F.col("id") > F.lit(last_id))))
+    return rows.orderBy(key.asc() if ascending else key.desc(), "id").limit(limit)
 
 
 def pagination(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.fixed import documents as D
-from pactlens.functions.cleaning import clean_text, filter_document_noise, truncate_text
+from pactlens.functions.cleaning import clean_text, filter_document_noise, noise_findings, truncate_text
 from pactlens.functions.text import message, strip
 from pactlens.functions.validation import batch_size_error, document_violations, file_error
 from pactlens.operators.blocks import running_total
@@ -112,3 +112,17 @@ def constraint_violations(documents: DataFrame) -> DataFrame:
     """Number of rows per broken rule of the stored document."""
     rules = document_violations({c: F.col(c) for c in documents.columns})
     return item_rows(documents, rules, item="rule").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def analyze_noise(documents: DataFrame) -> DataFrame:
+    """doc_id, noise_chars, noise_percentage, category, pattern, matches, examples.
+
+    One row for each pattern that a document matches, with the totals of the document; a document without noise has one row with 0 and no
+    pattern.  An empty text has no percentage.
+    """
+    found = documents.select("doc_id", F.length("text").alias("n"), noise_findings(F.col("text")).alias("found"))
+    total = F.aggregate("found", F.lit(0), lambda a, x: a + x["chars"])
+    share = F.when(F.col("n") > 0, F.floor(total * 100.0 / F.col("n") * 100 + 0.5) / 100.0)
+    totals = found.select("doc_id", total.alias("noise_chars"), share.alias("noise_percentage"), "found")
+    rows = totals.select("doc_id", "noise_chars", "noise_percentage", F.explode_outer("found").alias("f"))
+    return rows.select("doc_id", "noise_chars", "noise_percentage", "f.category", "f.pattern", "f.matches", F.array_join("f.examples", " | ").alias("examples"))

@@ -10,6 +10,7 @@ from pactlens.functions.cleaning import clean_text, filter_document_noise
 from pactlens.functions.privacy import find_and_merge
 from pactlens.functions.spans import redact_spans
 from pactlens.operators.catalog import latest_status
+from pactlens.sources.commits import Snapshot, Snapshots
 
 
 def clean_and_redact(documents: DataFrame) -> DataFrame:
@@ -24,14 +25,15 @@ def clean_and_redact(documents: DataFrame) -> DataFrame:
 def feedback_windows(
     feedback: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour", two_step: bool = True
 ) -> DataFrame:
-    """Feedback summary per window (H2).
+    """Feedback summary per window (H2), the same in batch and as a stream.
 
     Labels agree when they are equal or both missing; events without a user count as one further
-    user.  A batch counts users exactly, a stream by a sketch, as it requires (up to a few hundred
-    users exact, beyond within about two percent).
-    Sliding windows are folded in two steps: events to one partial row per slide, partial rows
+    user.  Events are folded to one row per user and step, so the rows of a window are its distinct users and their number is exact.
+    Sliding windows are folded in two steps: events to one partial row per slide and user, partial rows
     to windows.  An event is then not copied once per window (30 times for 30 days by 1 day).
-    A stream in complete mode allows one aggregation only; pass `two_step=False` there.
+
+    A stream is read in append mode: a window comes out once, when the watermark has passed its end, and nothing is written again.
+    The last windows need an event that moves the watermark on (`closing_event`).
     """
     stream = feedback.withWatermark("timestamp", late) if feedback.isStreaming else feedback
     agrees = F.col("model_prediction").eqNullSafe(F.col("user_correction"))
@@ -39,36 +41,37 @@ def feedback_windows(
     confidence = F.col("model_confidence").cast("decimal(18,6)")
     step = slide if slide and two_step else width
     frame = F.window("timestamp", step, slide) if slide and not two_step else F.window("timestamp", step)
-    partial = stream.groupBy(frame.alias("window")).agg(
+    sums = ["total_feedback", "corrections", "confidence_sum", "confidence_count", "agreements"]
+    by_user = stream.groupBy(frame.alias("window"), user.alias("user")).agg(
         F.count("*").alias("total_feedback"),
         F.count_if(F.col("feedback_type") == "correction").alias("corrections"),
         F.sum(confidence).alias("confidence_sum"),
         F.count(confidence).alias("confidence_count"),
         F.count_if(agrees).alias("agreements"),
-        *([F.hll_sketch_agg(user).alias("users")] if feedback.isStreaming else []),
     )
     if slide and two_step:
-        sums = ["total_feedback", "corrections", "confidence_sum", "confidence_count", "agreements"]
-        partial = partial.groupBy(F.window("window", width, slide).alias("window")).agg(
-            *[F.sum(c).alias(c) for c in sums], *([F.hll_union_agg("users").alias("users")] if feedback.isStreaming else [])
-        )
-    if not feedback.isStreaming:
-        # each user once per step before windows multiply the rows
-        seen = feedback.select(frame.alias("window"), user.alias("user")).distinct()
-        if slide and two_step:
-            seen = seen.select(F.window("window", width, slide).alias("window"), "user")
-        partial = partial.join(seen.groupBy("window").agg(F.count_distinct("user").alias("users")), "window")
-    return partial.select(
+        by_user = by_user.groupBy(F.window("window", width, slide).alias("window"), "user").agg(*[F.sum(c).alias(c) for c in sums])
+    whole = by_user.groupBy("window").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("unique_users"))
+    return whole.select(
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
         "total_feedback",
         "corrections",
         F.try_divide(F.col("confidence_sum").cast("double"), F.col("confidence_count")).alias("avg_confidence"),
-        (F.hll_sketch_estimate("users") if feedback.isStreaming else F.col("users")).alias("unique_users"),
+        "unique_users",
         F.try_divide("agreements", "total_feedback").alias("prediction_accuracy"),
     )
 
 
+def closing_event(events: DataFrame, after: str, column: str = "timestamp") -> DataFrame:
+    """One row with the schema of `events` and only a time, `after` (an interval) behind the last of them.
+
+    Delivered to a stream, it moves the watermark past every window of the events; its own windows stay open and never come out.
+    """
+    last = events.agg((F.max(column) + F.expr(f"INTERVAL {after}")).alias(column)).filter(F.col(column).isNotNull())
+    return last.select(*(F.col(f.name) if f.name == column else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+
+
 def review_stream(clauses: DataFrame, late: str = "1 hour") -> DataFrame:
     """Clauses that need human review, each clause id once (H3)."""
     wanted = clauses.filter(F.col("requires_review"))
@@ -86,39 +89,56 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     query.awaitTermination()
 
 
-def run_to_versions(df: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
-    """Write each micro-batch result as its own version folder; the last one is the full view.
+class StatusTable:
+    """The current status per document: a base, and what has changed since, behind an atomic pointer (H4).
 
-    Used for aggregations in complete or update mode.  A repeated batch overwrites its own
-    version, so the sink is idempotent.
+    A batch is folded into the changes; when these exceed a share of the base, both become a new base.  So a batch costs in proportion to
+    the changes, and the base is rewritten once in about 1 / `share` of its rows.  At rest the table is two folders at most.
     """
 
-    def save(batch: DataFrame, version: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={version:010d}")
+    def __init__(self, spark: SparkSession, path: str, share: float = 0.25):
+        self.spark, self.share, self.snapshots = spark, share, Snapshots(spark, path)
+
+    def apply(self, events: DataFrame, batch: int) -> None:
+        """Fold in a batch of events; one that the table holds already changes nothing."""
+        now = self.snapshots.current()
+        if now and batch <= now.batch:
+            return
+        base = {n: r for n, r in (now.parts if now else {}).items() if n.startswith("base")}
+        changes = {n: r for n, r in (now.parts if now else {}).items() if n.startswith("changes")}
+        rows = latest_status(self._with(events.select("doc_id", "status", "ts", "event_id"), changes, batch))
+        name, n = self.snapshots.write(rows, "changes")
+        if n > self.share * sum(base.values()):
+            whole = latest_status(self._with(self.spark.read.parquet(f"{self.snapshots.path}/{name}"), base, batch))
+            name, n = self.snapshots.write(whole, "base")
+            base = {}
+        self.snapshots.point_to(Snapshot(batch, base | {name: n}))
+
+    def _with(self, rows: DataFrame, parts: dict[str, int], batch: int) -> DataFrame:
+        before = self.snapshots.read(Snapshot(batch, parts)) if parts else None
+        return rows.unionByName(before.select(*rows.columns)) if before is not None else rows
+
+    def read(self) -> DataFrame:
+        """One row per document."""
+        return latest_status(self.snapshots.read())
+
+
+def maintain_status(events: DataFrame, path: str, checkpoint: str, share: float = 0.25) -> StreamingQuery:
+    """Keep the current status per document from a stream of status events (H4).
 
+    The table itself is the state: a batch that is delivered again after a failure is recognised by its number, so a restart gives
+    equal rows, and the stream holds no state store that grows with the documents.
+    """
+    table = StatusTable(events.sparkSession, path, share)
     query = (
-        df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(table.apply).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    table.snapshots.clean()
     return query
 
 
-def last_version(spark: SparkSession, path: str) -> DataFrame:
-    """The full view that the last micro-batch wrote."""
-    versions = spark.read.parquet(path)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
-
-
-def maintain_status(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the current status per document from a stream of status events (H4).
-
-    State lives in the streaming aggregation (one entry per document); each micro-batch writes
-    the changed documents, and `current_status` folds the versions.
-    """
-    run_to_versions(latest_status(events), path, checkpoint, "update")
-
-
 def current_status(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document from the versions written by `maintain_status`."""
-    return latest_status(spark.read.parquet(path))
+    """One row per document of a table kept by `maintain_status`."""
+    return StatusTable(spark, path).read()

@@ -1,7 +1,10 @@
 """Group operators on small tables, hot keys, sources, sinks and streams."""
 
 import json
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ from pactlens.operators import learning as ML
 from pactlens.operators.privacy import audit_privacy, entity_distribution, privacy_stats
 from pactlens.plans.analyze import analyze_documents, extract_file_text
 from pactlens.session import scratch_path
+from pactlens.sources import commits
 from pactlens.sources import readers as R
 from pactlens.sources import writers as W
 from pactlens.streaming import streams as ST
@@ -96,6 +100,35 @@ def test_ordered_split_is_exact(spark, n, block, gap):
     assert train == sorted(orders)[: int(0.8 * n)]
 
 
+def test_a_bracket_stays_narrow_whatever_the_values(spark):
+    """One value far away, values in heaps, and values in the millions: the stretch that is ranked holds about a block."""
+    block = 1000
+    df = spark.range(1, 100_001).select(F.when(F.col("id") == 100_000, F.lit(10**15)).otherwise(F.col("id") + F.floor(F.col("id") / 50_000) * 10**9).alias("v"))
+    for rank in (1, 2, 50_000, 80_000, 99_999, 100_000):
+        found = B.bracket(df, rank, block, accuracy=1000)
+        assert found.inside <= 2 * block and found.before < rank <= found.before + found.inside
+        inside = B.within(df, "v", found)
+        assert inside.count() == found.inside
+        assert sorted(r["v"] for r in inside.collect())[rank - found.before - 1] == sorted(r["v"] for r in df.collect())[rank - 1]
+    assert B.bracket(df, 0) is None and B.bracket(df, 100_001) is None
+    same = spark.range(5000).select(F.lit(7).alias("v"))
+    assert B.bracket(same, 2500, 10).inside == 5000  # equal values stay together
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_deep_pages_equal_shallow_ones(spark, ascending):
+    rng = random.Random(8)
+    rows = [(k, None if k % 9 == 0 else rng.choice([rng.randrange(50), rng.randrange(10**9)]), "t", "s", "r") for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, size long, text string, status string, risk_level string").repartition(4)
+    for page in (1, 3, 8, 9, 60, 63, 64, 69, 70, 71):
+        plain = OG.list_documents(df, page, 10, sort_by="size", ascending=ascending, deep=10**9).collect()
+        assert OG.list_documents(df, page, 10, sort_by="size", ascending=ascending, deep=20).collect() == plain
+        if plain and page < 60 and plain[-1]["size"] is not None:
+            after = OG.list_documents_after(df, plain[-1]["size"], plain[-1]["id"], 10, sort_by="size", ascending=ascending).collect()
+            want = [r for r in OG.list_documents(df, page + 1, 10, sort_by="size", ascending=ascending).collect() if r["size"] is not None]
+            assert after[: len(want)] == want
+
+
 def brute_merge(files, cap):
     text = ""
     for _, name, body, error in sorted(files):
@@ -277,7 +310,7 @@ def test_writers(spark):
     path = scratch_path(spark, "log")
     W.append_feedback(fb, path)
     W.append_feedback(fb.limit(1), path)
-    log = spark.read.parquet(path)
+    log = W.read_feedback(spark, path)
     assert log.count() == 3 and log.select("feedback_id").distinct().count() == 2
     assert log.first()["feedback_type"] == "correction" and log.first()["is_processed"] is False
 
@@ -309,17 +342,62 @@ def test_status_stream_over_many_batches(spark):
     assert sorted(map(tuple, ST.current_status(spark, out).collect())) == sorted(map(tuple, OG.latest_status(events).collect()))
 
 
-def test_complete_windows_equal_batch(spark):
-    rows = [(f"2024-01-{1 + i % 9:02d} 10:00:00", "correction", 0.5, i % 3, "a", "a") for i in range(90)]
+@pytest.mark.parametrize("slide", [None, "1 day"])
+def test_stream_windows_equal_batch(spark, slide):
+    """Windows come out once each, closed by the watermark, with exact users; nothing is rewritten."""
+    rows = [(f"2024-01-{1 + i % 9:02d} 10:00:00", "correction", 0.5, i % 400, "a", "a") for i in range(900)] + [("2024-01-02 11:00:00", "other", None, None, None, None)]
     fb = spark.createDataFrame(rows, "timestamp string, feedback_type string, model_confidence double, user_id long, model_prediction string, user_correction string")
     fb = fb.withColumn("timestamp", F.to_timestamp("timestamp"))
     source, out = scratch_path(spark, "in"), scratch_path(spark, "out")
     fb.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(fb.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ST.run_to_versions(ST.feedback_windows(stream), out, scratch_path(spark, "cp"), "complete")
-    versions = spark.read.parquet(out)
-    last = versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, ST.feedback_windows(fb).collect()))
+    width = "3 days" if slide else "1 day"
+    stream = spark.readStream.schema(fb.schema).parquet(source)
+    result, checkpoint = ST.feedback_windows(stream, width, slide, late="30 days"), scratch_path(spark, "cp")
+    ST.run_available(result, out, checkpoint)
+    assert spark.read.schema(result.schema).parquet(out).count() == 0  # all windows are still open
+    ST.closing_event(fb, "60 days").write.mode("append").parquet(source)
+    ST.run_available(result, out, checkpoint)
+    got = spark.read.schema(result.schema).parquet(out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ST.feedback_windows(fb, width, slide).collect()))
+    assert got.agg(F.max("unique_users")).first()[0] >= 100
+
+
+def test_status_table_is_compacted(spark, tmp_path):
+    rows = [(i % 40, i, f"s{i}") for i in range(600)]
+    events = spark.createDataFrame(rows, "doc_id long, event_id long, status string").withColumn("ts", F.timestamp_seconds("event_id"))
+    table = ST.StatusTable(spark, str(tmp_path / "t"))
+    batches = [events.filter(f"event_id >= {k * 50} AND event_id < {k * 50 + 50} AND doc_id < {40 if k < 2 else 5}") for k in range(12)]
+    seen = events.limit(0)
+    for k, batch in enumerate(batches):
+        table.apply(batch, k)
+        table.apply(events.filter("event_id = 599"), k)  # a batch that comes again changes nothing
+        seen = seen.unionByName(batch)
+        assert len([n for n in commits.children(spark, table.snapshots.path) if n != commits.POINTERS]) <= 4
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, OG.latest_status(seen).collect()))
+    table.snapshots.clean()
+    folders = [n for n in commits.children(spark, table.snapshots.path) if n != commits.POINTERS]
+    assert len(folders) == len(table.snapshots.current().parts) <= 2
+    again = ST.StatusTable(spark, str(tmp_path / "t"))  # a new process
+    assert sorted(map(tuple, again.read().collect())) == sorted(map(tuple, table.read().collect()))
+
+
+def test_feedback_batches_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    fb = spark.createDataFrame([(f"c{k % 7}",) for k in range(50)], "clause_id string")
+    assert W.append_feedback(fb, path) and not W.append_feedback(fb.repartition(7), path)
+    assert W.append_feedback(fb, path, batch="again") and not W.append_feedback(fb, path, batch="again")
+    assert W.read_feedback(spark, path).count() == 100
+    # what a dead job has left, without a mark of success, is written anew
+    (tmp_path / "log" / "batch_id=again" / "_SUCCESS").unlink()
+    assert W.append_feedback(fb.limit(3), path, batch="again")
+    assert W.read_feedback(spark, path).count() == 53
+
+
+def test_publishing_shows_a_file_once(spark, tmp_path):
+    path = str(tmp_path / "p" / "x.json")
+    assert commits.publish(spark, path, '{"a": "é"}') and not commits.publish(spark, path, "other")
+    assert commits.read_small(spark, path) == '{"a": "é"}' and commits.children(spark, str(tmp_path / "p")) == ["x.json"]
+    assert commits.children(spark, str(tmp_path / "none")) == [] and commits.Snapshots(spark, str(tmp_path / "none")).read() is None
 
 
 def test_sliding_windows_in_one_and_two_steps(spark):
@@ -332,6 +410,45 @@ def test_sliding_windows_in_one_and_two_steps(spark):
     assert len(two) == 12 and max(r[5] for r in two) == 6  # five and the missing one
 
 
+def direct_word_model(train):
+    labels = sorted({label for _, label in train})
+    counts = {x: Counter(w.lower() for t, label in train if label == x for w in re.findall("[A-Za-z0-9]{2,}", t)) for x in labels}
+    words = {w for c in counts.values() for w in c}
+    logs = {w: [math.log((counts[x][w] + 1) / (sum(counts[x].values()) + len(words))) for x in labels] for w in words}
+    return labels, logs, [math.log(sum(label == x for _, label in train) / len(train)) for x in labels]
+
+
+def test_word_model_is_stored_and_scores(spark, tmp_path):
+    rng = random.Random(6)
+    words = {"rent": "tenant rent landlord pays monthly".split(), "nda": "secret confidential disclose information".split(), "other": "Über é 12 x y and".split()}
+    rows = [(k, " ".join(rng.choice(words[label] + ["the", "of"]) for _ in range(rng.randrange(12))), label) for k, label in enumerate(rng.choices(list(words), k=300))]
+    rows += [(1000, None, "nda"), (1001, "", "rent"), (1002, "tenant", None)]
+    df = spark.createDataFrame(rows, "k long, text string, label string").repartition(4)
+    path = str(tmp_path / "model")
+    assert ML.save_word_model(ML.train_word_model(df.filter("k < 50")), path) == 1
+    assert ML.save_word_model(ML.train_word_model(df), path) == 2
+    model = ML.load_word_model(spark, path)
+    labels, logs, priors = direct_word_model([(t or "", label) for _, t, label in rows if label])
+    assert list(model.labels) == labels
+    table = {r["word"]: r["weights"] for r in model.table.collect()}
+    assert table.pop(None) == pytest.approx(priors) and table.keys() == logs.keys()
+    assert all(table[w] == pytest.approx(logs[w]) for w in logs)
+    for r in ML.score_words(model, df, ["k"]).collect():
+        known = [w.lower() for w in re.findall("[A-Za-z0-9]{2,}", r["text"] or "") if w.lower() in logs]
+        score = [p + sum(logs[w][i] for w in known) for i, p in enumerate(priors)]
+        share = [math.exp(x - max(score)) for x in score]
+        assert r["clause_type"] == labels[score.index(max(score))] and r["confidence"] == pytest.approx(max(share) / sum(share))
+        assert sum(r["all_scores"].values()) == pytest.approx(1.0)
+    with pytest.raises(FileNotFoundError):
+        ML.load_word_model(spark, str(tmp_path / "none"))
+
+
+def test_documents_without_noise_have_a_record(spark):
+    df = spark.createDataFrame([(1, "Rent is due."), (2, ""), (3, "PAGE 1 OF 2"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["noise_chars"], r["noise_percentage"], r["pattern"]) for r in OD.analyze_noise(df).collect() if r["doc_id"] != 3}
+    assert got == {1: (0, 0.0, None), 2: (0, None, None), 4: (0, None, None)}
+
+
 def test_classifier_beats_the_commonest_label(spark):
     rng = random.Random(1)
     words = {"payment": ["rent", "fee", "invoice"], "duration": ["term", "years", "months"], "other": ["garden", "weather"]}

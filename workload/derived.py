@@ -1,6 +1,6 @@
 """Tables derived from the supplied ones by integer arithmetic (Spark form).
 
-`workload.oracle.tables` states the same tables in SQL.
+`workload.sql` states the same tables in SQL.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ MIMES = [
     "application/pdf", "text/plain", "image/png", "application/msword", "image/jpeg",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip",
 ]
-#: Tasks over which the documents are dealt; several for each core of the test machines.
-TASKS = 32
+#: Tasks for each core of the session over which a table of few row groups is dealt.
+TASKS_PER_CORE = 4
 FEEDBACK_START, FEEDBACK_END = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
 
 
@@ -34,8 +34,10 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text, dealt over the session's tasks: the table is a single file of one row group."""
-    return spread(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", TASKS)
+    """doc_id and text; a table of fewer splits than the session has cores is dealt over its tasks, any other is left as it is."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return spread(docs, "doc_id", TASKS_PER_CORE * cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pactlens.plans import evaluate as E
 from pactlens.session import scratch_path
 from pactlens.sources.readers import route_files
 from pactlens.sources.writers import append_feedback as append_to_log
+from pactlens.sources.writers import read_feedback
 from workload import derived as W
 from workload.sql import mapped, msg, pick, q, replaced, squeeze, statement, strip
 
@@ -92,7 +93,7 @@ ORACLE["labeled_rows_from_wide"] = statement(
 
 
 def append_feedback(spark, sf_dir):
-    """Sparse events: some fields are missing and take their defaults."""
+    """Sparse events: some fields are missing and take their defaults.  Both batches come twice, as after a failure."""
     fb = W.feedback(spark, sf_dir)
     i = F.col("feedback_id")
     sparse = fb.select(
@@ -100,9 +101,9 @@ def append_feedback(spark, sf_dir):
         F.when(i % 3 != 0, F.col("model_confidence")).alias("model_confidence"),
         F.when(i % 2 != 0, F.col("feedback_type")).alias("feedback_type"), F.col("user_id"), "timestamp", "user_correction")
     path = scratch_path(spark, "feedback-log")
-    for missing in (False, True):  # two appends
+    for missing in (False, True, True, False):
         append_to_log(sparse.filter(F.col("feedback_type").isNull() == missing), path)
-    return spark.read.parquet(path).select(
+    return read_feedback(spark, path).select(
         "clause_id", "original_text", "model_prediction", "model_confidence", "user_correction", "feedback_type", "user_id",
         "session_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.size("additional_metadata").alias("metadata_size"), "is_processed")

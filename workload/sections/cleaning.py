@@ -8,12 +8,13 @@ from pactlens.fixed import noise as N
 from pactlens.functions import cleaning as CL
 from pactlens.functions import layout as L
 from pactlens.functions.text import normalize_whitespace
+from pactlens.operators import documents as OD
 from pactlens.operators.rows import item_rows
 from pactlens.plans.ingest import batch_file_results, ingest_batches
 from pactlens.fixed import documents as D
 from workload import derived as W
 from workload.sections.checks import MERGED_SQL, _PIECE
-from workload.sql import any_re2, count_words, q, re2, replaced, squeeze, statement, strip
+from workload.sql import STAGES, any_re2, count_words, q, re2, replaced, squeeze, statement, strip
 
 QUERIES, ORACLE = {}, {}
 
@@ -96,25 +97,28 @@ ORACLE["filter_document_noise"] = statement(
     "contracts")
 
 
+#: A text without noise, which every fifth document brings along as a further document.
+NO_NOISE, FURTHER = "The tenant pays the rent.", 1_000_000_000
+
+
 def analyze_noise(spark, sf_dir):
-    docs = W.contracts(spark, sf_dir).select("doc_id", F.length("text").alias("n"), CL.noise_findings(F.col("text")).alias("found"))
-    total = F.aggregate("found", F.lit(0), lambda a, x: a + x["chars"])
-    share = F.when(F.col("n") > 0, F.floor(total * 100.0 / F.col("n") * 100 + 0.5) / 100.0)
-    docs = docs.select("doc_id", total.alias("noise_chars"), share.alias("noise_percentage"), "found")
-    return item_rows(docs, "found", "doc_id", "noise_chars", "noise_percentage", item="f").select(
-        "doc_id", "noise_chars", "noise_percentage", F.col("f.category").alias("category"), F.col("f.pattern").alias("pattern"),
-        F.col("f.matches").alias("matches"), F.array_join("f.examples", " | ").alias("examples"))
+    docs = W.contracts(spark, sf_dir)
+    clean = docs.filter(F.col("doc_id") % 5 == 0).select((F.col("doc_id") + FURTHER).alias("doc_id"), F.lit(NO_NOISE).alias("text"))
+    return OD.analyze_noise(docs.unionByName(clean))
 
 
 _NOISE = " UNION ALL ".join(
-    f"""SELECT doc_id, {q(cat)} AS category, {q(s)} AS pattern, length(text) AS n, regexp_extract_all(text, {q(re2(s, f))}) AS m FROM contracts"""
+    f"""SELECT doc_id, {q(cat)} AS category, {q(s)} AS pattern, length(text) AS n, regexp_extract_all(text, {q(re2(s, f))}) AS m FROM noisy"""
     for cat, ps in NP.items() for s, f in ps)
+STAGES["noisy"] = (["contracts"], f"SELECT doc_id, text FROM contracts UNION ALL SELECT doc_id + {FURTHER}, {q(NO_NOISE)} FROM contracts WHERE doc_id % 5 = 0")
 QUERIES["analyze_noise"] = analyze_noise
 ORACLE["analyze_noise"] = statement(
     f"""SELECT doc_id, (sum(chars) OVER (PARTITION BY doc_id))::BIGINT AS noise_chars,
           floor((sum(chars) OVER (PARTITION BY doc_id))::DOUBLE * 100.0 / n * 100 + 0.5) / 100.0 AS noise_percentage, category, pattern, len(m) AS matches,
           array_to_string(m[1:3], ' | ') AS examples
-        FROM (SELECT *, length(array_to_string(m, '')) AS chars FROM ({_NOISE}) WHERE len(m) > 0)""", "contracts")
+        FROM (SELECT *, length(array_to_string(m, '')) AS chars FROM ({_NOISE}) WHERE len(m) > 0)
+        UNION ALL SELECT doc_id, 0, CASE WHEN text <> '' THEN 0.0 END, NULL, NULL, NULL, NULL FROM noisy
+        WHERE doc_id NOT IN (SELECT doc_id FROM ({_NOISE}) WHERE len(m) > 0)""", "noisy")
 
 
 def extract_contract_sections(spark, sf_dir):

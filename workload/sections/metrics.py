@@ -357,6 +357,31 @@ def list_documents(spark, sf_dir):
     return rows.select(*REGISTRY_COLUMNS, _stamp())
 
 
+def list_documents_deep(spark, sf_dir):
+    """A page far behind: a tenth of all rows lies before it."""
+    registry = W.registry(spark, sf_dir)
+    page = registry.count() // 200 + 1
+    return OG.list_documents(registry, page=page, limit=20, ascending=True, deep=100).select(*REGISTRY_COLUMNS, _stamp())
+
+
+QUERIES["list_documents_deep"] = list_documents_deep
+ORACLE["list_documents_deep"] = statement(
+    f"""SELECT {', '.join(REGISTRY_COLUMNS)}, {STAMP_SQL} FROM (SELECT * FROM registry
+        ORDER BY uploaded_at, id LIMIT 20 OFFSET (SELECT count(*) // 200 * 20 FROM registry))""", "registry")
+
+
+def list_documents_after(spark, sf_dir):
+    """The page behind the last row of the first one."""
+    registry = W.registry(spark, sf_dir)
+    last = OG.list_documents(registry, limit=20).agg(F.min_by(F.struct("uploaded_at", "id"), F.struct("uploaded_at", -F.col("id"))).alias("r")).first()["r"]
+    return OG.list_documents_after(registry, last["uploaded_at"], last["id"], limit=20).select(*REGISTRY_COLUMNS, _stamp())
+
+
+QUERIES["list_documents_after"] = list_documents_after
+ORACLE["list_documents_after"] = statement(
+    f"SELECT {', '.join(REGISTRY_COLUMNS)}, {STAMP_SQL} FROM (SELECT * FROM registry ORDER BY uploaded_at DESC, id LIMIT 20 OFFSET 20)", "registry")
+
+
 QUERIES["list_documents"] = list_documents
 ORACLE["list_documents"] = statement(
     f"""SELECT {', '.join(REGISTRY_COLUMNS)}, {STAMP_SQL} FROM (SELECT * FROM registry WHERE status = 'completed' AND risk_level = 'high'

@@ -3,6 +3,9 @@
 Files and streams are written below the session's shared checkpoint folder.
 """
 
+from functools import cache
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
@@ -12,6 +15,7 @@ from pactlens.operators import blocks as B
 from pactlens.operators import clauses as OC
 from pactlens.operators import fairness as OF
 from pactlens.operators import learning as ML
+from pactlens.plans import evaluate as E
 from pactlens.session import materialize, scratch_path
 from pactlens.sources import readers as R
 from pactlens.sources import schemas as SC
@@ -102,29 +106,79 @@ def labelled_clauses(spark, sf_dir):
     return rows.select((F.col("doc_id") * 100 + F.col("clause_no")).alias("ord"), F.col("content").alias("text"), F.col("type").alias("label"))
 
 
-def _split_and_train(spark, sf_dir):
+def _parts(spark, sf_dir):
     rows = materialize(labelled_clauses(spark, sf_dir), "labelled")
-    parts = materialize(B.ordered_split(rows, "ord", 0.8), "split")
-    model = ML.train_clause_classifier(parts.filter("part = 'train'").select("text", "label"))
-    return model, parts
+    return B.ordered_split(rows, "ord", 0.8)
 
 
-def train_clause_classifier(spark, sf_dir):
-    """Accuracy on the last fifth of the clauses against always naming the commonest label."""
-    model, parts = _split_and_train(spark, sf_dir)
-    scored = ML.score_clauses(model, parts.filter("part = 'eval'"))
-    per_label = scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("clause_type") == F.col("label")).alias("hits"))
-    return per_label.agg(
-        F.sum("n").alias("clauses"), (F.sum("hits") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("majority_share"))
+@cache
+def _stored_model(app, sf_dir):
+    """The path of a model that is trained once a session."""
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "clause-model")
+    ML.save_word_model(ML.train_word_model(_parts(spark, sf_dir).filter("part = 'train'")), path)
+    return path
 
 
-def score_clauses(spark, sf_dir):
-    model, parts = _split_and_train(spark, sf_dir)
-    return ML.score_clauses(model, parts).select("ord", "clause_type", "confidence", F.size("all_scores").alias("labels"))
+def _model(spark, sf_dir):
+    return ML.load_word_model(spark, _stored_model(spark.sparkContext.applicationId, sf_dir))
+
+
+def train_clause_classifier(spark, sf_dir):
+    """The stored model: its words and their weights under each label."""
+    model = _model(spark, sf_dir)
+    labels = F.array(*[F.lit(x) for x in model.labels])
+    rows = model.table.select("word", F.posexplode("weights").alias("k", "weight"))
+    return rows.select("word", F.get(labels, F.col("k")).alias("label"), round_half_up(F.col("weight"), 6).alias("weight"))
 
 
+def score_clauses(spark, sf_dir):
+    scored = ML.score_words(_model(spark, sf_dir), _parts(spark, sf_dir), ["ord"])
+    return scored.select("ord", "clause_type", round_half_up(F.col("confidence"), 6).alias("confidence"), F.size("all_scores").alias("labels"))
+
+
+def evaluate_classifier(spark, sf_dir):
+    """The evaluation record of the classifier on the clauses it hasn't seen, one row for each class that they hold."""
+    unseen = _parts(spark, sf_dir).filter("part = 'eval'")
+    scored = ML.score_words(_model(spark, sf_dir), unseen, ["ord"])
+    predicted = scored.select(F.col("label").alias("true_label"), F.col("clause_type").alias("predicted_label"))
+    report = E.evaluation_report(predicted, labels=list(C.CLAUSE_TYPES), model="words", evaluated_at="2024-02-01T00:00:00Z")
+    rows = report.select("overall", "metadata", F.inline("per_class")).filter("support > 0")
+    return rows.select(
+        "label", *(round_half_up(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1_score")), "support",
+        round_half_up(F.col("overall.accuracy"), 6).alias("accuracy"), F.col("metadata.model").alias("model"))
+
+
+STAGES["w_rows"] = (["c_clauses"], """SELECT ord, text, label, rn <= floor(0.8 * n) AS train FROM (
+    SELECT doc_id * 100 + clause_no AS ord, content AS text, type AS label, row_number() OVER (ORDER BY doc_id * 100 + clause_no) AS rn, count(*) OVER () AS n FROM c_clauses)""")
+STAGES["w_words"] = (["w_rows"], f"SELECT ord, label, train, lower(unnest(regexp_extract_all(text, '{ML.WORD}'))) AS word FROM w_rows")
+STAGES["w_model"] = (["w_rows", "w_words"], """
+    WITH labels AS (SELECT label, count(*) AS n FROM w_rows WHERE train GROUP BY label),
+    totals AS (SELECT label, count(*) AS n FROM w_words WHERE train GROUP BY label),
+    words AS (SELECT DISTINCT word FROM w_words WHERE train),
+    counts AS (SELECT label, word, count(*) AS n FROM w_words WHERE train GROUP BY ALL)
+    SELECT word, label, ln((coalesce(c.n, 0) + 1.0::DOUBLE) / (coalesce(t.n, 0) + 1.0::DOUBLE * (SELECT count(*) FROM words))) AS weight
+    FROM words CROSS JOIN labels l LEFT JOIN counts c USING (word, label) LEFT JOIN totals t USING (label)
+    UNION ALL SELECT NULL, label, ln(n / (SELECT sum(n) FROM labels)::DOUBLE) FROM labels""")
+STAGES["w_scored"] = (["w_rows", "w_words", "w_model"], """
+    WITH counts AS (SELECT ord, word, count(*) AS n FROM w_words GROUP BY ALL),
+    sums AS (SELECT ord, m.label, sum(c.n * m.weight) AS s FROM counts c JOIN w_model m USING (word) GROUP BY ALL),
+    logs AS (SELECT r.ord, r.label AS true_label, r.train, p.label, coalesce(s, 0) + p.weight AS l
+        FROM w_rows r CROSS JOIN (SELECT * FROM w_model WHERE word IS NULL) p LEFT JOIN sums s ON s.ord = r.ord AND s.label = p.label)
+    SELECT ord, any_value(true_label) AS true_label, any_value(train) AS train, first(label ORDER BY l DESC, label) AS clause_type,
+        1 / sum(exp(l - top)) AS confidence, count(*)::INT AS labels FROM (SELECT *, max(l) OVER (PARTITION BY ord) AS top FROM logs) GROUP BY ord""")
 QUERIES["train_clause_classifier"] = train_clause_classifier
+ORACLE["train_clause_classifier"] = statement(f"SELECT word, label, {rnd('weight', 6)} AS weight FROM w_model", "w_model")
 QUERIES["score_clauses"] = score_clauses
+ORACLE["score_clauses"] = statement(f"SELECT ord, clause_type, {rnd('confidence', 6)} AS confidence, labels FROM w_scored", "w_scored")
+QUERIES["evaluate_classifier"] = evaluate_classifier
+ORACLE["evaluate_classifier"] = statement(
+    f"""SELECT label, {rnd('coalesce(tp / nullif(pred, 0), 0)', 6)} AS precision, {rnd('tp / support', 6)} AS recall,
+        {rnd('2 * tp / (support + pred)', 6)} AS f1_score, support::BIGINT AS support,
+        {rnd('(SELECT avg((true_label = clause_type)::INT) FROM w_scored WHERE NOT train)', 6)} AS accuracy, 'words' AS model
+        FROM (SELECT label, sum(hit)::DOUBLE AS tp, sum(t)::DOUBLE AS support, sum(g)::DOUBLE AS pred FROM (
+            SELECT true_label AS label, (true_label = clause_type)::INT AS hit, 1 AS t, 0 AS g FROM w_scored WHERE NOT train
+            UNION ALL SELECT clause_type, 0, 0, 1 FROM w_scored WHERE NOT train) GROUP BY 1) WHERE support > 0""", "w_scored")
 
 
 # ---- streams
@@ -169,7 +223,6 @@ def _feedback_stream(spark, sf_dir):
 
 
 def _shown(df):
-    """Users of a stream come from a sketch, which is exact for the few hundred users of a window here."""
     return df.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "total_feedback", "corrections", "unique_users",
         round_half_up(F.col("avg_confidence"), 6).alias("avg_confidence"), round_half_up(F.col("prediction_accuracy"), 6).alias("prediction_accuracy"))
@@ -204,11 +257,13 @@ ORACLE["feedback_windows_sliding"] = statement(_window_sql(MONTHS), "feedback")
 
 
 def _stream_windows(spark, sf_dir, **frame):
-    """All windows, those that the watermark hasn't closed included: each micro-batch writes a full version."""
-    out, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "cp")
-    result = ST.feedback_windows(_feedback_stream(spark, sf_dir), two_step=False, **frame)
-    ST.run_to_versions(result, out, checkpoint, "complete")
-    return _shown(ST.last_version(spark, out))
+    """Each window as the watermark closes it; an event far behind the last one closes them all."""
+    source, out, checkpoint = scratch_path(spark, "events"), scratch_path(spark, "windows"), scratch_path(spark, "cp")
+    feedback = W.feedback(spark, sf_dir)
+    feedback.unionByName(ST.closing_event(feedback, "90 days")).write.parquet(source)
+    result = ST.feedback_windows(spark.readStream.schema(feedback.schema).parquet(source), **frame)
+    ST.run_available(result, out, checkpoint)
+    return _shown(spark.read.schema(result.schema).parquet(out))
 
 
 def stream_feedback_windows(spark, sf_dir):
