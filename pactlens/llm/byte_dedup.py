@@ -16,17 +16,19 @@ Suffix arrays of shards find the repeats, so equal strings have to meet in one s
    the sorted strings are merged by binary search over their bytes, so that only the earliest of all shards stays.
 5. Gone starts are gathered by document, and the texts are cut.
 
-Whole contexts, and texts of one id, are told apart by 128 bits of a cryptographic digest, strings by their bytes.  Rows move as numbers;
+Whole contexts are told apart by 128 bits of a seeded hash, texts of one id by 128 bits of a cryptographic one, strings by their bytes.  Rows move as numbers;
 texts move twice, compressed.  A shard is bounded by bytes, inside an anchor too, so a task needs the same memory at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +113,11 @@ def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def context_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per context of every text (doc, text), folded within what one task reads together."""
+    """One row per context of every text (doc, text), folded within what one task reads together.
+
+    Contexts are named by 128 bits under a seed drawn for this plan, so that no text can be made to agree with another one.
+    """
+    seed, name = secrets.randbits(64), xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
@@ -128,7 +134,8 @@ def context_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at, n, g = contexts(np.frombuffer(data, np.uint8), starts, ends, length)
             if not len(at):
                 continue
-            told = digests(data[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True))
+            told = [name(data[a:b], seed) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
+            told = np.frombuffer(b"".join(told), np.int64).reshape(-1, 2)
             of, docs_told = np.searchsorted(ends, at, side="right"), digests(many)
             parts.append((g, told[:, 0], told[:, 1], ids[of], docs_told[of, 0], docs_told[of, 1], at - starts[of], n.astype(np.int32)))
             rows += len(at)
