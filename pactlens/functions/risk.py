@@ -410,8 +410,16 @@ def overall_risk(clauses: Column, text_length: Column) -> Column:
     return let(clauses, score)
 
 
-def recommendations(clauses: Column, missing: Column, text_length: Column, is_batch: Column) -> Column:
-    """Ordered document messages, at most 15."""
+def recommendations(
+    clauses: Column, missing: Column, text_length: Column, is_batch: Column, limit: int | None = R.MAX_RECOMMENDATIONS
+) -> Column:
+    """The first `limit` of the ordered document messages (F10); None gives all."""
+    everything = all_recommendations(clauses, missing, text_length, is_batch)
+    return everything if limit is None else F.slice(everything, 1, limit)
+
+
+def all_recommendations(clauses: Column, missing: Column, text_length: Column, is_batch: Column) -> Column:
+    """All document messages in order."""
 
     def build(cs: Column) -> Column:
         review = _count(cs, lambda c: c["requires_review"])
@@ -434,7 +442,7 @@ def recommendations(clauses: Column, missing: Column, text_length: Column, is_ba
             F.when(F.size(cs) > 10, F.lit(R.REC_FAIRNESS)),
         )
         middle = F.transform(missing, lambda t: lookup(per_missing, t, ""))
-        return F.slice(F.concat(head, middle, tail), 1, R.MAX_RECOMMENDATIONS)
+        return F.concat(head, middle, tail)
 
     return let(clauses, build)
 

@@ -45,10 +45,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 BUNDLE = 128
 
 
-def in_bundles(items: Column) -> Column:
-    """The first index (from 0) of each bundle of BUNDLE items."""
+def in_bundles(items: Column, size: Column | int = BUNDLE) -> Column:
+    """The numbers (from 0) of the bundles of `size` items."""
     n = F.size(items)
-    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BUNDLE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, last=None) -> Column:
@@ -56,7 +56,7 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
 
     A fold's state is copied at every step, entries gathered in it included, so a plain fold over n items copies n * n / 2 entries.
     Here a bundle's entries are gathered in an inner fold and put aside together; the outer fold copies them once for every bundle.
-    `last(state)` gives the entries that follow the last item.
+    With bundles of the square root of n items both folds copy the least.  `last(state)` gives the entries that follow the last item.
     """
     none = F.array().cast(f"array<{kind}>")
 
@@ -64,8 +64,10 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
         then, entries = step(acc["state"], item)
         return F.struct(then.alias("state"), F.concat(acc["out"], entries).alias("out"))
 
+    size = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(items)))).cast("int")
+
     def outer(acc: Column, bundle: Column) -> Column:
-        mine = F.slice(items, bundle * BUNDLE + 1, BUNDLE)
+        mine = F.slice(items, bundle * size + 1, size)
         return let(
             F.aggregate(mine, F.struct(acc["state"].alias("state"), none.alias("out")), inner),
             lambda done: F.struct(done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out")),
@@ -76,23 +78,23 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
         return F.concat(out, last(acc["state"])) if last else out
 
     start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.aggregate(in_bundles(items), start, outer, finish)
+    return F.aggregate(in_bundles(items, size), start, outer, finish)
 
 
-def chunks_of(text: Column) -> Column:
-    """The text in pieces of CHUNK characters, for many cheap substrings of a long text.
+def chunks_of(text: Column, size: int = CHUNK) -> Column:
+    """The text in pieces of `size` characters, for many cheap substrings of a long text.
 
     A substring has to count characters from the start of its string; inside a chunk that is a
     short way, so a document of any length costs the same per substring.
     """
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
-def substring_of(chunks: Column, start: Column, length: Column) -> Column:
-    """`length` characters from the zero-based `start` of a text given as chunks."""
-    first = F.floor(start / CHUNK).cast("int")
-    last = F.floor((start + length) / CHUNK).cast("int")
-    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length)
+def substring_of(chunks: Column, start: Column, length: Column, size: int = CHUNK) -> Column:
+    """`length` characters from the zero-based `start` of a text given as chunks of `size` characters."""
+    first = F.floor(start / size).cast("int")
+    last = F.floor((start + length) / size).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * size + 1, length)
 
 
 def expand_whitespace(source: str) -> str:

@@ -45,7 +45,7 @@ def _from_rank(rows: DataFrame, sort_by: str, ascending: bool, skip: int, deep:
     known = rows.count() - missing
     first = skip - missing if ascending else skip
     if first >= known:
-        return rows.filter(key.isNull()), first - known
+        return (rows.filter(F.lit(False)), 0) if ascending else (rows.filter(key.isNull()), first - known)
     found = bracket(rows.select(key.alias("v")), first + 1 if ascending else known - first, deep)
     if ascending:
         return (rows.filter(key.isNotNull()) if found.low is None else rows.filter(key > F.lit(found.low))), first - found.before

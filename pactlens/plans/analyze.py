@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.fixed import documents as D
+from pactlens.fixed.risk import MAX_RECOMMENDATIONS
 from pactlens.functions import risk as R
 from pactlens.functions.cleaning import clean_text, detect_batch_content
 from pactlens.functions.clauses import extract_clauses
@@ -45,12 +46,13 @@ def prepare_documents(documents: DataFrame, redact: bool = True) -> DataFrame:
 
 
 def analyze_documents(
-    documents: DataFrame, redact: bool = True, handbook: R.Handbook | None = None, max_clauses: int | None = None
+    documents: DataFrame, redact: bool = True, handbook: R.Handbook | None = None, max_clauses: int | None = None,
+    max_recommendations: int | None = MAX_RECOMMENDATIONS,
 ) -> DataFrame:
     """One analysis record per document (F16).  Input: doc_id, text.
 
     All clauses of a text enter the results.  With `max_clauses` the first so many do, and
-    `clauses_left_out` tells how many more there were.
+    `clauses_left_out` tells how many more there were; so do `max_recommendations` and `recommendations_left_out`.
     """
     prepared = prepare_documents(documents, redact)
     found = prepared.select("*", extract_clauses(F.col("text"), limit=None).alias("found"))
@@ -79,6 +81,8 @@ def analyze_documents(
         F.when(ok, R.missing_clauses(F.col("clauses"))).alias("missing"),
         F.when(ok, R.overall_risk(F.col("clauses"), F.length("text"))).alias("risk"),
     )
+    reported = reported.select("*", R.all_recommendations(F.col("clauses"), F.col("missing"), F.col("text_length"), F.col("is_batch")).alias("messages"))
+    first_messages = F.col("messages") if max_recommendations is None else F.slice("messages", 1, max_recommendations)
     return reported.select(
         "doc_id",
         F.when(ok, "completed").otherwise("error").alias("status"),
@@ -87,9 +91,8 @@ def analyze_documents(
         F.when(ok, R.risk_level(F.col("risk"))).alias("risk_level"),
         F.transform("clauses", with_advice).alias("clauses"),
         F.col("missing").alias("missing_clauses"),
-        F.when(
-            ok, R.recommendations(F.col("clauses"), F.col("missing"), F.col("text_length"), F.col("is_batch"))
-        ).alias("recommendations"),
+        F.when(ok, first_messages).alias("recommendations"),
+        F.when(ok, F.size("messages") - F.size(first_messages)).alias("recommendations_left_out"),
         F.when(
             ok, R.analysis_summary(F.col("clauses"), F.col("risk"), F.col("missing"), F.col("is_batch"))
         ).alias("summary"),

@@ -243,3 +243,35 @@ def test_folds_of_bundles(spark):
     for r in df.select("n", out.alias("out")).collect():
         sums = [sum(range(k + 1)) for k in range(0, r["n"], 2)]
         assert r["out"] == [*sums, -sum(range(r["n"]))]
+
+
+def test_phrases_of_a_table(spark):
+    from pactlens.operators.phrases import phrase_hits
+
+    rng = random.Random(9)
+    words = ["rent", "Due", "a", "sole", "discretion", "12", "é", "x_y"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", ", ", ". "]) for _ in range(rng.randrange(300))) for _ in range(40)] + ["", None, "rent"]
+    phrases = ["rent", "sole discretion", "a a a", "due a 12", "SOLE discretion", "x_y  rent", "rent, due", "12", " no", "é a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, phrase_hits(df, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()))
+    want = [
+        (k, p, m.start(1), m.end(1)) for k, t in enumerate(texts) for p in phrases if p not in (" no", "é a")
+        for m in re.finditer(rf"(?ai)(?<!\w)(?=({p})(?!\w))", t or "")
+    ]
+    assert got == sorted(want) and len(got) > 300
+    assert phrase_hits(df, spark.createDataFrame([], "phrase string")).count() == 0
+
+
+def test_phrase_time_hardly_grows_with_the_table(spark):
+    from pactlens.operators.phrases import phrase_hits
+
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    df = materialize(spark.createDataFrame([(k, " ".join(rng.choice(vocabulary) for _ in range(2000))) for k in range(40)], "doc_id long, text string").repartition(8), "texts")
+    took = {}
+    for n in (100, 100, 10_000):
+        table = spark.createDataFrame([(f"{rng.choice(vocabulary)} {rng.choice(vocabulary)}",) for _ in range(n)], "phrase string")
+        start = time.monotonic()
+        phrase_hits(df, table).count()
+        took[n] = time.monotonic() - start
+    assert took[10_000] < 3 * took[100] + 1.0

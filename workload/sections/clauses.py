@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
+from pactlens.fixed import risk as R
 from pactlens.functions import confidence as CF
 from pactlens.operators import blocks as B
 from pactlens.operators import clauses as OC
 from pactlens.operators import learning as ML
+from pactlens.operators import phrases as OP
 from workload import derived as W
 from workload.sql import any_word, count_words, lst, q, rnd, rule_confidence, rules, scale, statement
 
@@ -165,6 +167,26 @@ ORACLE["route_for_review"] = statement(
     "SELECT doc_id, clause_no, type, confidence, CASE WHEN requires_review THEN 'human_review' ELSE 'automatic' END AS queue FROM c_clauses", "c_clauses")
 
 
+def taxonomy_phrases():
+    """Keywords, risk phrases and triggers as one table of phrases."""
+    words = {k for _, words, _ in C.CLAUSE_TYPES.values() for k in words} | {w for w, *_ in R.RISK_TRIGGERS + R.MITIGATORS}
+    return sorted(words)
+
+
+def phrase_hits(spark, sf_dir):
+    phrases = spark.createDataFrame([(w,) for w in taxonomy_phrases()], "phrase string")
+    hits = OP.phrase_hits(W.contracts(spark, sf_dir), phrases)
+    return hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
+QUERIES["phrase_hits"] = phrase_hits
+ORACLE["phrase_hits"] = statement(
+    f"""SELECT doc_id, phrase, len(hits) AS n, length(pieces[1]) AS first_start, length(text) - length(pieces[-1]) AS last_end FROM (
+        SELECT doc_id, text, phrase, regexp_extract_all(text, '(?i)\\b' || phrase || '\\b') AS hits, string_split_regex(text, '(?i)\\b' || phrase || '\\b') AS pieces
+        FROM contracts CROSS JOIN (SELECT unnest({lst(taxonomy_phrases())}) AS phrase) WHERE contains(lower(text), phrase)) WHERE len(hits) > 0""",
+    "contracts")
+
+
 def encode_labels(spark, sf_dir):
     p = W.predictions(spark, sf_dir).select("true_label", ML.encode_label(F.col("true_label")).alias("idx"))
     return p.groupBy("true_label", "idx").agg(F.count("*").alias("n")).select(
