@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from pactlens.fixed import privacy as P
 from pactlens.functions import privacy as PF
 from pactlens.functions import spans as SF
+from pactlens.functions.spans import find_spans, merge_overlapping_spans, redact_spans
+from pactlens.session import materialize
 
 
 def tuples(spans):
@@ -111,3 +115,31 @@ def test_no_configured_match_of_a_removed_span_stays(one):
         for name, regex, _ in P.CONFIGURED_PATTERNS:
             if name in ("email", "credit_card"):
                 assert not re.search(regex, out, re.IGNORECASE), (text, out)
+
+
+def test_spans_over_chunks_equal_those_of_the_whole(spark):
+    """Overlapping spans of random confidence, across the edges of chunks of any size."""
+    from pactlens.operators import long_texts as OL
+
+    rng = random.Random(12)
+    table = [
+        {"regex": r"[ab]{2,9}", "label": "AB", "confidence": 0.5, "replacement": "[AB]"}, {"regex": r"b[bc]{1,12}", "label": "BC", "confidence": 0.7, "replacement": "[BC]"},
+        {"regex": r"c[a-d]{3}", "label": "CD", "confidence": 0.7, "replacement": "[CD]"}, {"regex": r"dé", "label": "D", "confidence": 0.9, "replacement": ""},
+    ]
+    rows = [(k, "".join(rng.choice("abcdé  ") for _ in range(rng.choice([0, 1, 50, 400, 2000])))) for k in range(30)] + [(100, None)]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "texts")
+    find = lambda text: find_spans(text, table)
+    whole = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), merge_overlapping_spans(find(F.coalesce("text", F.lit("")))).alias("spans"))
+    want = {r["doc_id"]: (r["redacted"], [tuple(s) for s in r["spans"]]) for r in whole.select("doc_id", "spans", redact_spans(F.col("text"), F.col("spans")).alias("redacted")).collect()}
+    for chunk, margin in ((20, 20), (64, 30), (10**6, 100)):
+        chunks = OL.chunk_documents(df, chunk, margin)
+        merged = materialize(OL.merge_span_rows(OL.spans_of_chunks(chunks, find, chunk)), "merged")
+        pieces, spans = {k: [] for k in want}, {k: [] for k in want}
+        for r in OL.redact_chunks(chunks, merged, chunk).collect():
+            pieces[r["doc_id"]].append((r["chunk"], r["redacted"]))
+        for r in merged.collect():
+            spans[r["doc_id"]].append(tuple(r["span"]))
+        got = {k: ("".join(p for _, p in sorted(pieces[k])), sorted(spans[k], key=lambda s: s[2])) for k in want}
+        assert got == want
+    with pytest.raises(ValueError, match="margin"):
+        OL.chunk_documents(df, 10, 20)

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from pactlens.fixed import privacy as P
 from pactlens.functions import privacy as PF
 from pactlens.functions import spans as SF
+from pactlens.operators import long_texts as OL
 from pactlens.operators import privacy as OP
 from pactlens.operators.rows import item_rows
+from pactlens.session import materialize
 from workload import derived as W
 from workload.sql import lst, mapped, msg, q, scale, statement
 
@@ -47,6 +49,21 @@ ORACLE["redact_spans"] = statement(
     "SELECT doc_id, r.text AS redacted_text, s.n AS entities_redacted FROM redacted r JOIN scores s USING (doc_id)", "redacted", "scores")
 
 
+def redact_long_documents(spark, sf_dir):
+    """The same from chunks of 1,000 characters, put together again."""
+    size = 1000
+    chunks = OL.chunk_documents(W.contracts_pii(spark, sf_dir), size, 300)
+    merged = materialize(OL.merge_span_rows(materialize(OL.spans_of_chunks(chunks, PF.detect_pii_configured, size), "spans")), "merged-spans")
+    pieces = OL.redact_chunks(chunks, merged, size).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "redacted"))).alias("p"))
+    counts = merged.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    whole = F.array_join(F.transform("p", lambda x: x["redacted"]), "").alias("redacted_text")
+    return pieces.join(counts, "doc_id", "left").select("doc_id", whole, F.coalesce("n", F.lit(0)).alias("entities_redacted"))
+
+
+QUERIES["redact_long_documents"] = redact_long_documents
+ORACLE["redact_long_documents"] = ORACLE["redact_spans"]
+
+
 def redact_literal(spark, sf_dir):
     found = W.contracts_pii(spark, sf_dir).select("doc_id", "text", PF.detect_pii_basic(F.col("text")).alias("spans"))
     return found.select(
