@@ -97,3 +97,6 @@ REC_DATA = ("data", "medium", "Insufficient data for %s contracts",
 LOW_F1 = 0.85
 MSG_LOW_F1 = "%s classification shows lower performance (F1: %s). Consider additional training data."
 MSG_F1_OK = "All clause types show excellent performance above 85% F1-score."
+
+# ---- fixed value: error of a batch whose files hold no readable text
+ERR_NO_TEXT_IN_BATCH = "No text could be extracted from any of the uploaded files"

@@ -33,3 +33,19 @@ def batch_file_results(files: DataFrame, preview: int | None = D.PREVIEW_CHARS)
     return cleaned.select(
         "batch_id", "ord", "original_name", shown.alias("preview"), F.length("text").cast("bigint").alias("characters"), "error"
     )
+
+
+def batch_outcomes(files: DataFrame) -> DataFrame:
+    """One row per batch: files, how many gave text, how many failed, status and error.
+
+    A batch none of whose files holds readable text after cleaning is an error as a whole; its files keep errors of their own.
+    """
+    cleaned = clean_batch_files(files).select("batch_id", "text", "error")
+    counts = cleaned.groupBy("batch_id").agg(
+        F.count("*").alias("files"), F.count_if(F.col("error").isNull() & (F.col("text") != "")).alias("readable"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+    )
+    nothing = F.col("readable") == 0
+    return counts.select(
+        "*", F.when(nothing, "error").otherwise("uploaded").alias("status"), F.when(nothing, F.lit(D.ERR_NO_TEXT_IN_BATCH)).alias("error")
+    )

@@ -10,7 +10,7 @@ from pactlens.functions import layout as L
 from pactlens.functions.text import normalize_whitespace
 from pactlens.operators import documents as OD
 from pactlens.operators.rows import item_rows
-from pactlens.plans.ingest import batch_file_results, ingest_batches
+from pactlens.plans.ingest import batch_file_results, batch_outcomes, ingest_batches
 from pactlens.fixed import documents as D
 from workload import derived as W
 from workload.sections.checks import MERGED_SQL, _PIECE
@@ -219,9 +219,20 @@ def ingest(spark, sf_dir):
 
 _FILES = filtered_sql("(SELECT batch_id, ord, original_name, error, text FROM batch_files)", "batch_id, ord, original_name, error")
 _CLEANED = f"""(SELECT batch_id, ord, original_name, error, CASE WHEN error IS NULL THEN {clean_sql('cleaned')} ELSE '' END AS text FROM ({_FILES}))"""
+def _with_unreadable(files):
+    """Every seventh batch holds blank files only."""
+    return files.withColumn("text", F.when(F.col("batch_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("text")))
+
+
 QUERIES["batch_file_results"] = lambda spark, sf_dir: batch_file_results(W.batch_files(spark, sf_dir))
 ORACLE["batch_file_results"] = statement(
     f"""SELECT batch_id, ord, original_name, text[1:{D.PREVIEW_CHARS}] AS preview, length(text) AS characters, error FROM {_CLEANED}""", "batch_files")
+QUERIES["batch_outcomes"] = lambda spark, sf_dir: batch_outcomes(_with_unreadable(W.batch_files(spark, sf_dir)))
+ORACLE["batch_outcomes"] = statement(
+    f"""SELECT batch_id, files, readable, failed, CASE WHEN readable = 0 THEN 'error' ELSE 'uploaded' END AS status,
+        CASE WHEN readable = 0 THEN {q(D.ERR_NO_TEXT_IN_BATCH)} END AS error FROM (
+          SELECT batch_id, count(*) AS files, count(*) FILTER (error IS NULL AND text <> '' AND batch_id % 7 <> 0) AS readable,
+                 count(*) FILTER (error IS NOT NULL) AS failed FROM {_CLEANED} GROUP BY batch_id)""", "batch_files")
 QUERIES["ingest_batches"] = ingest
 ORACLE["ingest_batches"] = statement(
     f"""SELECT batch_id, text, length(text) AS characters, len(string_split_regex(text, {q(re2(chr(92) + 's+'))})) AS words
