@@ -1,14 +1,16 @@
 """BPE encoding and decoding with a vocabulary file of the tokenizers library, equal to the library's own result.
 
-White space always ends a word of this vocabulary, and so does the end of a run of letters.  A text is the sequence of such words and of
-the rest between them, and equal ones have equal ids.  Each task keeps the ids of what it has met (a bounded table) and encodes the new
-ones of a batch together.  A-Z go to lower case first, as the vocabulary's normaliser does anyway.
-
-A long run without any split point is encoded by tree concatenation.  It is halved down to leaves, which are encoded side by side; then
-halves are joined bottom-up.  Around a join a window is encoded anew and grown until it shares a token, at the same place, with the
-encoding of each side: a token sequence is the encoding of its text exactly if each neighbouring pair of tokens is the encoding of its
-own text, so sequences that share a token may be spliced there.  What the halves got wrong (a merge across the cut, or the word-end mark
-that a half gets and the whole doesn't) lies inside the window.
+A text longer than a leaf is encoded by tree concatenation, without looking for places where it might be split: it is halved down to
+leaves, which are encoded side by side; then halves are joined bottom-up.  Around a join a window is encoded anew and grown until it
+shares a token, at the same place, with the encoding of each side.  A token sequence is the encoding of its text exactly if each
+neighbouring pair of tokens is the encoding of its own text, so sequences that share a token may be spliced there.  What the halves got wrong
+(a word cut in two, a merge across the cut, or the word-end mark that a half gets and the whole doesn't) lies inside the window.
+Places are counted in bytes of the normalised text without white space, which belongs to no token.
+
+Leaves and windows are encoded with a table: white space always ends a word of this vocabulary, and so does the end of a run of
+letters, so a leaf is a sequence of such words and of the rest between them, and equal ones have equal ids.  Each worker keeps the ids
+of what it has met, within a bound of bytes, and encodes the new ones of a batch together.  A-Z go to lower case first, as the
+vocabulary's normaliser does anyway.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from pactlens.llm.arrow import mapped
 
-#: Characters above which a piece is encoded as a tree; characters on each side of a join at first.
-LEAF, REACH = 1024, 32
+#: Characters of a leaf; characters on each side of a join at first; how far a cut may move to stand between ASCII characters.
+LEAF, REACH, SHIFT = 1536, 24, 64
 #: Bytes that a worker spends on what it has met, and bytes of an entry besides its texts.
 REMEMBERED, ENTRY = 32 << 20, 320
 #: Letters up to another ASCII character or the end are a word for the pre-tokenizer; what remains of a run stays together.
@@ -47,98 +49,110 @@ class TreeBpe:
         self.ends = np.array([t.endswith(WORD_END) for t in self.tokens])
         # of a token, the bytes of text: a character of the byte alphabet stands for one byte
         self.bytes = [len(t.removesuffix(WORD_END)) for t in self.tokens]
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.sizes = np.array(self.bytes, np.int64)
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _entry(self, ids) -> tuple[bytes, str]:
-        return np.asarray(ids, dtype="<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
-
-    def _spans(self, ids: list[int], start: int) -> list[tuple[int, int]]:
-        """(first byte, id) of each token."""
-        out = []
-        for i in ids:
-            out.append((start, i))
-            start += self.bytes[i]
-        return out
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of one piece that the pre-tokenizer doesn't split, by tree concatenation."""
-        at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).tolist()  # byte offset of each character
-        cuts = list(range(0, len(text), self.leaf)) + [len(text)]
-        leaves = self.tok.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
-        level = [(a, b, self._spans(e.ids, at[a])) for a, b, e in zip(cuts, cuts[1:], leaves, strict=False)]
-        while len(level) > 1:
-            joined = [self._join(text, at, x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
-            level = joined + (level[-1:] if len(level) % 2 else [])
-        return [i for _, i in level[0][2]]
-
-    def _join(self, text: str, at: list[int], left, right):
-        (lo, mid, a), (_, hi, b) = left, right
-        places = {s: k for k, s in enumerate(a)}, {s: k for k, s in enumerate(b)}
-        reach = self.reach
-        while True:
-            x, y = max(lo, mid - reach), min(hi, mid + reach)
-            window = self._spans(self.plain(text[x:y]), at[x])
-            # (place in the half, place in the window) of the shared tokens nearest to the cut; a window that reaches the end needs none
-            before = (0, 0) if x == lo else next(((places[0][s], k) for k, s in reversed(list(enumerate(window))) if s in places[0]), None)
-            after = (len(b), len(window)) if y == hi else next(((places[1][s], k) for k, s in enumerate(window) if s in places[1]), None)
-            if before and after and before[1] <= after[1]:
-                return lo, hi, a[: before[0]] + window[before[1] : after[1]] + b[after[0] :]
-            reach *= 2
-
-    def run(self, text: str) -> list[int]:
-        """Ids of a run without white space: in one go, or piece by piece where it is long."""
-        if len(text) <= self.leaf or any(t.content in text for t in self.tok.get_added_tokens_decoder().values()):
-            return self.plain(text)
-        even = self.tok.normalizer.normalize_str(text)
-        out: list[int] = []
-        for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(even):
-            out += self.piece(even[a:b]) if b - a > self.leaf else self.plain(even[a:b])
-        return out
+    def _entry(self, ids) -> bytes:
+        return np.asarray(ids, dtype="<u4").tobytes()
 
     def learn(self, runs: set[str]) -> None:
         """Put new runs into the table.  Runs of letters are one word each, so many are encoded as one text and cut at word ends."""
-        rest = [r for r in runs if not r.isalpha() or len(r) > self.leaf]
+        rest = [r for r in runs if not r.isalpha()]
         words = list(runs.difference(rest))
         if words:
             ids = np.asarray(self.plain(" ".join(words)), dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(words):
-                start, data, shown = 0, ids.tobytes(), [self.tokens[i] for i in ids.tolist()]
+                start, data = 0, ids.tobytes()
                 for w, stop in zip(words, stops.tolist(), strict=True):
-                    self.known[w] = data[4 * start : 4 * stop], " ".join(shown[start:stop])
+                    self.known[w] = data[4 * start : 4 * stop]
                     start = stop
             else:  # a letter that the normaliser takes apart
                 rest += words
-        short = [r for r in rest if len(r) <= self.leaf]
-        for r, e in zip(short, self.tok.encode_batch(short, add_special_tokens=False), strict=True):
+        for r, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
             self.known[r] = self._entry(e.ids)
-        for r in rest:
-            if len(r) > self.leaf:
-                self.known[r] = self._entry(self.run(r))
+
+    def encoded(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of short texts, by the table."""
+        known = self.known
+        # special tokens are told by case, so a text that may hold one stays as it is
+        split = [RUN.findall(t if "<|" in t else t.encode().lower().decode()) for t in many]
+        wanted = set().union(*split)
+        new = wanted.difference(known)
+        if new and self.held > self.remembered:
+            known.clear()
+            self.held = 0
+            new = wanted
+        if new:
+            self.learn(new)
+            self.held += sum(ENTRY + 2 * len(r) + len(known[r]) for r in new)
+        return [np.frombuffer(b"".join([known[r] for r in runs]), "<u4") for runs in split]
+
+    def cuts(self, text: str) -> list[int]:
+        """Where the leaves of a text begin and end, between ASCII characters where there are any nearby."""
+        out = [0]
+        while len(text) - out[-1] > self.leaf:
+            at = out[-1] + self.leaf
+            near = range(at, min(at + SHIFT, len(text)))
+            out.append(next((i for i in near if text[i - 1] < "\x80" and text[i] < "\x80"), at))
+        return [*out, len(text)]
+
+    def joined(self, text: str, left, right):
+        """The node of both halves; a node is (start, end, ids, joins)."""
+        (lo, mid, a, m), (_, hi, b, n) = left, right
+        reach = self.reach
+        while True:
+            x, y = max(lo, mid - reach), min(hi, mid + reach)
+            window, before_cut = self.encoded([text[x:y], text[x:mid]])
+            before_bytes = int(self.sizes[before_cut].sum())
+            places = self._places(window, -before_bytes)
+            some = before_bytes + 1
+            at_left = a[max(0, len(a) - some) :]
+            at_left = {p: len(a) - len(at_left) + k for k, p in enumerate(self._places(at_left, -int(self.sizes[at_left].sum())))}
+            at_right = {p: k for k, p in enumerate(self._places(b[: int(self.sizes[window].sum()) - before_bytes + 1], 0))}
+            # (place in the half, place in the window) of the shared tokens nearest to the cut; a window that reaches the end needs none
+            first = (0, 0) if x == lo else next(((at_left[p], k) for k, p in reversed(list(enumerate(places))) if p in at_left), None)
+            last = (len(b), len(window)) if y == hi else next(((at_right[p], k) for k, p in enumerate(places) if p in at_right), None)
+            if first and last and first[1] <= last[1]:
+                return lo, hi, np.concatenate([a[: first[0]], window[first[1] : last[1]], b[last[0] :]]), m + n + 1
+            reach *= 2
+
+    def _places(self, ids: np.ndarray, start: int) -> list[tuple[int, int]]:
+        """(first byte, id) of each token."""
+        sizes = self.sizes[ids]
+        return list(zip((np.cumsum(sizes) - sizes + start).tolist(), ids.tolist(), strict=True))
+
+    def tree(self, text: str) -> tuple[np.ndarray, int]:
+        """Ids of a text by tree concatenation, and the number of joins."""
+        cuts = self.cuts(text)
+        leaves = self.encoded([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        level = [(a, b, ids, 0) for a, b, ids in zip(cuts, cuts[1:], leaves, strict=False)]
+        while len(level) > 1:
+            pairs = [self.joined(text, x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
+            level = pairs + (level[-1:] if len(level) % 2 else [])
+        return level[0][2], level[0][3]
+
+    def ids(self, many: list[str]) -> list[tuple[np.ndarray, int]]:
+        """(ids, joins) of each text.  Strings of special tokens are told by case and may stand across a cut: such texts go whole."""
+        long = [len(t) > self.leaf and "<|" not in t for t in many]
+        out: list[tuple[np.ndarray, int] | None] = [self.tree(t) if far else None for t, far in zip(many, long, strict=True)]
+        short = [k for k, far in enumerate(long) if not far]
+        for start in range(0, len(short), self.together):
+            some = short[start : start + self.together]
+            for k, ids in zip(some, self.encoded([many[k] for k in some]), strict=True):
+                out[k] = ids, 0
+        return out
+
+    def shown(self, ids: np.ndarray) -> str:
+        return " ".join([self.tokens[i] for i in ids.tolist()])
 
     def texts(self, many: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        out, known = [], self.known
-        for start in range(0, len(many), self.together):
-            # special tokens are told by case, so a text that may hold one stays as it is
-            split = [RUN.findall(t if "<|" in t else t.encode().lower().decode()) for t in many[start : start + self.together]]
-            wanted = set().union(*split)
-            new = wanted.difference(known)
-            if new and self.held > self.remembered:
-                known.clear()
-                self.held = 0
-                new = wanted
-            if new:
-                self.learn(new)
-                self.held += sum(ENTRY + 2 * len(r) + len(known[r][0]) + len(known[r][1]) for r in new)
-            for runs in split:
-                parts = [known[r] for r in runs]
-                out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])))
-        return out
+        return [(ids.astype("<u4").tobytes(), self.shown(ids)) for ids, _ in self.ids(many)]
 
     def decode(self, ids: list[int]) -> str:
         return self.tok.decode(ids, skip_special_tokens=False)
@@ -151,25 +165,27 @@ def encoder(path: str) -> TreeBpe:
 
 
 def encode(docs: DataFrame, path: str, whole: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with `whole` also ids (array) and decoded (text).
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins; with `whole` also ids (array) and decoded (text).
 
     A missing or empty text, and one of white space only, has no tokens.  Strings of special tokens in a text become those tokens, as in
     the library.  Rows are encoded one by one: ties and repeated rows have equal results, a missing doc_id stays missing, further columns
     don't matter, and an empty table gives an empty result.  `path` must be readable on the executors.
     """
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long" + (", ids array<int>, decoded string" if whole else "")
 
     def make():
         bpe = encoder(path)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            found = bpe.texts([t or "" for t in batch.column("text").to_pylist()])
+            found = bpe.ids([t or "" for t in batch.column("text").to_pylist()])
+            shown = [bpe.shown(ids) for ids, _ in found]
             out = {
-                "n_tokens": [len(ids) // 4 for ids, _ in found],
-                "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids, _ in found],
-                "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, text in found],
+                "n_tokens": [len(ids) for ids, _ in found],
+                "ids_sha256": [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids, _ in found],
+                "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for text in shown],
+                "n_joins": [joins for _, joins in found],
             }
-            return out | ({"ids": [np.frombuffer(ids, "<u4").astype("i4") for ids, _ in found], "decoded": [t for _, t in found]} if whole else {})
+            return out | ({"ids": [ids.astype("i4") for ids, _ in found], "decoded": shown} if whole else {})
 
         return work
 

@@ -49,6 +49,23 @@ def test_tree_concatenation(small_leaves, library, alphabet, rng, n):
     same(small_leaves, library, text[: n // 2] + rng.choice(["<|endoftext|>", "'ll", "12", "İ", "Σ", "́", " "]) + text[n // 2 :])
 
 
+def test_joins_mend_what_halves_get_wrong(library, monkeypatch):
+    """Every long text goes through the tree, and without the windows around joins its ids are wrong."""
+    text = " ".join(f"alphabet{k} internationalisation, reading" for k in range(200))
+    want = library.encode(text, add_special_tokens=False).ids
+    tree = bpe.TreeBpe(PATH, leaf=50, reach=4)
+    ids, joins = tree.ids([text])[0]
+    assert ids.tolist() == want and joins == len(tree.cuts(text)) - 2 > 100
+    monkeypatch.setattr(bpe.TreeBpe, "joined", lambda self, text, x, y: (x[0], y[1], np.concatenate([x[2], y[2]]), 0))
+    assert tree.ids([text])[0][0].tolist() != want
+
+
+def test_joins_on_the_tables(docs):
+    rows = bpe.encode(docs, PATH).collect()
+    long = {r["doc_id"] for r in docs.filter(f"char_length(text) > {bpe.LEAF + bpe.SHIFT}").collect()}
+    assert long and all((r["n_joins"] > 0) == (r["doc_id"] in long) or r["n_joins"] <= 1 for r in rows) and sum(r["n_joins"] for r in rows) > 100
+
+
 def test_table_of_known_runs_is_bounded(library):
     tree = bpe.TreeBpe(PATH, remembered=20)
     for k in range(30):
