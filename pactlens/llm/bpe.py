@@ -7,9 +7,9 @@ neighbouring pair of tokens is the encoding of its own text, so sequences that s
 (a word cut in two, a merge across the cut, or the word-end mark that a half gets and the whole doesn't) lies inside the window.
 Places are counted in bytes of the normalised text without white space, which belongs to no token.
 
-Leaves and windows are encoded with a table: white space always ends a word of this vocabulary, and so does the end of a run of
+Leaves are encoded with a table: white space always ends a word of this vocabulary, and so does the end of a run of
 letters, so a leaf is a sequence of such words and of the rest between them, and equal ones have equal ids.  Each worker keeps the ids
-of what it has met, within a bound of bytes, and encodes the new ones of a batch together.  A-Z go to lower case first, as the
+of what it has met, within a bound of bytes, and encodes the new ones of a batch together.  Windows and words that a cut has broken go past it.  A-Z go to lower case first, as the
 vocabulary's normaliser does anyway.
 """
 
@@ -76,11 +76,13 @@ class TreeBpe:
         for r, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
             self.known[r] = self._entry(e.ids)
 
-    def encoded(self, many: list[str]) -> list[np.ndarray]:
-        """Ids of short texts, by the table."""
-        known = self.known
+    def _runs(self, text: str) -> list[str]:
         # special tokens are told by case, so a text that may hold one stays as it is
-        split = [RUN.findall(t if "<|" in t else t.encode().lower().decode()) for t in many]
+        return RUN.findall(text if "<|" in text else text.encode().lower().decode())
+
+    def _of_runs(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of lists of runs, by the table."""
+        known = self.known
         wanted = set().union(*split)
         new = wanted.difference(known)
         if new and self.held > self.remembered:
@@ -90,7 +92,27 @@ class TreeBpe:
         if new:
             self.learn(new)
             self.held += sum(ENTRY + 2 * len(r) + len(known[r]) for r in new)
-        return [np.frombuffer(b"".join([known[r] for r in runs]), "<u4") for runs in split]
+        return [b"".join([known[r] for r in runs]) for runs in split]
+
+    def encoded(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of short texts."""
+        return [np.frombuffer(data, "<u4") for data in self._of_runs([self._runs(t) for t in many])]
+
+    def directly(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of texts that won't come again, such as windows, past the table."""
+        return [np.asarray(e.ids, "<u4") for e in self.tok.encode_batch(many, add_special_tokens=False)]
+
+    def leaves(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of neighbouring pieces.  What a cut has left of a word is not put into the table."""
+        split, edges = [self._runs(t) for t in many], []
+        for k, runs in enumerate(split):
+            head = [runs.pop(0)] if k and runs else []
+            tail = [runs.pop()] if k < len(split) - 1 and runs else []
+            edges += [head, tail]
+        cut = iter(self.directly([r for e in edges for r in e]))
+        ends = [next(cut).astype("<u4").tobytes() if e else b"" for e in edges]
+        middles = self._of_runs(split)
+        return [np.frombuffer(ends[2 * k] + data + ends[2 * k + 1], "<u4") for k, data in enumerate(middles)]
 
     def cuts(self, text: str) -> list[int]:
         """Where the leaves of a text begin and end, between ASCII characters where there are any nearby."""
@@ -101,13 +123,17 @@ class TreeBpe:
             out.append(next((i for i in near if text[i - 1] < "\x80" and text[i] < "\x80"), at))
         return [*out, len(text)]
 
-    def joined(self, text: str, left, right):
+    def windows(self, text: str, pairs: list, reach: int) -> list[np.ndarray]:
+        """Of each pair of nodes the ids of the window around the cut, and of its part before the cut."""
+        sides = [(max(lo, mid - reach), mid, min(hi, mid + reach)) for (lo, mid, *_), (_, hi, *_) in pairs]
+        return self.directly([t for x, mid, y in sides for t in (text[x:y], text[x:mid])])
+
+    def joined(self, text: str, left, right, window: np.ndarray, before_cut: np.ndarray):
         """The node of both halves; a node is (start, end, ids, joins)."""
         (lo, mid, a, m), (_, hi, b, n) = left, right
         reach = self.reach
         while True:
             x, y = max(lo, mid - reach), min(hi, mid + reach)
-            window, before_cut = self.encoded([text[x:y], text[x:mid]])
             before_bytes = int(self.sizes[before_cut].sum())
             places = self._places(window, -before_bytes)
             some = before_bytes + 1
@@ -120,6 +146,7 @@ class TreeBpe:
             if first and last and first[1] <= last[1]:
                 return lo, hi, np.concatenate([a[: first[0]], window[first[1] : last[1]], b[last[0] :]]), m + n + 1
             reach *= 2
+            window, before_cut = self.windows(text, [(left, right)], reach)
 
     def _places(self, ids: np.ndarray, start: int) -> list[tuple[int, int]]:
         """(first byte, id) of each token."""
@@ -129,11 +156,13 @@ class TreeBpe:
     def tree(self, text: str) -> tuple[np.ndarray, int]:
         """Ids of a text by tree concatenation, and the number of joins."""
         cuts = self.cuts(text)
-        leaves = self.encoded([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        leaves = self.leaves([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
         level = [(a, b, ids, 0) for a, b, ids in zip(cuts, cuts[1:], leaves, strict=False)]
         while len(level) > 1:
-            pairs = [self.joined(text, x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
-            level = pairs + (level[-1:] if len(level) % 2 else [])
+            pairs = list(zip(level[::2], level[1::2], strict=False))
+            around = self.windows(text, pairs, self.reach)
+            nodes = [self.joined(text, x, y, around[2 * k], around[2 * k + 1]) for k, (x, y) in enumerate(pairs)]
+            level = nodes + (level[-1:] if len(level) % 2 else [])
         return level[0][2], level[0][3]
 
     def ids(self, many: list[str]) -> list[tuple[np.ndarray, int]]:

@@ -56,7 +56,7 @@ def test_joins_mend_what_halves_get_wrong(library, monkeypatch):
     tree = bpe.TreeBpe(PATH, leaf=50, reach=4)
     ids, joins = tree.ids([text])[0]
     assert ids.tolist() == want and joins == len(tree.cuts(text)) - 2 > 100
-    monkeypatch.setattr(bpe.TreeBpe, "joined", lambda self, text, x, y: (x[0], y[1], np.concatenate([x[2], y[2]]), 0))
+    monkeypatch.setattr(bpe.TreeBpe, "joined", lambda self, text, x, y, *_: (x[0], y[1], np.concatenate([x[2], y[2]]), 0))
     assert tree.ids([text])[0][0].tolist() != want
 
 
