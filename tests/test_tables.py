@@ -504,3 +504,19 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         path_of(fake, "x")
+
+
+def test_text_files_are_written_by_many_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    """The files of one row group are spread over tasks, without checksum files; files of the right size make no tasks of the scan for refused ones."""
+    from workload.sections import streams
+
+    rows = [(i, None if i == 5 else f"text {i}") for i in [*range(60), None, 3, 3]]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = streams.read_text_documents(spark, str(tmp_path))
+    names = [p.name for p in (tmp_path / "texts").iterdir()]
+    assert len({n.split("-")[1] for n in names if n.startswith("part-")}) > 8 and not any(n.endswith(".crc") for n in names)
+    assert got.rdd.getNumPartitions() == spark.read.format("binaryFile").load(str(tmp_path / "texts")).rdd.getNumPartitions()
+    texts = ["  " if i is not None and i % 9 == 0 else t or "" for i, t in rows]
+    assert sorted((r["size"], r["text"] or "", r["extraction_error"] or "") for r in got.collect()) == sorted(
+        (len(t) + 1, t + "\n" if t.strip() else "", "" if t.strip() else D.ERR_EMPTY_FILE) for t in texts)
