@@ -520,3 +520,13 @@ def test_text_files_are_written_by_many_tasks_and_read_once(spark, tmp_path, mon
     texts = ["  " if i is not None and i % 9 == 0 else t or "" for i, t in rows]
     assert sorted((r["size"], r["text"] or "", r["extraction_error"] or "") for r in got.collect()) == sorted(
         (len(t) + 1, t + "\n" if t.strip() else "", "" if t.strip() else D.ERR_EMPTY_FILE) for t in texts)
+
+
+def test_labelled_clauses_are_extracted_once_a_query(spark, tmp_path, monkeypatch):
+    """Training and scoring of one query share the labelled clauses."""
+    from workload.sections import streams
+
+    spark.createDataFrame([(i, f"plain text {i}.") for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made, write = [], streams.materialize
+    monkeypatch.setattr(streams, "materialize", lambda df, name: (made.append(name), write(df, name))[1])
+    assert streams.score_clauses(spark, str(tmp_path)).count() > 0 and made == ["labelled"]

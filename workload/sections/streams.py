@@ -3,9 +3,6 @@
 Files and streams are written below the session's shared checkpoint folder.
 """
 
-from functools import cache
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.fixed import clauses as C
@@ -121,17 +118,19 @@ def _parts(spark, sf_dir):
     return B.ordered_split(rows, "ord", 0.8)
 
 
-@cache
-def _stored_model(app, sf_dir):
-    """The path of a model that is trained once a session."""
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "clause-model")
-    ML.save_word_model(ML.train_word_model(_parts(spark, sf_dir).filter("part = 'train'")), path)
-    return path
+#: The path of the model of a session and table folder; it is trained once a session.
+_MODELS: dict[tuple[str, str], str] = {}
 
 
-def _model(spark, sf_dir):
-    return ML.load_word_model(spark, _stored_model(spark.sparkContext.applicationId, sf_dir))
+def _model(spark, sf_dir, parts=None):
+    """The stored model.  A query that needs the labelled clauses itself hands them over, so that they are extracted and written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        rows = _parts(spark, sf_dir) if parts is None else parts
+        path = scratch_path(spark, "clause-model")
+        ML.save_word_model(ML.train_word_model(rows.filter("part = 'train'")), path)
+        _MODELS[key] = path
+    return ML.load_word_model(spark, _MODELS[key])
 
 
 def train_clause_classifier(spark, sf_dir):
@@ -143,14 +142,15 @@ def train_clause_classifier(spark, sf_dir):
 
 
 def score_clauses(spark, sf_dir):
-    scored = ML.score_words(_model(spark, sf_dir), _parts(spark, sf_dir), ["ord"])
+    parts = _parts(spark, sf_dir)
+    scored = ML.score_words(_model(spark, sf_dir, parts), parts, ["ord"])
     return scored.select("ord", "clause_type", round_half_up(F.col("confidence"), 6).alias("confidence"), F.size("all_scores").alias("labels"))
 
 
 def evaluate_classifier(spark, sf_dir):
     """The evaluation record of the classifier on the clauses it hasn't seen, one row for each class that they hold."""
-    unseen = _parts(spark, sf_dir).filter("part = 'eval'")
-    scored = ML.score_words(_model(spark, sf_dir), unseen, ["ord"])
+    parts = _parts(spark, sf_dir)
+    scored = ML.score_words(_model(spark, sf_dir, parts), parts.filter("part = 'eval'"), ["ord"])
     predicted = scored.select(F.col("label").alias("true_label"), F.col("clause_type").alias("predicted_label"))
     report = E.evaluation_report(predicted, labels=list(C.CLAUSE_TYPES), model="words", evaluated_at="2024-02-01T00:00:00Z")
     rows = report.select("overall", "metadata", F.inline("per_class")).filter("support > 0")
