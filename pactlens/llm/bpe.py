@@ -56,6 +56,10 @@ class TreeBpe:
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def each(self, many: list[str]) -> list[list[int]]:
+        """Ids of each text, one after the other: `encode_batch` starts threads for all cores of the machine, which Spark's tasks hold already."""
+        return [self.tok.encode(t, add_special_tokens=False).ids for t in many]
+
     def _entry(self, ids) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -73,8 +77,8 @@ class TreeBpe:
                     start = stop
             else:  # a letter that the normaliser takes apart
                 rest += words
-        for r, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[r] = self._entry(e.ids)
+        for r, ids in zip(rest, self.each(rest), strict=True):
+            self.known[r] = self._entry(ids)
 
     def _runs(self, text: str) -> list[str]:
         # special tokens are told by case, so a text that may hold one stays as it is
@@ -100,7 +104,7 @@ class TreeBpe:
 
     def directly(self, many: list[str]) -> list[np.ndarray]:
         """Ids of texts that won't come again, such as windows, past the table."""
-        return [np.asarray(e.ids, "<u4") for e in self.tok.encode_batch(many, add_special_tokens=False)]
+        return [np.asarray(ids, "<u4") for ids in self.each(many)]
 
     def leaves(self, many: list[str]) -> list[np.ndarray]:
         """Ids of neighbouring pieces.  What a cut has left of a word is not put into the table."""

@@ -2,6 +2,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +75,20 @@ def test_table_of_known_runs_is_bounded(library):
         assert len(tree.known) < 10
 
 
+def test_encoder_starts_no_threads():
+    """Spark's tasks hold the cores already; threads of the library in each of them cost half of the time."""
+    code = """
+import os, sys
+from pactlens.llm import bpe
+tree = bpe.TreeBpe(sys.argv[1], leaf=50, reach=4)
+before = len(os.listdir("/proc/self/task"))
+tree.ids(["A1 b-2 " * 40 + str(k) for k in range(100)] + ["short x%d" % k for k in range(100)])
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    subprocess.run([sys.executable, "-c", code, PATH], check=True, timeout=300, env=env)
+
+
 def test_bpe_rows(odd, empty, docs, library):
     both = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
     want = []
