@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +10,10 @@ from pactlens.fixed import noise as N
 from pactlens.functions.text import (
     WORD_END,
     WORD_START,
+    any_held,
     any_pattern,
     any_word,
-    count_contained,
+    fewer_contained,
     let,
     normalize_whitespace,
     pattern,
@@ -44,7 +42,7 @@ def clean_text(text: Column) -> Column:
 
 
 def _lowered(text: Column, use) -> Column:
-    return let(text, lambda t: let(F.lower(t), lambda low: use(t, low)))
+    return let(text, lambda t: let(F.lower(t).cast("binary"), lambda low: use(t, low)))
 
 
 def _stamps(t: Column, low: Column) -> Column:
@@ -83,7 +81,7 @@ def remove_ocr_artifacts(text: Column) -> Column:
     """Runs of marks and control characters: `{3,}` runs to a blank, the others deleted."""
     for source, flags in N.NOISE_PATTERNS["ocrArtifacts"]:
         by = " " if "{3,}" in source else ""
-        text = let(text, lambda t, source=source, flags=flags, by=by: replace_present(t, t, [(source, flags)], by))
+        text = let(text, lambda t, source=source, flags=flags, by=by: replace_present(t, t.cast("binary"), [(source, flags)], by))
     return text
 
 
@@ -106,11 +104,10 @@ def filter_document_noise(text: Column) -> Column:
         return normalize_whitespace(remove_boilerplate(remove_ocr_artifacts(before)))
 
     def keep(cleaned: Column) -> Column:
-        keywords = let(F.lower(cleaned), lambda low: count_contained(low, N.CONTRACT_KEYWORDS))
         too_little = (
             (F.length(cleaned) < F.length(text) * N.MIN_KEPT_SHARE)
             | (F.length(cleaned) < N.MIN_CLEAN_CHARS)
-            | (keywords < N.MIN_CONTRACT_KEYWORDS)
+            | fewer_contained(F.lower(cleaned), N.CONTRACT_KEYWORDS, N.MIN_CONTRACT_KEYWORDS)
         )
         return F.when(too_little, conservative_noise(text)).otherwise(cleaned)
 
@@ -119,7 +116,7 @@ def filter_document_noise(text: Column) -> Column:
 
 def noise_findings(text: Column) -> Column:
     """array<struct<category,pattern,matches,examples,chars>>, patterns without a match left out."""
-    return let(text, lambda t: let(F.lower(t), lambda low: _findings(t, low)))
+    return _lowered(text, _findings)
 
 
 def _findings(text: Column, low: Column) -> Column:
@@ -127,7 +124,7 @@ def _findings(text: Column, low: Column) -> Column:
     for category, patterns in N.NOISE_PATTERNS.items():
         for source, flags in patterns:
             regex, words = pattern(source, flags), literals_of(source)
-            present = reduce(or_, (F.contains(low, F.lit(w)) for w in words), F.lit(not words))
+            present = any_held(low, words) if words else F.lit(True)
             found = let(
                 F.when(present, F.regexp_extract_all(text, F.lit(regex), F.lit(0))),
                 lambda m, category=category, source=source: F.when(
@@ -174,14 +171,26 @@ def truncate_text(text: Column, limit: int, marker: str = "") -> Column:
 
 
 def contract_sections(text: Column) -> Column:
-    """array<string> of sections: runs of clean lines, each from its first keyword line on."""
-    noise = any_pattern([p for group in N.NOISE_PATTERNS.values() for p in group])
+    """array<string> of sections: runs of clean lines, each from its first keyword line on.
+
+    A line is marked where a noise pattern matches it.  Patterns are tried only where the whole text holds one of their literals.
+    """
+    sought = [(p, literals_of(p[0])) for group in N.NOISE_PATTERNS.values() for p in group]
+    everywhere = any_pattern([p for p, words in sought if not words])
     keyword = any_word(N.CONTRACT_KEYWORDS)
-    marked = F.transform(
-        F.split(text, "\n", -1),
-        lambda line: F.when((strip(line) == "") | line.rlike(noise), F.lit("\x01")).otherwise(line),
-    )
-    runs = F.split(F.array_join(marked, "\n"), "\x01", -1)
+
+    def marked_where(lines: Column, test) -> Column:
+        return F.transform(lines, lambda line: F.when(test(line), F.lit("\x01")).otherwise(line))
+
+    def marked(t: Column, low: Column) -> Column:
+        lines = marked_where(F.split(t, "\n", -1), lambda line: (strip(line) == "") | line.rlike(everywhere))
+        for p, words in sought:
+            if words:
+                regex, present = any_pattern([p]), any_held(low, words)
+                lines = let(lines, lambda ls, regex=regex, present=present: F.when(present, marked_where(ls, lambda line: line.rlike(regex))).otherwise(ls))
+        return lines
+
+    runs = F.split(F.array_join(_lowered(text, marked), "\n"), "\x01", -1)
 
     def section(run: Column) -> Column:
         lines = F.filter(F.split(run, "\n", -1), lambda line: line != "")

@@ -107,6 +107,43 @@ def test_noise_findings_are_stateless(one):
     assert rows["e-?stamp"]["chars"] == 7
 
 
+def test_literals_are_looked_up_in_bytes(one):
+    words = ["termination", "copy", "||", "_____", "e-stamp", "aa", "é"]
+    texts = ["", None, "mination", "xtermination", "terminatio", "co py copy", "|_____|", "____", "||", "E-STAMP e-stam", "a", "baa", "è é", "é"]
+    for w in words:
+        assert one(lambda c, w=w: T.holds(c.cast("binary"), w), texts) == [None if t is None else w in t for t in texts]
+    assert T.rare_tail("termination") == "mination" and T.rare_tail("copy") == "copy" and T.rare_tail("aa") == "aa"
+
+
+def test_words_are_looked_up_until_enough_are_found(one):
+    words = [f"w{k}x" for k in range(12)]
+    texts = ["", "w1x w1x", "w0x w11x", "w0x w10x w11x", "w0xw1xw2x", " ".join(words)]
+    assert one(lambda c: T.fewer_contained(c, words, 3), texts) == [True, True, True, False, False, False]
+    assert one(lambda c: T.fewer_contained(c, [], 1), ["w0x"]) == [True]
+
+
+def test_whitespace_of_all_kinds_is_trimmed(one):
+    texts = [f"{a}{b}x{a} y{b}{a}" for a in T.WHITESPACE_CHARS for b in " " + T.WHITESPACE_CHARS[-3:]] + [T.WHITESPACE_CHARS, " \x1c\x85 x\x85"]
+    blank = re.compile(f"[{re.escape(T.WHITESPACE_CHARS)}]+")
+    assert one(T.normalize_whitespace, texts) == [blank.sub(" ", t).strip(" ") for t in texts]
+
+
+def test_sections_break_at_each_noise_pattern(one):
+    """Lines are marked as by all patterns at once; a literal that stands in one line marks no other."""
+    lines = ["The tenant pays rent.", "STAMP PAPER", "page 3", "PAGE  3  of 9", "Government", "\u00a0", "7", "a [ 3 ] b", "[x]", "a||b", "lease\x02x", "e-stamp", "stamp", "Landlord   x", "PAN NO: 7", "the pan no"]
+    noise = T.any_pattern([p for group in N.NOISE_PATTERNS.values() for p in group])
+    marked = one(lambda c: (T.strip(c) == "") | c.rlike(noise), lines)
+    assert 5 < sum(marked) < len(lines) - 3
+    runs = re.split("\x01", "\n".join("\x01" if m else line for line, m in zip(lines, marked, strict=True)))
+    keyword = re.compile("|".join(N.CONTRACT_KEYWORDS), re.I)
+    want = []
+    for run in runs:
+        kept = [line for line in run.split("\n") if line]
+        first = next((k for k, line in enumerate(kept) if keyword.search(line)), None)
+        want += [] if first is None else ["\n".join(kept[first:])]
+    assert one(CL.contract_sections, ["\n".join(lines)]) == [want]
+
+
 def test_word_count_counts_edge_blanks(one):
     assert one(CL.word_count, ["a b", " a b ", ""]) == [2, 4, 1]
 
