@@ -530,3 +530,21 @@ def test_labelled_clauses_are_extracted_once_a_query(spark, tmp_path, monkeypatc
     made, write = [], streams.materialize
     monkeypatch.setattr(streams, "materialize", lambda df, name: (made.append(name), write(df, name))[1])
     assert streams.score_clauses(spark, str(tmp_path)).count() > 0 and made == ["labelled"]
+
+
+def test_documents_of_few_splits_are_dealt(spark, tmp_path):
+    """A table of some more splits than cores takes a second round of tasks: it is dealt over several tasks a core, with the same rows."""
+    from workload import derived
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(k % 50 if k % 9 else None, None if k % 7 == 3 else f"text {k}") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(cores + 4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert cores <= spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() < 2 * cores
+        docs = derived.documents(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() == derived.TASKS_PER_CORE * cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(rows, key=str)
