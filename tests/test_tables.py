@@ -548,3 +548,60 @@ def test_documents_of_few_splits_are_dealt(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(map(tuple, docs.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_text_files_are_written_without_a_process_each(spark, tmp_path):
+    """Texts become files as Spark's text writer makes them; on a disk no process is started for each, and a level holds few folders."""
+    from pathlib import Path
+
+    texts = [None, "", " ", "a\nb\r\n", "\u00e9\U0001f600", "x" * 200_000, *(f"text {k}" for k in range(600))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3 * W.FOLDERS)
+    started = lambda: int(re.search(r"processes (\d+)", Path("/proc/stat").read_text())[1])
+    df.mapInArrow(lambda batches: batches, "text string").count()  # workers are up
+    before = started()
+    W.write_text_files(df, str(tmp_path / "texts"))
+    assert started() - before < len(texts)
+    files = [p for p in (tmp_path / "texts").rglob("*") if p.is_file()]
+    assert sorted(p.read_bytes() for p in files) == sorted((t or "").encode() + b"\n" for t in texts)
+    assert all(p.suffix == ".txt" for p in files) and not list((tmp_path / "texts").glob("_*"))
+    assert len(list((tmp_path / "texts").iterdir())) <= W.FOLDERS
+    assert sorted(r["size"] for r in R.read_text_documents(spark, str(tmp_path / "texts")).collect()) == sorted(len((t or "").encode()) + 1 for t in texts)
+    with pytest.raises(FileExistsError):
+        W.write_text_files(df, str(tmp_path / "texts"))
+    W.write_text_files(df.filter("false"), str(tmp_path / "none"))
+    assert R.read_text_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_repeated_task_writes_its_text_files_once(spark, tmp_path, monkeypatch):
+    """A task whose files are there already leaves them, and an attempt that fails leaves nothing."""
+    df = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
+    late = df.select(F.when(F.col("text") == "b", F.raise_error(F.lit("late"))).otherwise(F.col("text")).alias("text"))
+    with pytest.raises(Exception, match="late"):
+        W.write_text_files(late, str(tmp_path / "failed"))
+    assert list((tmp_path / "failed").iterdir()) == []
+    done = tmp_path / "again" / "part-set=0" / "task=0"
+    done.mkdir(parents=True)
+    (done / "0.txt").write_text("first")
+    monkeypatch.setattr(W, "disk_folder", lambda spark, path: path)
+    W.write_text_files(df, str(tmp_path / "again"))
+    assert [p.name for p in (tmp_path / "again").iterdir()] == ["part-set=0"] and [p.read_text() for p in done.iterdir()] == ["first"]
+    monkeypatch.setattr(W, "disk_folder", lambda spark, path: None)  # as in another store
+    W.write_text_files(df, str(tmp_path / "other"))
+    assert sorted(p.read_text() for p in (tmp_path / "other").glob("*.txt")) == ["a\n", "b\n"]
+
+
+def test_many_text_files_are_read_by_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    """Each small file costs a scan so much that few make a task; tasks of very many files are joined, with the same rows."""
+    for k in range(1, 60):
+        (tmp_path / f"{k}.txt").write_text(" " if k == 1 else "x" * k)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        assert R.read_text_documents(spark, str(tmp_path)).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(R, "FILE_TASKS_PER_CORE", 2)
+        few = R.read_text_documents(spark, str(tmp_path), max_bytes=50)
+        assert few.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+        rows = [(r["size"], r["extraction_error"]) for r in few.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows) == [(k, D.ERR_FILE_SIZE if k > 50 else D.ERR_EMPTY_FILE if k == 1 else None) for k in range(1, 60)]
